@@ -37,12 +37,12 @@ class Span:
 
 @dataclass(frozen=True)
 class Footprint:
-    """Pixel rectangle of a cell in one layer."""
+    """Pixel rectangle of a cell in one layer; ``wstep`` is the pixel step of resampled windows."""
 
     layer: Layer
     x: Span
     y: Span
-    size: int = 0
+    wstep: float = 0.0
 
     @property
     def coarse(self) -> bool:
@@ -50,15 +50,12 @@ class Footprint:
         return self.x.px * self.y.px > MAX_FAN_OUT * self.x.step * self.y.step
 
     def row(self) -> dict:
-        row = {"layer_id": self.layer.layer_id, "size": self.size}
+        row = {"layer_id": self.layer.layer_id, "wstep": self.wstep}
         for axis, span in (("x", self.x), ("y", self.y)):
             row |= {f"{k}_{axis}": v for k, v in vars(span).items()}
         return row
 
 
-PARAMS = ["size"] + [f"{p}_{a}" for a in "xy" for p in Span.__dataclass_fields__]
-
-
 def _axes(base: Layer, layer: Layer) -> list[tuple[float, float, float]]:
     """(step, px, delta) per axis: base position ``u`` has the layer index ``(step*u + delta)/px``."""
     return [(base.psh, layer.psh, base.ulh - layer.ulh), (base.psv, layer.psv, layer.ulv - base.ulv)]
@@ -72,7 +69,7 @@ def window_footprint(base: Layer, layer: Layer, size: int | None = None) -> Foot
     for step, px, delta in _axes(base, layer):
         c = step * 0.5 + delta + half * px
         spans.append(Span(step, px, delta, c, c, -(size // 2), size - 1 - size // 2))
-    return Footprint(layer, *spans, size=size)
+    return Footprint(layer, *spans)
 
 
 def sample_footprint(base: Layer, layer: Layer, first: float, last: float, reach: int = 0) -> Footprint:

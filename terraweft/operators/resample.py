@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -108,42 +109,30 @@ def gather_windows(cells: DataFrame, pixels: DataFrame, base: Layer, layers: Seq
     )
 
 
-def _spread(base: Layer, layer: Layer, points: int) -> tuple[Footprint, float]:
-    """Footprint of the pixels that ``points`` positions spread over the native window can touch, and their step."""
+def _spread(base: Layer, layer: Layer, points: int) -> Footprint:
+    """Footprint of the pixels that ``points`` positions spread over the native window can touch."""
     size = layer.size_for(base)
     if size == 1 or points == 1:
-        return window_footprint(base, layer, 1), 0.0
+        return window_footprint(base, layer, 1)
     half = 0.5 if size % 2 == 0 else 0.0
-    step = (2 * (size // 2 - half) + 1) / (points - 1)
-    wide = window_footprint(base, layer)
     spans = []
-    for span in (wide.x, wide.y):
+    for span in (window_footprint(base, layer).x, window_footprint(base, layer).y):
         c = span.step * 0.5 + span.delta + (half - 0.5) * span.px
-        spans.append(type(span)(span.step, span.px, span.delta, c, c, -(size // 2), size - size // 2))
-    return Footprint(layer, *spans, size=points), step
+        spans.append(replace(span, c0=c, c1=c, o1=size - size // 2))
+    return Footprint(layer, *spans, wstep=(2 * (size // 2 - half) + 1) / (points - 1))
 
 
 def resample_windows(
     cells: DataFrame, pixels: DataFrame, base: Layer, layers: Sequence[Layer], points: int
 ) -> DataFrame:
     """Windows of ``points`` x ``points`` values spread over the native window; one-pixel layers keep their pixel."""
-    parts = []
-    for layer in layers:
-        fp, step = _spread(base, layer, points)
-        rows = gather(cells, pixels, [fp])
-        for at, pixel, origin in (("wi", "ix", "x0"), ("wj", "iy", "y0")):
-            if step == 0.0:
-                rows = rows.withColumn(at, F.lit(0))
-                continue
-            low = f"greatest(floor(({pixel} - {origin}) / {step}D) - 1, 0)"
-            high = f"least(ceil(({pixel} - {origin} + 1) / {step}D) + 1, {points - 1})"
-            rows = rows.selectExpr("*", f"{range_sql(low, high)} AS {at}")
-            rows = rows.where(f"floor({origin} + {at} * {step}D) = {pixel}")
-        parts.append(rows.select(*cells.columns, "layer_id", "wi", "wj", "value"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    rows = gather(cells, pixels, [_spread(base, layer, points) for layer in layers])
+    for at, pixel, origin in (("wi", "ix", "x0"), ("wj", "iy", "y0")):
+        low = f"if(wstep = 0, 0, greatest(floor(({pixel} - {origin}) / nullif(wstep, 0)) - 1, 0))"
+        high = f"if(wstep = 0, 0, least(ceil(({pixel} - {origin} + 1) / nullif(wstep, 0)) + 1, {points - 1}))"
+        rows = rows.selectExpr("*", f"{range_sql(low, high)} AS {at}")
+        rows = rows.where(f"floor({origin} + {at} * wstep) = {pixel}")
+    return rows.select(*cells.columns, "layer_id", "wi", "wj", "value")
 
 
 def resample_blend(

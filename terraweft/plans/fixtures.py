@@ -128,11 +128,21 @@ SELECT sample_id, fold, CASE WHEN r <= ceil(round(n * 0.2E0, 9)) THEN 'val' ELSE
 SELECT CAST(a.i AS INT) AS bi, CAST(b.j AS INT) AS bj, nx * 70 // 140 + 1 AS gx, ny * 70 // 140 + 1 AS gy
 FROM v_dims, range(0, 1000000) AS a(i), range(0, 1000000) AS b(j)
 WHERE a.i < nx * 70 // 140 + 1 AND b.j < ny * 70 // 140 + 1""",
-    # occupied cells and nearest points of cell centres and of 2 x 2 sub-pixels, by brute force
-    "v_near1": """
-SELECT bi, bj, arg_min(point_id, (d2, point_id)) AS point_id, min(d2) AS d2 FROM (
-  SELECT bi, bj, point_id, (lon - bi - 0.5E0) * (lon - bi - 0.5E0) + (lat + bj + 0.5E0) * (lat + bj + 0.5E0) AS d2
-  FROM v_base CROSS JOIN fx_points) q GROUP BY bi, bj""",
+    # nearest points by brute force; distances are multiples of 1/4096, so one integer orders (distance, id)
+    "v_near": """
+SELECT bi, bj, si, sj, best % 16777216 AS point_id, (best // 16777216) / 4096.0E0 AS d2 FROM (
+  SELECT bi, bj, si, sj, min(CAST(((lon - ux) * (lon - ux) + (lat + uy) * (lat + uy)) * 4096 AS BIGINT) * 16777216
+    + point_id) AS best FROM v_sub2 CROSS JOIN fx_points GROUP BY ALL) q""",
+    "v_near_ctr": """
+SELECT bi, bj, best % 16777216 AS point_id, (best // 16777216) / 4096.0E0 AS d2 FROM (
+  SELECT bi, bj, min(CAST(((lon - bi - 0.5E0) * (lon - bi - 0.5E0) + (lat + bj + 0.5E0) * (lat + bj + 0.5E0)) * 4096
+    AS BIGINT) * 16777216 + point_id) AS best FROM v_base CROSS JOIN fx_points GROUP BY ALL) q""",
+    # cells that hold points, and the first occupied ring around every base cell
+    "v_occ": """
+SELECT CAST(floor(lon) AS INT) AS pi, CAST(floor(-lat) AS INT) AS pj, count(*) AS points FROM fx_points GROUP BY ALL""",
+    "v_rings": """
+SELECT bi, bj, ring0, CAST(floor(sqrt(2) * (ring0 + 1) + 1) AS INT) + 1 AS rings FROM (
+  SELECT bi, bj, min(greatest(abs(bi - pi), abs(bj - pj))) AS ring0 FROM v_base CROSS JOIN v_occ GROUP BY bi, bj) q""",
 }
 
 ORDERED = {**VIEWS, **SQL_VIEWS}

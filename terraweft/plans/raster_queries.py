@@ -10,7 +10,7 @@ from terraweft.operators import align, cube, mosaic, resample, screen, stats
 from terraweft.operators.footprint import base_cells
 from terraweft.operators.splits import random_split
 from terraweft.plans.registry import near, query
-from terraweft.session import scratch_path
+from terraweft.session import cut_lineage, scratch_path
 from terraweft.sources import datasets
 
 
@@ -20,7 +20,7 @@ def legal_of(fx):
 
 def pyramid_of(fx):
     """Legal samples and their windows in the x layers."""
-    legal = legal_of(fx)
+    legal = cut_lineage(legal_of(fx))
     px = resample.gather_windows(legal, fx.pixels, fx.base, fx.x_layers)
     return legal, px.select("sample_id", "layer_id", "wi", "wj", "value")
 
