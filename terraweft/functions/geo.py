@@ -64,19 +64,11 @@ def in_bounds(fx: Column, fy: Column, nx: Column | int, ny: Column | int) -> Col
     return (fx >= 0) & (fy >= 0) & (fx < nx) & (fy < ny)
 
 
-def subpixel_offset(s: Column, n: int) -> Column:
-    """Centre of sub-pixel ``s`` of ``n``, as a fraction of the cell; halo indices are negative or >= n."""
-    return (2 * s + 1) / F.lit(2.0 * n)
-
-
 def subpixel_grid(df: DataFrame, n: int, pad: int = 0) -> DataFrame:
     """One row per sub-pixel of every cell, with ``pad`` extra rings around it: adds si, sj, ox, oy."""
-    steps = F.sequence(F.lit(-pad), F.lit(n + pad - 1))
-    return (
-        df.withColumn("si", F.explode(steps))
-        .withColumn("sj", F.explode(steps))
-        .withColumns({"ox": subpixel_offset(F.col("si"), n), "oy": subpixel_offset(F.col("sj"), n)})
-    )
+    steps = f"explode(sequence({-pad}, {n + pad - 1}))"
+    centres = [f"(2 * {s} + 1) / {2.0 * n}D AS {o}" for s, o in (("si", "ox"), ("sj", "oy"))]
+    return df.selectExpr("*", f"{steps} AS si").selectExpr("*", f"{steps} AS sj").selectExpr("*", *centres)
 
 
 def expected_size(base_res: Column | int, res: Column | int) -> Column:

@@ -128,11 +128,17 @@ SELECT sample_id, fold, CASE WHEN r <= ceil(round(n * 0.2E0, 9)) THEN 'val' ELSE
 SELECT CAST(a.i AS INT) AS bi, CAST(b.j AS INT) AS bj, nx * 70 // 140 + 1 AS gx, ny * 70 // 140 + 1 AS gy
 FROM v_dims, range(0, 1000000) AS a(i), range(0, 1000000) AS b(j)
 WHERE a.i < nx * 70 // 140 + 1 AND b.j < ny * 70 // 140 + 1""",
-    # nearest points by brute force; distances are multiples of 1/4096, so one integer orders (distance, id)
+    # nearest points among the candidates of the ring search; distances are multiples of 1/4096, so one integer orders
+    # (distance, id)
     "v_near": """
 SELECT bi, bj, si, sj, best % 16777216 AS point_id, (best // 16777216) / 4096.0E0 AS d2 FROM (
   SELECT bi, bj, si, sj, min(CAST(((lon - ux) * (lon - ux) + (lat + uy) * (lat + uy)) * 4096 AS BIGINT) * 16777216
-    + point_id) AS best FROM v_sub2 CROSS JOIN fx_points GROUP BY ALL) q""",
+    + point_id) AS best
+  FROM (SELECT bi, bj, pi, pj FROM v_rings JOIN v_occ
+        ON pi BETWEEN bi - rings + 1 AND bi + rings - 1 AND pj BETWEEN bj - rings + 1 AND bj + rings - 1) c
+  JOIN (SELECT point_id, lon, lat, CAST(floor(lon) AS INT) AS pi, CAST(floor(-lat) AS INT) AS pj FROM fx_points) p USING (pi, pj)
+  JOIN v_sub2 USING (bi, bj) GROUP BY ALL) q""",
+    # the same for cell centres by brute force over all points
     "v_near_ctr": """
 SELECT bi, bj, best % 16777216 AS point_id, (best // 16777216) / 4096.0E0 AS d2 FROM (
   SELECT bi, bj, min(CAST(((lon - bi - 0.5E0) * (lon - bi - 0.5E0) + (lat + bj + 0.5E0) * (lat + bj + 0.5E0)) * 4096
