@@ -58,23 +58,26 @@ def write_index_text(df: DataFrame, path: str, names: Sequence[str] = ("sample_i
 
 
 def read_cube_text(spark: SparkSession, path: str, layout: str = "hwc") -> DataFrame:
-    """Text cubes, one file per sample: file, si, sj, channel, value.
+    """Text cubes, one file per sample: file, any partition column, si, sj, channel, value.
 
     ``hwc`` files hold one line per pixel with a column per channel, ``chw`` files one line per channel with a column per
     pixel. The side of the (square) image follows from the number of pixels.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
-    lines = F.filter(F.split("value", "\n"), lambda s: F.trim(s) != "")
-    rows = files.select("file", F.size(lines).alias("_n"), F.posexplode(lines).alias("_line", "_text"))
-    cells = rows.select("file", "_n", "_line", F.posexplode(F.split("_text", ",")).alias("_col", "_v"), F.size(F.split("_text", ",")).alias("_m"))
+    read = spark.read.text(path, wholetext=True)
+    keys = ["file", *[c for c in read.columns if c != "value"]]
+    files = read.selectExpr("_metadata.file_name AS file", "*")
+    lines = files.selectExpr(*keys, "filter(split(value, '\n'), s -> trim(s) <> '') AS _lines")
+    rows = lines.selectExpr(*keys, "size(_lines) AS _n", "posexplode(_lines) AS (_line, _text)")
+    rows = rows.selectExpr(*keys, "_n", "_line", "split(_text, ',') AS _v")
+    cells = rows.selectExpr(*keys, "_n", "_line", "size(_v) AS _m", "posexplode(_v) AS (_col, _t)")
     pixel, channel, total = ("_line", "_col", "_n") if layout == "hwc" else ("_col", "_line", "_m")
-    side = F.round(F.sqrt(F.col(total))).cast("int")
-    return cells.select(
-        "file",
-        F.floor(F.col(pixel) / side).cast("int").alias("si"),
-        (F.col(pixel) % side).cast("int").alias("sj"),
-        F.col(channel).cast("int").alias("channel"),
-        F.trim("_v").cast("double").alias("value"),
+    side = f"int(round(sqrt({total})))"
+    return cells.selectExpr(
+        *keys,
+        f"int({pixel} div {side}) AS si",
+        f"{pixel} % {side} AS sj",
+        f"{channel} AS channel",
+        "double(trim(_t)) AS value",
     )
 
 
