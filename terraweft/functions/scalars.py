@@ -56,3 +56,9 @@ def equal_width_bin(value: Column, lo: Column, hi: Column, bins: int) -> Column:
 def range_sql(low: str, high: str) -> str:
     """SQL generator of one row per integer from low to high; none if low > high."""
     return f"explode(CASE WHEN int({low}) <= int({high}) THEN sequence(int({low}), int({high})) END)"
+
+
+def pearson_r(x: str, y: str) -> Column:
+    """Aggregate Pearson correlation over pairs without NULL; NULL where a side does not vary."""
+    a, b = f"CASE WHEN {y} IS NOT NULL THEN {x} END", f"CASE WHEN {x} IS NOT NULL THEN {y} END"
+    return F.expr(f"covar_pop({x}, {y}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0D)")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terraweft.functions.scalars import equal_width_bin
+from terraweft.functions.scalars import equal_width_bin, pearson_r
 from terraweft.functions.scale import bounded, exact_quantiles
 
 
@@ -28,8 +28,7 @@ def regression_error(preds: DataFrame, keys: Sequence[str] = ("fold", "target"))
 
 def pearson(preds: DataFrame, keys: Sequence[str] = ("fold", "target")) -> DataFrame:
     """Pearson r and r squared of target and prediction."""
-    r = F.corr("y", "yhat")
-    return preds.groupBy(*keys).agg(r.alias("r")).withColumn("r2", F.col("r") * F.col("r"))
+    return preds.groupBy(*keys).agg(pearson_r("y", "yhat").alias("r")).withColumn("r2", F.col("r") * F.col("r"))
 
 
 def fold_summary(metrics: DataFrame, value: str, keys: Sequence[str] = ("target",)) -> DataFrame:
@@ -47,17 +46,27 @@ def fold_summary(metrics: DataFrame, value: str, keys: Sequence[str] = ("target"
     )
 
 
+def _seconds(span: str) -> str:
+    """SQL of the length of a day-time interval in seconds."""
+    return (
+        f"(extract(DAY FROM {span}) * 86400 + extract(HOUR FROM {span}) * 3600 "
+        f"+ extract(MINUTE FROM {span}) * 60 + double(extract(SECOND FROM {span})))"
+    )
+
+
+LASTED = _seconds("(max(ts) - min(ts))")
+
+
 def elapsed(epoch_log: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
     """Seconds between the first and the last record."""
-    seconds = F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))
-    return epoch_log.groupBy(*keys).agg((seconds / 1e6).alias("seconds"))
+    return epoch_log.groupBy(*keys).agg(F.expr(f"{LASTED} AS seconds"))
 
 
 def epoch_times(epoch_log: DataFrame, keys: Sequence[str] = ("model", "fold")) -> DataFrame:
     """Seconds since the previous epoch; 0 for the first."""
-    w = Window.partitionBy(*keys).orderBy("epoch")
-    step = (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w))) / 1e6
-    return epoch_log.select(*keys, "epoch", F.coalesce(step, F.lit(0.0)).alias("seconds"))
+    before = F.lag("ts").over(Window.partitionBy(*keys).orderBy("epoch"))
+    steps = epoch_log.select(*keys, "epoch", (F.col("ts") - before).alias("_d"))
+    return steps.selectExpr(*keys, "epoch", f"coalesce({_seconds('_d')}, 0D) AS seconds")
 
 
 def compare_models(
@@ -72,8 +81,7 @@ def compare_models(
 
 def best_over_training(epoch_log: DataFrame, value: str = "val_loss") -> DataFrame:
     """Best value over all epochs per model, with the elapsed time."""
-    seconds = (F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 1e6
-    return epoch_log.groupBy("model").agg(F.min(value).alias("best"), seconds.alias("seconds"))
+    return epoch_log.groupBy("model").agg(F.min(value).alias("best"), F.expr(f"{LASTED} AS seconds"))
 
 
 def training_curve(epoch_log: DataFrame, value: str = "val_loss") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraweft.functions.scalars import equal_width_bin
+from terraweft.functions.scalars import equal_width_bin, pearson_r
 from terraweft.functions.scale import bounded
 from terraweft.operators.align import weighted_mode
 
@@ -115,7 +115,7 @@ def channel_target(cube_px: DataFrame, samples: DataFrame, keys: Sequence[str])
     """Correlation of every channel's sample mean with the target: channel, samples, r."""
     means = cube_px.groupBy(*keys, "channel").agg(F.avg("value").alias("m")).filter("m IS NOT NULL")
     joined = means.join(samples.select(*keys, "y"), list(keys))
-    return joined.groupBy("channel").agg(F.count(F.lit(1)).alias("samples"), F.corr("m", "y").alias("r"))
+    return joined.groupBy("channel").agg(F.count(F.lit(1)).alias("samples"), pearson_r("m", "y").alias("r"))
 
 
 def channel_target_pairs(cube_px: DataFrame, samples: DataFrame, keys: Sequence[str], channel: int) -> DataFrame:

@@ -99,23 +99,74 @@ def _(fx):
     return splits.free_cells(cells.select("bi", "bj"), cells.filter("y > 490000"), 2)
 
 
+REGIONS, TEST, VAL, BUFFER, FOLDS, SEED = 16, 0.2, 0.1, 2, 2, 3
+
+
 def _blocks(fx, method="tiles"):
     legal = cut_lineage(legal_of(fx))
-    return splits.spatial_block_split(legal, 12, (0.2, 0.1), buffer=2, folds=2, seed=3, method=method), legal
+    out = splits.spatial_block_split(legal, REGIONS, (TEST, VAL), buffer=BUFFER, folds=FOLDS, seed=SEED, method=method)
+    return out, legal
+
+
+def _block_set(name: str, cells: str, share: float, seed: str, method: str) -> str:
+    """CTEs that end in ``name``: the cells (sample_id, region) of one set of blocks."""
+    tiled = f"""{name}_p AS (SELECT total, side, side + {BUFFER} AS width FROM (SELECT total, CAST(ceil(sqrt(total / {REGIONS}.0E0)) AS BIGINT) AS side
+      FROM (SELECT CAST(floor(count(*) * {share}E0) AS BIGINT) AS total FROM v_legal) a) b),
+    {name}_t AS (SELECT c.*, side, width, total, CAST(floor(bi / width) AS BIGINT) AS tx, CAST(floor(bj / width) AS BIGINT) AS ty FROM {cells} c, {name}_p),"""
+    if method == "tiles":
+        seeds = f"""{name}_b AS (SELECT tx, ty, bi AS si, bj AS sj FROM (SELECT *, row_number() OVER (PARTITION BY tx, ty ORDER BY
+          greatest(abs(x - (side - 1) / 2.0E0), abs(y - (side - 1) / 2.0E0)), bi, bj) AS r FROM (SELECT *, bi - tx * width - {BUFFER // 2} AS x,
+          bj - ty * width - {BUFFER // 2} AS y FROM {name}_t) q WHERE x BETWEEN 0 AND side - 1 AND y BETWEEN 0 AND side - 1) z WHERE r = 1),
+        {name}_h AS (SELECT si, sj, md5(concat(tx, '_', ty, ':{seed}')) AS h FROM {name}_b),"""
+    else:
+        seeds = f"""{name}_k AS (SELECT *, md5(concat(bi, '_', bj, ':{seed}')) AS h, concat(bi, '_', bj) AS cid FROM {name}_t),
+        {name}_c AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY h, cid) AS o FROM {name}_k) q WHERE o <= {REGIONS * 50}),
+        {name}_b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tx, ty ORDER BY h, bi, bj) AS r FROM {name}_c) q WHERE r = 1),
+        {name}_h AS (SELECT bi AS si, bj AS sj, h FROM {name}_b a WHERE NOT EXISTS (SELECT 1 FROM {name}_b b WHERE b.h < a.h
+          AND abs(a.bi - b.bi) < a.width AND abs(a.bj - b.bj) < a.width AND abs(a.tx - b.tx) <= 1 AND abs(a.ty - b.ty) <= 1)),"""
+    return f"""{tiled} {seeds}
+    {name}_s AS (SELECT region, si, sj, oi, oj, (region + 1) * total // {REGIONS} - region * total // {REGIONS} AS quota FROM (SELECT si, sj, row_number() OVER (ORDER BY h) - 1
+      AS region, CASE WHEN CAST(concat('0x', substr(h, 32, 1)) AS INT) % 2 = 1 THEN 1 ELSE -1 END AS oi,
+      CASE WHEN CAST(concat('0x', substr(h, 31, 1)) AS INT) % 2 = 1 THEN 1 ELSE -1 END AS oj FROM {name}_h) q, {name}_p WHERE region < {REGIONS}),
+    {name}_n AS (SELECT sample_id, region, quota, greatest(abs(bi - si), abs(bj - sj)) AS ring, (bi - si) * oi AS di, (bj - sj) * oj AS dj
+      FROM {cells}, {name}_s, {name}_p WHERE greatest(abs(bi - si), abs(bj - sj)) <= 2 * side),
+    {name}_o AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY ring, region) AS o FROM {name}_n),
+    {name} AS (SELECT sample_id, CAST(region AS INT) AS region FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY ring, di, dj) AS r FROM {name}_o
+      WHERE o = 1) q WHERE r <= quota)"""
+
+
+def _block_sql(method: str) -> str:
+    sets = [_block_set("b_test", "v_legal", TEST, f"{SEED}:test", method)]
+    sets.append("b_rest AS (SELECT * FROM v_legal WHERE sample_id NOT IN (SELECT sample_id FROM b_test))")
+    sets += [_block_set(f"b_val{k}", "b_rest", VAL, f"{SEED}:{k}", method) for k in range(FOLDS)]
+    none = "CAST(NULL AS INT)"
+    parts = [
+        f"SELECT sample_id, {none} AS fold, 'test' AS role, region FROM b_test",
+        f"SELECT sample_id, {none}, 'remaining', {none} FROM b_rest",
+    ]
+    for k in range(FOLDS):
+        parts.append(f"SELECT sample_id, {k}, 'val', region FROM b_val{k}")
+        parts.append(f"SELECT sample_id, {k}, 'train', {none} FROM b_rest WHERE sample_id NOT IN (SELECT sample_id FROM b_val{k})")
+    return "WITH " + ",\n".join(sets) + "\n" + " UNION ALL ".join(parts)
 
 
-@query("r3_spatial_block_split")
+@query("r3_spatial_block_split", _block_sql("tiles"))
 def _(fx):
     return _blocks(fx)[0]
 
 
-@query("r3_block_sizes")
+@query(
+    "r3_block_sizes",
+    f"""SELECT role, fold, CAST(floor((SELECT count(*) FROM v_legal) * CASE role WHEN 'test' THEN {TEST}E0 ELSE {VAL}E0 END) AS BIGINT) AS wanted,
+        count(*) AS reached FROM ({_block_sql("tiles")}) b WHERE role IN ('test', 'val') GROUP BY role, fold""",
+)
 def _(fx):
     out, legal = _blocks(fx)
-    return splits.split_shortfall(out, legal, 12, (0.2, 0.1))
+    sizes = splits.split_shortfall(out, legal, REGIONS, (TEST, VAL))
+    return sizes.withColumn("wanted", F.col("wanted").cast("bigint"))
 
 
-@query("r4_rejection_block_split")
+@query("r4_rejection_block_split", _block_sql("reject"))
 def _(fx):
     return _blocks(fx, "reject")[0]
 

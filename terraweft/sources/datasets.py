@@ -5,9 +5,9 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from terraweft.functions.scalars import null_nodata
 
@@ -118,16 +118,20 @@ class Stage:
         self.path = path
         self.override = override
 
+    @property
+    def marker(self) -> str:
+        return f"{self.path}.complete"
+
     def done(self) -> bool:
-        """Whether a complete output exists; an interrupted write has no success marker."""
+        """Whether the output was written to the end; the marker beside it is written last."""
         try:
-            marker = self.spark.read.format("binaryFile").load(f"{self.path}/_SUCCESS")
-            return not marker.select("path").isEmpty()
+            return not self.spark.read.schema("id BIGINT").parquet(self.marker).isEmpty()
         except AnalysisException:
             return False
 
     def run_or_load(self, build: Callable[[], DataFrame]) -> DataFrame:
-        """Load the output if it is there, else build and write it. ``override`` always rebuilds."""
+        """Load the output if it is complete, else build and write it. ``override`` always rebuilds."""
         if self.override or not self.done():
             build().write.mode("overwrite").parquet(self.path)
+            self.spark.range(1).write.mode("overwrite").parquet(self.marker)
         return self.spark.read.parquet(self.path)
