@@ -32,8 +32,10 @@ def linear(cols: Sequence[str]) -> list:
     return [_assemble(cols), LinearRegression(regParam=0.0, **COLS)]
 
 
-def ridge(cols: Sequence[str], alpha: float = 1e-4) -> list:
-    return [_assemble(cols), LinearRegression(regParam=alpha, elasticNetParam=0.0, standardization=False, **COLS)]
+def ridge(cols: Sequence[str], alpha: float = 1e-4, spread: float = 1.0) -> list:
+    """Minimises 1/(2n) |y - Xw - b|^2 + alpha/2 |w|^2. ``spread`` is the standard deviation of the target, by which the
+    solver divides its L2 penalty (but not the L1 penalty)."""
+    return [_assemble(cols), LinearRegression(regParam=alpha * spread, elasticNetParam=0.0, standardization=False, **COLS)]
 
 
 def lasso(cols: Sequence[str], alpha: float = 0.2) -> list:
@@ -88,13 +90,17 @@ def kernel_ridge(
     kernel: str = "rbf",
     alpha: float = 1.0,
     rows: int = 1,
+    spread: float = 1.0,
     degree: int = 3,
     gamma: float | None = None,
     coef0: float = 1.0,
     size: int = 64,
     seed: int = 0,
 ) -> list:
-    """Kernel ridge as ridge on explicit features. ``rows`` is the number of training rows."""
+    """Kernel ridge as ridge on explicit features: |y - Xw|^2 + alpha |w|^2 without intercept.
+
+    ``rows`` and ``spread`` are the number of training rows and the standard deviation of their target.
+    """
     gamma = gamma or 1.0 / len(cols)
     if kernel == "linear":
         terms = [f"`{c}`" for c in cols]
@@ -105,9 +111,9 @@ def kernel_ridge(
     else:
         raise ValueError(f"unknown kernel {kernel}")
     solver = LinearRegression(
-        regParam=alpha / rows, elasticNetParam=0.0, standardization=False, fitIntercept=False, **COLS
+        regParam=alpha / rows * spread, elasticNetParam=0.0, standardization=False, fitIntercept=False, **COLS
     )
-    return [_mapped(terms), _assemble([f"_k{i}" for i in range(len(terms))]), solver]
+    return [_mapped([f"_sign * {t}" for t in terms]), _assemble([f"_k{i}" for i in range(len(terms))]), solver]
 
 
 MODELS: dict[str, Callable[..., list]] = {
@@ -124,14 +130,22 @@ MODELS: dict[str, Callable[..., list]] = {
 def fit(name: str, df: DataFrame, features: Sequence[str], label: str = "y", **params) -> PipelineModel:
     """Fit a model by name on the feature columns."""
     data = df.withColumnRenamed(label, "y") if label != "y" else df
-    if name == "kernel_ridge" and "rows" not in params:
-        params["rows"] = data.count()
+    if name == "kernel_ridge":
+        # turning the sign of a row and its target leaves the loss as it is, but lets the solver see the constant
+        # feature, which it would otherwise drop for want of variance
+        sign = F.when(F.pmod(F.xxhash64("y", *features), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+        data = data.withColumn("_sign", sign).withColumn("y", F.col("y") * F.col("_sign"))
+    if name in ("ridge", "kernel_ridge"):
+        size = data.agg(F.count(F.lit(1)).alias("rows"), F.stddev_pop("y").alias("spread")).first()
+        params["spread"] = size["spread"] or 1.0
+        if name == "kernel_ridge":
+            params["rows"] = size["rows"]
     return Pipeline(stages=MODELS[name](features, **params)).fit(data)
 
 
 def predict(model: PipelineModel, df: DataFrame, keys: Sequence[str] = ("sample_id",)) -> DataFrame:
     """Predictions as a table: keys, y, yhat."""
-    return model.transform(df).select(*keys, "y", "yhat")
+    return model.transform(df.withColumn("_sign", F.lit(1.0))).select(*keys, "y", "yhat")
 
 
 def save_model(model: PipelineModel, path: str, override: bool = False) -> None:
