@@ -15,8 +15,12 @@ SPLITS = 8
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a side for broadcast if counting proves that it has at most ``rows`` rows; else leave it to a shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """Mark a side for broadcast if it is shown to have at most ``rows`` rows; else leave it to a shuffle.
+
+    A side that qualifies is computed once, for the check and for the join.
+    """
+    head = cut_lineage(df.limit(rows + 1))
+    return F.broadcast(head) if head.count() <= rows else df
 
 
 def salted_join(
@@ -130,7 +134,7 @@ def exact_quantiles(
             )
         ),
     )
-    spot = cut_lineage(brackets.withColumn("_pos", F.col("prob") * (F.col("_n") - 1)))
+    spot = brackets.withColumn("_pos", F.col("prob") * (F.col("_n") - 1))
     # every value meets the few brackets of its group; values above a bracket drop out, those below are only counted
     met = df.join(bounded(spot), list(group))
     cols = [*group, "prob", "_pos"]

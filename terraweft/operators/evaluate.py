@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terraweft.functions.scalars import equal_width_bin, pearson_r
 from terraweft.functions.scale import bounded, exact_quantiles
+from terraweft.session import cut_lineage
 
 
 def _error() -> Column:
@@ -91,7 +92,7 @@ def training_curve(epoch_log: DataFrame, value: str = "val_loss") -> DataFrame:
 
 def error_distribution(metrics: DataFrame, key: str, value: str = "mse") -> DataFrame:
     """Per model: number of samples, mean and quartiles of the per-sample error averaged over folds."""
-    per_sample = metrics.groupBy(key, "sample_id").agg(F.avg(value).alias("e"))
+    per_sample = cut_lineage(metrics.groupBy(key, "sample_id").agg(F.avg(value).alias("e")))
     base = per_sample.groupBy(key).agg(F.count(F.lit(1)).alias("samples"), F.avg("e").alias("mean"))
     names = {0.25: "q1", 0.5: "median", 0.75: "q3"}
     cuts = exact_quantiles(per_sample, [key], "e", list(names))

@@ -68,7 +68,7 @@ def random_split(
 
     test and remaining rows have no fold; validation folds may overlap.
     """
-    ids = df.select(ident)
+    ids = cut_lineage(df.select(ident))
     marked = cut_lineage(take_random(ids, ident, _share(_count(ids), test_frac, rounding), seed, "_test"))
     rest = marked.filter(~F.col("_test")).select(ident)
     fixed = marked.select(
@@ -206,7 +206,7 @@ def spatial_block_split(
     finds too few cells within ``spread`` block sides stays short (see ``split_shortfall``). ``exclude_margin`` keeps
     training cells that far away from test cells.
     """
-    cells = legal.select("sample_id", "bi", "bj")
+    cells = cut_lineage(legal.select("sample_id", "bi", "bj"))
     n = cells.count()
     test = cut_lineage(_blocks(cells, int(n * partition[0]), regions, buffer, f"{seed}:test", method, spread))
     rest = cut_lineage(cells.join(test.select("sample_id"), "sample_id", "left_anti"))
