@@ -105,6 +105,14 @@ def literal_rows(spark: SparkSession, rows: Sequence[dict]) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(rows[0])})")
 
 
+def nodata_table(layers: DataFrame) -> DataFrame:
+    """layer_id and nodata of a catalog table, small enough to be broadcast; a larger table is refused."""
+    rows = layers.select("layer_id", "nodata").limit(MAX_LAYERS + 1).collect()
+    if len(rows) > MAX_LAYERS:
+        raise ValueError(f"a catalog holds at most {MAX_LAYERS} layers")
+    return F.broadcast(literal_rows(layers.sparkSession, [row.asDict() for row in rows]))
+
+
 def grid_extent(pixels: DataFrame) -> DataFrame:
     """Width and height of every layer, from its pixels."""
     return pixels.groupBy("layer_id").agg((F.max("ix") + 1).alias("nx"), (F.max("iy") + 1).alias("ny"))

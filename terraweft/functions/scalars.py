@@ -15,7 +15,7 @@ def null_nodata(value: Column, nodata: Column | float | None) -> Column:
     """NULL where a pixel is NaN or equals the nodata value of its layer."""
     known = ~F.isnan(value)
     if nodata is not None:
-        known = known & ((F.lit(nodata) if not isinstance(nodata, Column) else nodata).eqNullSafe(value) == F.lit(False))
+        known = known & ~value.eqNullSafe(nodata)
     return F.when(known, value)
 
 

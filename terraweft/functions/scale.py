@@ -108,32 +108,29 @@ def exact_quantiles(
     A sketch brackets every quantile, counting places the bracket, and only the distinct values inside it are sorted.
     """
     df = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(*group, F.col(value).alias("_v"))
-    margin = 10.0 / accuracy
-    low = [max(0.0, p - margin) for p in probs]
-    high = [min(1.0, p + margin) for p in probs]
+    # the margin around a quantile covers the error of the sketch and, in small groups, a few ranks
+    margins = [m for m in (1e-5, 1e-4, 1e-3, 1e-2, 1e-1) if m >= 10.0 / accuracy] + [1.0]
+    asked = sorted({min(max(p + s * m, 0.0), 1.0) for p in probs for m in margins for s in (-1, 1)})
+    at = {q: i for i, q in enumerate(asked)}
     sketch = df.groupBy(*group).agg(
         F.count(F.lit(1)).alias("_n"),
         F.min("_v").alias("_min"),
         F.max("_v").alias("_max"),
-        F.percentile_approx("_v", low + high, accuracy).alias("_s"),
+        F.percentile_approx("_v", asked, accuracy).alias("_s"),
     )
-    k = len(probs)
-    brackets = sketch.select(
-        *group,
-        "_n",
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(float(p)).alias("prob"),
-                        (F.col("_min") if low[i] == 0.0 else F.col("_s")[i]).alias("_lo"),
-                        (F.col("_max") if high[i] == 1.0 else F.col("_s")[k + i]).alias("_hi"),
-                    )
-                    for i, p in enumerate(probs)
-                ]
-            )
-        ),
+
+    def edge(p: float, sign: int, end: str) -> str:
+        picks = ""
+        for m in margins:
+            q = min(max(p + sign * m, 0.0), 1.0)
+            value = end if q in (0.0, 1.0) else f"_s[{at[q]}]"
+            picks += f" WHEN _n * {m!r}D >= 3 THEN {value}"
+        return f"CASE{picks} ELSE {end} END"
+
+    structs = ", ".join(
+        f"struct({float(p)!r}D AS prob, {edge(p, -1, '_min')} AS _lo, {edge(p, 1, '_max')} AS _hi)" for p in probs
     )
+    brackets = sketch.selectExpr(*group, "_n", f"inline(array({structs}))")
     spot = brackets.withColumn("_pos", F.col("prob") * (F.col("_n") - 1))
     # every value meets the few brackets of its group; values above a bracket drop out, those below are only counted
     met = df.join(bounded(spot), list(group))

@@ -9,10 +9,9 @@ import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from terraweft.catalog import Catalog, Layer, with_extent
-from terraweft.functions.scalars import null_nodata
+from terraweft.sources.datasets import clean_pixels
 
 VIEWS = {
     "fx_layers": """
@@ -208,9 +207,7 @@ class Fixtures:
 
     @cached_property
     def pixels(self) -> DataFrame:
-        nodata = self.layers.select("layer_id", "nodata")
-        joined = self.raw_pixels.join(F.broadcast(nodata), "layer_id")
-        return joined.select("layer_id", "ix", "iy", null_nodata(F.col("value"), F.col("nodata")).alias("value"))
+        return clean_pixels(self.raw_pixels, self.layers)
 
     @cached_property
     def points(self) -> DataFrame:

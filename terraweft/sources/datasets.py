@@ -9,14 +9,15 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terraweft.catalog import nodata_table
 from terraweft.functions.scalars import null_nodata
 
 NO_FOLD = -1
 
 
 def clean_pixels(pixels: DataFrame, layers: DataFrame) -> DataFrame:
-    """Pixel table with nodata and NaN as NULL. ``layers`` is a catalog table and small by contract."""
-    joined = pixels.join(F.broadcast(layers.select("layer_id", "nodata")), "layer_id")
+    """Pixel table with nodata and NaN as NULL."""
+    joined = pixels.join(nodata_table(layers), "layer_id")
     return joined.select("layer_id", "ix", "iy", null_nodata(F.col("value"), F.col("nodata")).alias("value"))
 
 

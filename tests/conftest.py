@@ -53,7 +53,7 @@ def same_rows(a: pd.DataFrame, b: pd.DataFrame) -> None:
         df = df[cols].copy()
         for c in cols:
             if df[c].dtype == object or str(df[c].dtype).startswith(("Int", "bool")):
-                df[c] = pd.to_numeric(df[c], errors="ignore") if df[c].map(type).ne(str).all() else df[c].astype(str)
+                df[c] = df[c].astype(str) if df[c].map(type).eq(str).any() else df[c].astype(float)
             if df[c].dtype.kind in "iuf":
                 df[c] = df[c].astype(float)
         return df.sort_values(cols, na_position="first").reset_index(drop=True)

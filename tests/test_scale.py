@@ -65,12 +65,13 @@ def test_take_quota_per_group(rows):
         assert set(part[part["keep"]]["id"]) == set(want)
 
 
-def test_exact_quantiles_with_repeated_values(spark):
+@pytest.mark.parametrize("accuracy", [1000, 100_000])
+def test_exact_quantiles_with_repeated_values(spark, accuracy):
     rng = np.random.default_rng(3)
-    values = np.concatenate([rng.normal(size=2001), np.full(1500, 0.25)])
-    pdf = pd.DataFrame({"g": ["a"] * 2501 + ["b"] * 1000, "v": values})
-    probs = [0.0, 0.25, 0.5, 0.75, 1.0]
-    got = scale.exact_quantiles(spark.createDataFrame(pdf), ["g"], "v", probs, accuracy=1000).toPandas()
+    values = rng.permutation(np.concatenate([rng.normal(size=2001), np.full(1500, 0.25)]))
+    pdf = pd.DataFrame({"g": ["a"] * 2501 + ["b"] * 900 + ["c"] * 97 + ["d"] * 3, "v": values})
+    probs = [0.0, 0.25, 0.5, 0.733, 1.0]
+    got = scale.exact_quantiles(spark.createDataFrame(pdf), ["g"], "v", probs, accuracy=accuracy).toPandas()
     for g, part in pdf.groupby("g"):
         mine = got[got["g"] == g].sort_values("prob")["quantile"].to_numpy()
         np.testing.assert_allclose(mine, np.quantile(part["v"], probs), rtol=0, atol=1e-12)
