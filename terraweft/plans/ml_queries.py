@@ -28,9 +28,9 @@ def folds_of(data):
     return splits.random_split(data, folds=3, test_frac=0.2, val_frac=0.25, seed=4)
 
 
-def scores(fx, name, folds=(0, 1), **params):
+def scores(fx, name, folds=(0, 1), features=FEATURES, **params):
     data = features_of(fx)
-    preds, _ = ml.cross_validate(data, folds_of(data), name, FEATURES, folds, **params)
+    preds, _ = ml.cross_validate(data, folds_of(data), name, features, folds, **params)
     return _score(preds)
 
 
@@ -44,24 +44,63 @@ def _score(preds):
     )
 
 
-@query("m1_linear")
+PAIR = ["mean_1", "mean_2"]
+
+# the same samples, features and folds in SQL; a and b are the two features of the closed forms
+SETUP = """
+WITH feat AS (SELECT * FROM (SELECT sample_id, y / 1e5 AS y, avg(value) FILTER (WHERE channel = 1) / 1e5 AS a,
+    avg(value) FILTER (WHERE channel = 2) / 1e5 AS b, avg(value) FILTER (WHERE channel = 3) AS c
+  FROM (SELECT row_number() OVER (ORDER BY bi, bj) - 1 AS sample_id, * FROM v_base) s JOIN v_cube USING (bi, bj) GROUP BY ALL) q
+  WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL),
+ranked AS (SELECT sample_id, row_number() OVER (ORDER BY md5(concat(sample_id, ':4')), sample_id) AS r, count(*) OVER () AS n FROM feat),
+folded AS (SELECT sample_id, fold, row_number() OVER (PARTITION BY fold ORDER BY md5(concat(sample_id, ':4:', fold)), sample_id) AS r,
+  n - ceil(round(n * 0.2E0, 9)) AS n FROM ranked CROSS JOIN (VALUES (0),(1),(2)) AS f(fold) WHERE r > ceil(round(n * 0.2E0, 9))),
+used AS (SELECT fold, r <= ceil(round(n * 0.25E0, 9)) AS val, feat.* FROM folded JOIN feat USING (sample_id))"""
+SCORED = """SELECT '{model}' AS model, CAST(fold AS INT) AS fold, count(*) AS samples, round(avg((yhat - y) * (yhat - y)), 4) AS mse,
+  round(avg(abs(yhat - y)), 4) AS mae, round(corr(y, yhat), 4) AS r FROM ({preds}) p WHERE fold IN ({folds}) GROUP BY fold"""
+
+
+def _two_features(penalty: str = "0") -> str:
+    """Predictions of least squares with intercept on a and b, with an L2 penalty on the coefficients."""
+    return f"""SELECT u.fold, sample_id, u.y, my + (cya * sbb - cyb * cab) / det * (a - ma) + (cyb * saa - cya * cab) / det * (b - mb) AS yhat
+      FROM used u JOIN (SELECT *, saa * sbb - cab * cab AS det FROM (SELECT fold, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, var_pop(a) + {penalty} AS saa,
+        var_pop(b) + {penalty} AS sbb, covar_pop(a, b) AS cab, covar_pop(y, a) AS cya, covar_pop(y, b) AS cyb FROM used WHERE NOT val GROUP BY fold) m) k
+      USING (fold) WHERE val"""
+
+
+def _twin(model: str, preds: str, folds: str = "0, 1") -> str:
+    return SETUP + SCORED.format(model=model, preds=preds, folds=folds)
+
+
+LASSO = """SELECT u.fold, sample_id, u.y, my + sign(cov) * greatest(abs(cov) - 0.002, 0) / s * (b - mb) AS yhat FROM used u JOIN
+  (SELECT fold, avg(y) AS my, avg(b) AS mb, var_pop(b) AS s, covar_pop(y, b) AS cov FROM used WHERE NOT val GROUP BY fold) k USING (fold) WHERE val"""
+KERNEL = """SELECT u.fold, sample_id, u.y, ((ya * bb - yb * ab) * a + (yb * aa - ya * ab) * b) / (aa * bb - ab * ab) AS yhat FROM used u JOIN
+  (SELECT fold, sum(a * a) + 0.2 AS aa, sum(b * b) + 0.2 AS bb, sum(a * b) AS ab, sum(y * a) AS ya, sum(y * b) AS yb FROM used WHERE NOT val
+   GROUP BY fold) k USING (fold) WHERE val"""
+FULL_FIT = SETUP + """SELECT sample_id, y, round(my + (cya * sbb - cyb * cab) / det * (a - ma) + (cyb * saa - cya * cab) / det * (b - mb), 6) AS yhat
+  FROM feat, (SELECT *, saa * sbb - cab * cab AS det FROM (SELECT avg(y) AS my, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS saa, var_pop(b) AS sbb,
+    covar_pop(a, b) AS cab, covar_pop(y, a) AS cya, covar_pop(y, b) AS cyb FROM feat) m) k"""
+
+
+@query("m1_linear", _twin("linear", _two_features()))
 def _(fx):
-    return scores(fx, "linear")
+    return scores(fx, "linear", features=PAIR)
 
 
-@query("m2_ridge")
+@query("m2_ridge", _twin("ridge", _two_features("0.05")))
 def _(fx):
-    return scores(fx, "ridge", alpha=1e-4)
+    return scores(fx, "ridge", features=PAIR, alpha=0.05)
 
 
-@query("m3_lasso")
+@query("m3_lasso", _twin("lasso", LASSO))
 def _(fx):
-    return scores(fx, "lasso", alpha=0.2)
+    return scores(fx, "lasso", features=["mean_2"], alpha=0.002)
 
 
-@query("m4_pca_lr")
+# all components are kept, so the result is that of the plain regression
+@query("m4_pca_lr", _twin("pca_lr", _two_features()))
 def _(fx):
-    return scores(fx, "pca_lr", k=2)
+    return scores(fx, "pca_lr", features=PAIR, k=2)
 
 
 @query("m5_random_forest")
@@ -74,9 +113,9 @@ def _(fx):
     return scores(fx, "gbt", folds=(0,), rounds=10, depth=3)
 
 
-@query("m7_kernel_ridge_linear")
+@query("m7_kernel_ridge_linear", _twin("kernel_ridge", KERNEL))
 def _(fx):
-    return scores(fx, "kernel_ridge", folds=(0,), kernel="linear", alpha=0.2)
+    return scores(fx, "kernel_ridge", features=PAIR, kernel="linear", alpha=0.2)
 
 
 @query("m7_kernel_ridge_polynomial")
@@ -89,26 +128,26 @@ def _(fx):
     return scores(fx, "kernel_ridge", folds=(0,), kernel="rbf", alpha=0.2, size=32)
 
 
-@query("m8_cross_validate")
+@query("m8_cross_validate", "SELECT *, TRUE AS timed FROM (" + _twin("linear", _two_features(), "0, 1, 2") + ") t")
 def _(fx):
     data = features_of(fx)
-    preds, times = ml.cross_validate(data, folds_of(data), "linear", FEATURES, (0, 1, 2))
+    preds, times = ml.cross_validate(data, folds_of(data), "linear", PAIR, (0, 1, 2))
     timed = times.select("model", "fold", (F.col("train_seconds") > 0).alias("timed"))
     return _score(preds).join(timed, ["model", "fold"])
 
 
-@query("m9_predict")
+@query("m9_predict", FULL_FIT)
 def _(fx):
     data = features_of(fx)
-    return ml.predict(ml.fit("linear", data, FEATURES), data)
+    return ml.predict(ml.fit("linear", data, PAIR), data).withColumn("yhat", F.round("yhat", 6))
 
 
-@query("m10_save_load")
+@query("m10_save_load", FULL_FIT)
 def _(fx):
     data = features_of(fx)
     path = scratch_path(fx.spark, "model")
-    ml.save_model(ml.fit("linear", data, FEATURES), path)
-    return ml.predict(ml.load_model(path), data)
+    ml.save_model(ml.fit("linear", data, PAIR), path)
+    return ml.predict(ml.load_model(path), data).withColumn("yhat", F.round("yhat", 6))
 
 
 @query("m12_reconstruction_study")
