@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -28,7 +29,11 @@ def local_session(cpus: str = "8", app: str = "terraweft", memory: str = "8g") -
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that every executor can reach, as named by the session."""
-    folder = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
+    context = spark.sparkContext
+    folder = spark.conf.get(CHECKPOINT_KEY, None) or context.getCheckpointDir()
+    if not folder and context.master.startswith("local"):
+        # a single machine is its own cluster
+        folder = f"{tempfile.gettempdir()}/terraweft-checkpoints"
     if not folder:
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
     return folder.rstrip("/")
@@ -39,7 +44,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/terraweft-{uuid.uuid4().hex[:12]}/{name}"
 
 
-def cut_lineage(df):
+def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and read them back, so lost executors do not repeat the work."""
     spark = df.sparkSession
     context = spark.sparkContext
