@@ -275,7 +275,7 @@ TILE_SIDES = "(SELECT layer_id, ix, iy, value, CASE WHEN layer_id = 0 THEN 9 ELS
 
 @query(
     "c1_cut_tiles",
-    f"""SELECT (ix // side) * 4 + iy // side AS tile_id, layer_id, ix % side AS r, iy % side AS c, value FROM {TILE_SIDES} t
+    f"""SELECT CAST((ix // side) * 4 + iy // side AS BIGINT) AS tile_id, layer_id, ix % side AS r, iy % side AS c, value FROM {TILE_SIDES} t
         WHERE ix // side < 4 AND iy // side < 4""",
 )
 def _(fx):

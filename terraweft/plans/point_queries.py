@@ -124,7 +124,7 @@ def _(fx):
 @query(
     "j9_points_in_box",
     """SELECT bi, bj, count(*) AS points, near(sum(cover_z_0)) AS total, min(point_id) AS first_id, max(point_id) AS last_id
-       FROM (SELECT point_id, cover_z_0, CAST(floor(lon) AS INT) - dx AS bi, CAST(floor(-lat) AS INT) - dy AS bj
+       FROM (SELECT point_id, cover_z_0, CAST(floor(lon) - dx AS INT) AS bi, CAST(floor(-lat) - dy AS INT) AS bj
              FROM fx_points, range(-4, 5) AS a(dx), range(-4, 5) AS b(dy)) q JOIN v_base USING (bi, bj) GROUP BY bi, bj""",
 )
 def _(fx):
@@ -134,7 +134,7 @@ def _(fx):
 
 @query(
     "j9_points_in_box_list",
-    """SELECT bi, bj, point_id FROM (SELECT point_id, CAST(floor(lon) AS INT) - dx AS bi, CAST(floor(-lat) AS INT) - dy AS bj
+    """SELECT bi, bj, point_id FROM (SELECT point_id, CAST(floor(lon) - dx AS INT) AS bi, CAST(floor(-lat) - dy AS INT) AS bj
        FROM fx_points, range(-1, 2) AS a(dx), range(-1, 2) AS b(dy)) q JOIN v_base USING (bi, bj)""",
 )
 def _(fx):
