@@ -135,6 +135,7 @@ def flagship(fx):
 )
 def _(fx):
     legal, px = pyramid_of(fx)
+    px = cut_lineage(px)  # read twice: for the ranges and to be scaled
     normed = stats.minmax_norm(px, stats.layer_minmax(px, splits_of(legal)), 1)
     return normed.withColumn("value", F.round("value", 9))
 
