@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraweft.llm import exact, mixing
+from terraweft.llm import credentials, exact, licenses, mixing, personal, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,7 +23,23 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_mix_sources, op3_exact_dedup)}
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.clean_lines(documents(spark, sf_dir), with_text=False)
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.scan_secrets(documents(spark, sf_dir))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, sf_dir))
+
+
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.scan_personal(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_mix_sources, op3_exact_dedup, op5_quality_rules, op6_secret_scan, op7_license_scan, op8_personal_data)}
 
 TWINS: dict[str, str] = {}
 
@@ -75,3 +91,29 @@ ranked AS (
          count(*) OVER (PARTITION BY text_sha256) AS group_size FROM bodies)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM ranked
 """
+
+PHRASES = quality.BOILERPLATE
+TWINS["op5_quality_rules"] = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+worded AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM docs),
+windows AS (
+  SELECT r, i, CAST(list_slice(w, i, i + 7) AS VARCHAR[]) AS win FROM (SELECT r, w, unnest(range(1, CAST(len(w) - 6 AS BIGINT))) AS i FROM worded WHERE len(w) >= 8)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY 1),
+split_lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs),
+lines AS (
+  SELECT r, line, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') AS lw, length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g')) AS chars,
+         length(line) - length(regexp_replace(line, '[#*$%&<>{{}}~^=_\\x5C]', '', 'g')) AS marks, length(line) - length(replace(line, '|', '')) AS seps FROM split_lines),
+judged AS (
+  SELECT r, line, len(lw) AS n, chars, len(lw) > 0 AND (10 * marks > chars OR (seps >= 3 AND 6 * seps >= len(lw))
+    OR 3 * len(list_filter(lw, lambda x: ends_with(x, '!!'))) >= 2 * len(lw) OR regexp_matches(line, '(?i){PHRASES}')) AS fails FROM lines),
+summed AS (
+  SELECT r, CAST(sum(chars) AS BIGINT) AS word_chars, CAST(sum(CASE WHEN fails THEN chars ELSE 0 END) AS BIGINT) AS lost_chars,
+         count(*) FILTER (WHERE n > 0) - count(DISTINCT line) FILTER (WHERE n > 0) AS n_dup_lines FROM judged GROUP BY 1),
+joined AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words, lost_chars
+  FROM worded JOIN summed USING (r) LEFT JOIN covered USING (r))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 2 * lost_chars <= word_chars AS kept FROM joined
+"""
