@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraweft.llm import credentials, exact, licenses, mixing, personal, quality
+from terraweft.llm import credentials, exact, licenses, mixing, near, personal, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(documents(spark, sf_dir), percent=85)
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).drop("source")
 
@@ -39,7 +43,7 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.scan_personal(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_mix_sources, op3_exact_dedup, op5_quality_rules, op6_secret_scan, op7_license_scan, op8_personal_data)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_mix_sources, op3_exact_dedup, op5_quality_rules, op6_secret_scan, op7_license_scan, op8_personal_data)}
 
 TWINS: dict[str, str] = {}
 
