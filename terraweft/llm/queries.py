@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraweft.llm import credentials, exact, licenses, mixing, near, personal, quality
+from terraweft.llm import credentials, exact, language, licenses, mixing, near, personal, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(documents(spark, sf_dir))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean_lines(documents(spark, sf_dir), with_text=False)
 
@@ -43,7 +47,7 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.scan_personal(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_mix_sources, op3_exact_dedup, op5_quality_rules, op6_secret_scan, op7_license_scan, op8_personal_data)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_mix_sources, op3_exact_dedup, op4_language_id, op5_quality_rules, op6_secret_scan, op7_license_scan, op8_personal_data)}
 
 TWINS: dict[str, str] = {}
 
