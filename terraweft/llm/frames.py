@@ -16,14 +16,25 @@ from terraweft.session import scratch_path
 #: Separators of words, as in the contract's word pattern.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
+
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows to the shared folder and read them back: cuts the lineage and outlives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write the rows to the shared folder and read them back: cuts the lineage and outlives lost executors.
+
+    Nothing reads the shuffle files of the write once it is done, so they go with it instead of waiting for the driver's garbage collection.
+    """
+    spark = df.sparkSession
+    path, before = scratch_path(spark, name), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def running_before(df: DataFrame, group: list[str], bucket: str, order: list[Column], value: str, name: str, extra: DataFrame | None = None) -> DataFrame:

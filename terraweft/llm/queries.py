@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraweft.llm import credentials, exact, language, licenses, mixing, near, personal, quality
+from terraweft.llm import credentials, exact, language, licenses, mixing, near, packing, personal, quality, repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,7 +47,15 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.scan_personal(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_mix_sources, op3_exact_dedup, op4_language_id, op5_quality_rules, op6_secret_scan, op7_license_scan, op8_personal_data)}
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(documents(spark, sf_dir))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_mix_sources, op3_exact_dedup, op4_language_id, op5_quality_rules, op6_secret_scan, op7_license_scan, op8_personal_data, op9_repeated_passages, op10_best_fit_packing)}
 
 TWINS: dict[str, str] = {}
 
