@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraweft.llm.frames import SPACE, written
+from terraweft.llm.frames import SPACE, fresh, written
 
 
 def normalised(text: str = "text") -> Column:
@@ -62,3 +62,15 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cap
     members = body.select("doc_id", F.xxhash64("body").alias("key"), F.sha2("body", 256).alias("text_sha256"))
     found = members.join(index, ["key", "text_sha256"])
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+
+
+def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = 20_000, depth: int = 12) -> DataFrame:
+    """The rows of ``docs`` that exact_dedup keeps, one per different text, all columns as they were.
+
+    Rows are looked up by text and id together, so a text with many copies is no hot key. Of repeated rows any one stays.
+    """
+    digest, name = fresh(docs, "_digest"), fresh(docs, "_name")
+    stay = hash_index(docs, doc_id, text, capacity, depth)
+    stay = stay.select(F.col("text_sha256").alias(digest), F.coalesce(F.col("keep_id").cast("string"), F.lit("")).alias(name))
+    keyed = docs.withColumn(digest, F.sha2(normalised(text), 256)).withColumn(name, F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
+    return keyed.join(stay, [digest, name], "left_semi").dropDuplicates([digest, name]).select(*docs.columns)

@@ -74,3 +74,11 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if data is None or not len(raw):
         return np.zeros(0, np.uint8), np.zeros(len(raw) + 1, np.int64)
     return np.frombuffer(data, dtype=np.uint8)[starts[0] : starts[-1]], starts - starts[0]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have, in either case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -237,3 +237,23 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     kind = docs.schema[doc_id].dataType.simpleString()
     read = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), (remainder(doc_id) == 1).alias("held_out"))
     return read.mapInArrow(_predict(net), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", least_score: float = 0.4, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """The rows of ``docs`` whose text has a language with a score of ``least_score`` at least, all columns as they were.
+
+    Null, empty and letterless texts go. Without a label to learn from, no text is identified and no row stays.
+    """
+    net = train(docs, doc_id, text, lang, per_language)
+    return docs.mapInArrow(_keep(net, text, least_score), docs.schema)
+
+
+def _keep(net: Network | None, text: str, least_score: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = net.compiled() if net else None
+        for batch in batches:
+            for part, data, offsets in blocks(batch, text):
+                names, scores = predict(part.column(text), data, offsets, score)
+                yield part.filter(pa.array([n != UNKNOWN and s >= least_score for n, s in zip(names, scores, strict=True)], pa.bool_()))
+
+    return run

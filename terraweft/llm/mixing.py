@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terraweft.llm.frames import WORD, running_before, written
+from terraweft.llm.frames import WORD, fresh, running_before, written
 
 #: Parts of the golden ratio's fraction for the low 20 bits of a slot number and for the rest.
 STEP, STEP_HIGH = 0.6180339887498949, (0.6180339887498949 * (1 << 20)) % 1.0
@@ -96,3 +96,18 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     given = cut.join(uses, ["sid", "block"], "left").groupBy(*whole).agg(F.sum(overlap * F.coalesce("uses", F.lit(0))).alias("taken"))
     nothing = placed.where("size = 0").select(*whole, F.lit(0).cast("long").alias("taken"))
     return given.unionByName(nothing).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long"), "source")
+
+
+def repeat_to_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", repeats: int = 3) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, all columns as they were: words taken over words, rounded.
+
+    A document that the mix takes less than half of does not come; one without words neither. Rows that share id, source and number of words
+    come equally often.
+    """
+    names = [fresh(docs, n) for n in ("_id", "_source", "_size", "_copies")]
+    mixed = mix(docs, doc_id, text, source, repeats).where("size > 0")
+    copies = mixed.withColumn("copies", F.expr("(2 * taken + size) div (2 * size)")).where("copies > 0")
+    copies = copies.groupBy("doc_id", "source", "size").agg(F.max("copies")).toDF(*names)
+    same = F.col(doc_id).eqNullSafe(F.col(names[0])) & F.col(source).eqNullSafe(F.col(names[1])) & (word_count(text) == F.col(names[2]))
+    found = docs.join(copies, same)
+    return found.withColumn(names[3], F.explode(F.sequence(F.lit(1).cast("long"), F.col(names[3])))).select(*docs.columns)

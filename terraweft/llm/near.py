@@ -261,3 +261,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = signed.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
     component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that near_duplicates keeps, one document per group, all columns as they were."""
+    stay = near_duplicates(docs, doc_id, text, percent).where("kept").select(F.col("doc_id").alias("_kept_id"))
+    return docs.join(stay, F.col(doc_id).eqNullSafe(F.col("_kept_id")), "left_semi")
