@@ -37,7 +37,7 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, spans: Spans, length: int) ->
     for first in range(0, len(offsets) - 1):
         begin, end = int(offsets[first]), int(offsets[first + 1])
         if end - begin > PART:
-            for at in range(begin, end - length + 1, PART - length):
+            for at in range(begin, end - length + 1, PART - length + 1):
                 to = min(end, at + PART)
                 got = _runs(data[at:to], np.array([0, to - at]), spans, length)
                 got["row"] += first
