@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terraweft.functions.scalars import hash_int, order_hash
+from terraweft.functions.scalars import hash_int
 from terraweft.functions.scale import bucket_rank, hash_rank, take_quota, take_random
 from terraweft.session import cut_lineage
 
+#: Seeds are rows on the driver.
+MOST_REGIONS = 100_000
+
 
 def shuffle(df: DataFrame, ident: str, seed: int, name: str = "position") -> DataFrame:
     """Repeatable random order as a 0-based position."""
@@ -98,95 +102,162 @@ def free_cells(legal: DataFrame, taken: DataFrame, b: int) -> DataFrame:
 
 
 def quotas(total: int, regions: int) -> list[int]:
-    """Cells per region: the fractional part is carried on to later regions."""
-    out, carry, share = [], 0.0, total / regions
-    for _ in range(regions):
-        carry += share - int(share)
-        out.append(int(share) + int(carry))
-        carry %= 1
-    return out
+    """Whole cells per region that add up to the total."""
+    return [(i + 1) * total // regions - i * total // regions for i in range(regions)]
+
+
+def _key_of_lot(names: Sequence[str]) -> Column:
+    return F.element_at(F.array(*[F.lit(name) for name in names]), F.col("lot") + 1)
+
+
+def _digest(text: Column, names: Sequence[str]) -> Column:
+    return F.md5(F.concat(text, F.lit(":"), _key_of_lot(names)).cast("binary"))
 
 
-def _tile_seeds(cells: DataFrame, side: int, buffer: int, n: int, seed: str) -> DataFrame:
-    """One seed in the central square of each of n tiles taken in hash order; seeds are more than ``buffer`` apart."""
+def _tiled(width: int, x: str = "bi", y: str = "bj") -> dict[str, Column]:
+    return {"tx": F.floor(F.col(x) / width), "ty": F.floor(F.col(y) / width)}
+
+
+def _around(df: DataFrame) -> DataFrame:
+    """Each row in its own tile and the eight beside it."""
+    step = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    wide = df.withColumn("_d", step).withColumn("tx", F.col("tx") + F.col("_d"))
+    return wide.withColumn("_d", step).withColumn("ty", F.col("ty") + F.col("_d")).drop("_d")
+
+
+def _tile_seeds(cells: DataFrame, side: int, buffer: int, names: Sequence[str]) -> DataFrame:
+    """One seed in the central square of each tile, so seeds are more than ``buffer`` apart: lot, si, sj, h."""
     width = side + buffer
     low = buffer // 2
-    tx, ty = F.floor(F.col("bi") / width), F.floor(F.col("bj") / width)
-    inner = cells.withColumns({"tx": tx, "ty": ty}).withColumns(
+    inner = cells.withColumns(_tiled(width)).withColumns(
         {"_x": F.col("bi") - F.col("tx") * width - low, "_y": F.col("bj") - F.col("ty") * width - low}
     )
     inner = inner.filter(F.col("_x").between(0, side - 1) & F.col("_y").between(0, side - 1))
     mid = (side - 1) / 2
     off = F.greatest(F.abs(F.col("_x") - mid), F.abs(F.col("_y") - mid))
-    best = inner.groupBy("tx", "ty").agg(F.min(F.struct(off.alias("off"), "bi", "bj")).alias("s"))
-    digest = order_hash(F.concat_ws("_", "tx", "ty"), seed)
-    return best.select(F.col("s.bi").alias("si"), F.col("s.bj").alias("sj"), digest.alias("h")).orderBy("h").limit(n)
+    best = inner.groupBy("lot", "tx", "ty").agg(F.min(F.struct(off.alias("off"), "bi", "bj")).alias("s"))
+    return best.select("lot", F.col("s.bi").alias("si"), F.col("s.bj").alias("sj"), _digest(F.concat_ws("_", "tx", "ty"), names).alias("h"))
 
 
-def _reject_seeds(cells: DataFrame, side: int, buffer: int, n: int, seed: str, tries: int = 50) -> DataFrame:
-    """Uniform candidates; one stands if no better-ranked candidate lies in its padded rectangle."""
-    keyed = cells.withColumn("_id", F.concat_ws("_", "bi", "bj"))
-    tried = take_random(keyed, "_id", n * tries, seed, "_keep").filter("_keep")
-    tried = tried.select("bi", "bj", order_hash(F.col("_id"), seed).alias("h"))
-    width = side + buffer
-    tile = {"tx": F.floor(F.col("bi") / width), "ty": F.floor(F.col("bj") / width)}
-    near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    # only the best candidate per tile can stand; others lose to it
-    best = tried.withColumns(tile).groupBy("tx", "ty").agg(F.min(F.struct("h", "bi", "bj")).alias("s"))
-    best = cut_lineage(best.select("tx", "ty", F.col("s.h").alias("h"), F.col("s.bi").alias("bi"), F.col("s.bj").alias("bj")))
-    around = best.select("tx", "ty", F.col("h").alias("h2"), F.col("bi").alias("bi2"), F.col("bj").alias("bj2"))
-    around = around.withColumn("_d", near).withColumn("tx", F.col("tx") + F.col("_d"))
-    around = around.withColumn("_d", near).withColumn("ty", F.col("ty") + F.col("_d")).drop("_d")
-    close = (F.abs(F.col("bi") - F.col("bi2")) < width) & (F.abs(F.col("bj") - F.col("bj2")) < width)
-    beaten = best.join(around, ["tx", "ty"]).filter(close & (F.col("h2") < F.col("h"))).select("h")
-    stand = best.join(beaten.distinct(), "h", "left_anti")
-    return stand.select(F.col("bi").alias("si"), F.col("bj").alias("sj"), "h").orderBy("h").limit(n)
+def _distant_seeds(cells: DataFrame, standing: Sequence[dict], apart: int, names: Sequence[str]) -> DataFrame:
+    """Cells farther than ``apart`` from the standing seeds that no better-ranked such cell is near: lot, si, sj, h.
 
+    The best-ranked cell of a lot always stands, so a round gives a seed to every lot that has a cell left.
+    """
+    width = apart + 1
+    keyed = cells.withColumns(_tiled(width)).withColumn("h", _digest(F.concat_ws("_", "bi", "bj"), names))
+    if standing:
+        rows = [(s["lot"], s["si"], s["sj"]) for s in standing]
+        near = _around(cells.sparkSession.createDataFrame(rows, "lot int, si bigint, sj bigint").withColumns(_tiled(width, "si", "sj")))
+        close = (F.abs(F.col("bi") - F.col("si")) <= apart) & (F.abs(F.col("bj") - F.col("sj")) <= apart)
+        same = [F.col(f"c.{k}") == F.col(f"n.{k}") for k in ("lot", "tx", "ty")]
+        keyed = keyed.alias("c").join(near.alias("n"), [*same, close], "left_anti")
+    # only the best cell of a tile can stand; others lose to it
+    best = keyed.groupBy("lot", "tx", "ty").agg(F.min(F.struct("h", "bi", "bj")).alias("s"))
+    best = cut_lineage(best.select("lot", "tx", "ty", "s.h", "s.bi", "s.bj"))
+    others = _around(best.withColumnsRenamed({"h": "h2", "bi": "bi2", "bj": "bj2"}))
+    close = (F.abs(F.col("bi") - F.col("bi2")) <= apart) & (F.abs(F.col("bj") - F.col("bj2")) <= apart)
+    beaten = best.join(others, ["lot", "tx", "ty"]).filter(close & (F.col("h2") < F.col("h"))).select("lot", "h").distinct()
+    stand = best.join(beaten, ["lot", "h"], "left_anti")
+    return stand.select("lot", F.col("bi").alias("si"), F.col("bj").alias("sj"), "h")
+
+
+def place_seeds(cells: DataFrame, total: int, regions: int, buffer: int, names: Sequence[str], method: str) -> list[dict]:
+    """Seeds of all lots, ``regions`` each: lot, region, si, sj, quota, oi, oj, apart.
+
+    Rounds go on until every region stands or a lot has no cell left. When no cell is as far from the seeds as asked, the distance is
+    halved; ``apart`` tells the distance that a seed was placed with. The share of regions that cannot stand goes to those that do.
+    """
+    if regions > MOST_REGIONS:
+        raise ValueError(f"at most {MOST_REGIONS} regions")
+    side = max(math.ceil(math.sqrt(total / regions)), 1)
+    apart = buffer if method == "tiles" else side + buffer - 1
+    found: list[dict] = []
+    tiles = method == "tiles"
+    while True:
+        short = {lot: regions - sum(s["lot"] == lot for s in found) for lot in range(len(names))}
+        short = {lot: n for lot, n in short.items() if n}
+        if not short:
+            break
+        open_cells = cells.filter(F.col("lot").isin(list(short)))
+        seeds = _tile_seeds(open_cells, side, buffer, names) if tiles else _distant_seeds(open_cells, found, apart, names)
+        rank = F.row_number().over(Window.partitionBy("lot").orderBy("h"))
+        ranked = seeds.withColumn("rank", rank).filter(F.col("rank") <= regions).orderBy("lot", "rank").collect()
+        new = [r for r in ranked if r["rank"] <= short[r["lot"]]]  # at most one row per region
+        found += [{"lot": r["lot"], "si": int(r["si"]), "sj": int(r["sj"]), "h": r["h"], "apart": apart} for r in new]
+        if not new and not tiles:
+            if apart == 0:
+                break
+            apart //= 2
+        tiles = False
+    out = []
+    for lot in range(len(names)):
+        own = [s for s in found if s["lot"] == lot]
+        for region, (seed, quota) in enumerate(zip(own, quotas(total, len(own)) if own else [], strict=True)):
+            h = seed.pop("h")
+            out.append({**seed, "region": region, "quota": quota, "oi": 1 if int(h[-1], 16) % 2 else -1, "oj": 1 if int(h[-2], 16) % 2 else -1})
+    return out
 
-def grow_blocks(cells: DataFrame, seeds: Sequence[dict], reach: int) -> DataFrame:
-    """Give every cell within ``reach`` to its nearest seed and let each seed take its quota, ring by ring.
 
-    ``seeds`` rows hold region, si, sj, quota and the orientation oi, oj of the row-major order inside a ring.
-    Columns: those of ``cells`` plus region.
-    """
+def _claim(cells: DataFrame, seeds: Sequence[dict], reach: int) -> DataFrame:
+    """Give every cell within ``reach`` to its nearest seed and let each seed take its quota, ring by ring."""
     width = reach + 1
-    tiles = {}
-    for row in seeds:
-        for dx in (-1, 0, 1):
-            for dy in (-1, 0, 1):
-                tiles.setdefault((row["si"] // width + dx, row["sj"] // width + dy), []).append(row)
-    spread = [{"tx": tx, "ty": ty, **row} for (tx, ty), rows in tiles.items() for row in rows]
-    table = cells.sparkSession.createDataFrame(
-        [tuple(r.values()) for r in spread], "tx bigint, ty bigint, region int, si int, sj int, quota int, oi int, oj int"
-    )
-    keyed = cells.withColumns({"tx": F.floor(F.col("bi") / width), "ty": F.floor(F.col("bj") / width)})
+    fields = ("lot", "region", "si", "sj", "quota", "oi", "oj")
+    rows = [tuple(seed[f] for f in fields) for seed in seeds]
+    table = cells.sparkSession.createDataFrame(rows, "lot int, region int, si bigint, sj bigint, quota bigint, oi int, oj int")
+    table = _around(table.withColumns(_tiled(width, "si", "sj")))
     di, dj = F.col("bi") - F.col("si"), F.col("bj") - F.col("sj")
     ring = F.greatest(F.abs(di), F.abs(dj))
-    near = keyed.join(F.broadcast(table), ["tx", "ty"]).withColumn("ring", ring).filter(F.col("ring") <= reach)
+    near = cells.withColumns(_tiled(width)).join(table, ["lot", "tx", "ty"]).withColumn("ring", ring).filter(F.col("ring") <= reach)
     first = F.min(F.struct("ring", "region", "quota", (di * F.col("oi")).alias("di"), (dj * F.col("oj")).alias("dj")))
     owned = near.groupBy(*cells.columns).agg(first.alias("s")).select(*cells.columns, "s.*")
     order = [F.col("di"), F.col("dj")]
-    taken = take_quota(owned, F.col("ring"), order, F.col("quota"), "_take", ["region"])
+    taken = take_quota(owned, F.col("ring"), order, F.col("quota"), "_take", ["lot", "region"])
     return taken.filter("_take").select(*cells.columns, "region")
 
 
-def _blocks(cells: DataFrame, total: int, regions: int, buffer: int, seed: str, method: str, spread: float) -> DataFrame:
+def grow_lots(cells: DataFrame, seeds: Sequence[dict], reach: int) -> DataFrame:
+    """Blocks of all lots at once: the cells that the seeds take, with their region. ``cells`` has lot, bi, bj and any other columns.
+
+    Every round the free cells go to the nearest region that is still short; then the short regions look twice as far. It ends when
+    all quotas are met or a lot has no free cell.
+    """
+    need = {(s["lot"], s["region"]): s["quota"] for s in seeds}
+    if not any(need.values()):
+        return cells.limit(0).withColumn("region", F.lit(None).cast("int"))
+    ends = cells.agg(F.min("bi"), F.max("bi"), F.min("bj"), F.max("bj")).first()
+    extent = max(ends[1] - ends[0], ends[3] - ends[2]) if ends[0] is not None else 0
+    free, parts = cells, []
+    while True:
+        short = [{**s, "quota": need[s["lot"], s["region"]]} for s in seeds if need[s["lot"], s["region"]]]
+        taken = cut_lineage(_claim(free, short, reach))
+        parts.append(taken)
+        got = taken.groupBy("lot", "region").count().collect()  # one row per region
+        for row in got:
+            need[row["lot"], row["region"]] -= row["count"]
+        if not any(need.values()) or (not got and reach > extent):
+            break
+        free = cut_lineage(free.join(taken.select("lot", "bi", "bj"), ["lot", "bi", "bj"], "left_anti"))
+        reach *= 2
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def grow_blocks(cells: DataFrame, seeds: Sequence[dict], reach: int) -> DataFrame:
+    """Blocks around given seeds: the columns of ``cells`` plus region.
+
+    ``seeds`` rows hold region, si, sj, quota and the orientation oi, oj of the row-major order inside a ring; ``reach`` is where the
+    search starts, it widens until the quotas are met.
+    """
+    lots = cells.withColumn("lot", F.lit(0))
+    return grow_lots(lots, [{**s, "lot": 0} for s in seeds], reach).select(*cells.columns, "region")
+
+
+def _blocks(cells: DataFrame, total: int, regions: int, buffer: int, names: Sequence[str], method: str) -> tuple[DataFrame, list[dict]]:
+    """Blocks of one lot per name over the same cells, and their seeds."""
     side = max(math.ceil(math.sqrt(total / regions)), 1)
-    pick = _tile_seeds if method == "tiles" else _reject_seeds
-    found = pick(cells, side, buffer, regions, seed).collect()  # at most one row per region
-    shares = quotas(total, regions)
-    seeds = [
-        {
-            "region": i,
-            "si": int(row["si"]),
-            "sj": int(row["sj"]),
-            "quota": shares[i],
-            "oi": 1 if int(row["h"][-1], 16) % 2 else -1,
-            "oj": 1 if int(row["h"][-2], 16) % 2 else -1,
-        }
-        for i, row in enumerate(found)
-    ]
-    return grow_blocks(cells, seeds, max(int(side * spread), 1))
+    lots = cut_lineage(cells.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1)))))
+    seeds = place_seeds(lots, total, regions, buffer, names, method)
+    return cut_lineage(grow_lots(lots, seeds, 2 * side)), seeds
 
 
 def spatial_block_split(
@@ -197,41 +268,61 @@ def spatial_block_split(
     folds: int = 5,
     seed: int = 0,
     method: str = "tiles",
-    spread: float = 2.0,
     exclude_margin: int = 0,
 ) -> DataFrame:
-    """Split legal samples in spatial blocks: sample_id, fold, role, region.
+    """Split legal samples in spatial blocks: sample_id, fold, role, region. See ``block_split_with_seeds``."""
+    return block_split_with_seeds(legal, regions, partition, buffer, folds, seed, method, exclude_margin)[0]
+
+
+def block_split_with_seeds(
+    legal: DataFrame,
+    regions: int,
+    partition: tuple[float, float] = (0.3, 0.2),
+    buffer: int = 2,
+    folds: int = 5,
+    seed: int = 0,
+    method: str = "tiles",
+    exclude_margin: int = 0,
+) -> tuple[DataFrame, list[dict]]:
+    """Spatial block split and the seeds of its blocks (role, fold, region, si, sj, quota, apart).
 
-    ``regions`` blocks grow from seeds to the test share; the rest is split again per fold for validation. A block that
-    finds too few cells within ``spread`` block sides stays short (see ``split_shortfall``). ``exclude_margin`` keeps
-    training cells that far away from test cells.
+    ``regions`` blocks grow from seeds to the test share; the rest is split again per fold for validation. The sets have exactly their
+    share of the cells. ``exclude_margin`` keeps training cells that far away from test cells. ``method`` places seeds in "tiles", more
+    than ``buffer`` apart, or by "reject", a block side and ``buffer`` apart, as far as there is room.
     """
     cells = cut_lineage(legal.select("sample_id", "bi", "bj"))
     n = cells.count()
-    test = cut_lineage(_blocks(cells, int(n * partition[0]), regions, buffer, f"{seed}:test", method, spread))
+    tested, seeds = _blocks(cells, int(n * partition[0]), regions, buffer, [f"{seed}:test"], method)
+    marks = [{**s, "role": "test", "fold": None} for s in seeds]
+    test = tested.drop("lot")
     rest = cut_lineage(cells.join(test.select("sample_id"), "sample_id", "left_anti"))
     no_fold = F.lit(None).cast("int").alias("fold")
+    none = F.lit(None).cast("int").alias("region")
     out = test.select("sample_id", no_fold, F.lit("test").alias("role"), "region")
-    out = out.unionByName(
-        rest.select("sample_id", no_fold, F.lit("remaining").alias("role"), F.lit(None).cast("int").alias("region"))
-    )
+    out = out.unionByName(rest.select("sample_id", no_fold, F.lit("remaining").alias("role"), none))
+    if not folds:
+        return out, marks
+    val, seeds = _blocks(rest, int(n * partition[1]), regions, buffer, [f"{seed}:{fold}" for fold in range(folds)], method)
+    marks += [{**s, "role": "val", "fold": s["lot"]} for s in seeds]
     usable = free_cells(rest, test, exclude_margin) if exclude_margin else rest
-    for fold in range(folds):
-        val = cut_lineage(_blocks(rest, int(n * partition[1]), regions, buffer, f"{seed}:{fold}", method, spread))
-        train = usable.join(val.select("sample_id"), "sample_id", "left_anti")
-        fold_no = F.lit(fold).alias("fold")
-        out = out.unionByName(val.select("sample_id", fold_no, F.lit("val").alias("role"), "region"))
-        none = F.lit(None).cast("int").alias("region")
-        out = out.unionByName(train.select("sample_id", fold_no, F.lit("train").alias("role"), none))
-    return out
+    each = usable.select("sample_id", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold"))
+    train = each.join(val.select("sample_id", F.col("lot").alias("fold")), ["sample_id", "fold"], "left_anti")
+    out = out.unionByName(val.select("sample_id", F.col("lot").alias("fold"), F.lit("val").alias("role"), "region"))
+    return out.unionByName(train.select("sample_id", "fold", F.lit("train").alias("role"), none)), marks
 
 
-def split_shortfall(splits: DataFrame, legal: DataFrame, regions: int, partition: tuple[float, float]) -> DataFrame:
-    """Wanted and reached size of every block set: role, fold, wanted, reached."""
+def seed_report(marks: Sequence[dict]) -> list[dict]:
+    """Per block set: regions placed and the least distance that its seeds were placed with. Goes into a run's manifest."""
+    sets: dict[tuple, list[dict]] = {}
+    for mark in marks:
+        sets.setdefault((mark["role"], mark["fold"]), []).append(mark)
+    return [{"role": r, "fold": f, "regions": len(own), "least_apart": min(m["apart"] for m in own), "wanted": sum(m["quota"] for m in own)} for (r, f), own in sets.items()]
+
+
+def split_shortfall(splits: DataFrame, legal: DataFrame, partition: tuple[float, float]) -> DataFrame:
+    """Wanted and reached size of every block set: role, fold, wanted, reached. They differ only where legal cells run out."""
     n = legal.count()
-    wanted = F.when(F.col("role") == "test", sum(quotas(int(n * partition[0]), regions))).otherwise(
-        sum(quotas(int(n * partition[1]), regions))
-    )
+    wanted = F.when(F.col("role") == "test", int(n * partition[0])).otherwise(int(n * partition[1]))
     sizes = splits.filter("role IN ('test', 'val')").groupBy("role", "fold").agg(F.count(F.lit(1)).alias("reached"))
     return sizes.select("role", "fold", wanted.alias("wanted"), "reached")
 
@@ -244,12 +335,16 @@ def fold_view(samples: DataFrame, splits: DataFrame, data: DataFrame, fold: int,
     return chosen.select("sample_id").join(samples, "sample_id").join(data, "sample_id")
 
 
-def train_ids(splits: DataFrame, ident: str = "sample_id") -> DataFrame:
-    """Training rows derived as remaining minus validation, per fold."""
+def train_ids(splits: DataFrame, ident: str = "sample_id", folds: int | None = None) -> DataFrame:
+    """Training rows derived as remaining minus validation, per fold.
+
+    ``folds`` names the number of folds; without it the folds are those that any row names, so only a fold that no row names is missed.
+    A table without folds is one fold without validation.
+    """
     val = splits.filter("role = 'val'").select(ident, "fold")
-    n_folds = val.agg(F.max("fold").alias("m")).scalar()
+    last = F.coalesce(splits.agg(F.max("fold").alias("m")).scalar(), F.lit(0)) if folds is None else F.lit(folds - 1)
     rest = splits.filter("role = 'remaining'").select(ident)
-    each = rest.withColumn("fold", F.explode(F.sequence(F.lit(0), n_folds)))
+    each = rest.withColumn("fold", F.explode(F.sequence(F.lit(0), last)))
     return each.join(val, [ident, "fold"], "left_anti")
 
 

@@ -104,89 +104,82 @@ REGIONS, TEST, VAL, BUFFER, FOLDS, SEED = 16, 0.2, 0.1, 2, 2, 3
 
 def _blocks(fx, method="tiles"):
     legal = cut_lineage(legal_of(fx))
-    out = splits.spatial_block_split(legal, REGIONS, (TEST, VAL), buffer=BUFFER, folds=FOLDS, seed=SEED, method=method)
-    return out, legal
-
-
-def _block_set(name: str, cells: str, share: float, seed: str, method: str) -> str:
-    """CTEs that end in ``name``: the cells (sample_id, region) of one set of blocks."""
-    tiled = f"""{name}_p AS (SELECT total, side, side + {BUFFER} AS width FROM (SELECT total, CAST(ceil(sqrt(total / {REGIONS}.0E0)) AS BIGINT) AS side
-      FROM (SELECT CAST(floor(count(*) * {share}E0) AS BIGINT) AS total FROM v_legal) a) b),
-    {name}_t AS (SELECT c.*, side, width, total, CAST(floor(bi / width) AS BIGINT) AS tx, CAST(floor(bj / width) AS BIGINT) AS ty FROM {cells} c, {name}_p),"""
-    if method == "tiles":
-        seeds = f"""{name}_b AS (SELECT tx, ty, bi AS si, bj AS sj FROM (SELECT *, row_number() OVER (PARTITION BY tx, ty ORDER BY
-          greatest(abs(x - (side - 1) / 2.0E0), abs(y - (side - 1) / 2.0E0)), bi, bj) AS r FROM (SELECT *, bi - tx * width - {BUFFER // 2} AS x,
-          bj - ty * width - {BUFFER // 2} AS y FROM {name}_t) q WHERE x BETWEEN 0 AND side - 1 AND y BETWEEN 0 AND side - 1) z WHERE r = 1),
-        {name}_h AS (SELECT si, sj, md5(concat(tx, '_', ty, ':{seed}')) AS h FROM {name}_b),"""
-    else:
-        seeds = f"""{name}_k AS (SELECT *, md5(concat(bi, '_', bj, ':{seed}')) AS h, concat(bi, '_', bj) AS cid FROM {name}_t),
-        {name}_c AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY h, cid) AS o FROM {name}_k) q WHERE o <= {REGIONS * 50}),
-        {name}_b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tx, ty ORDER BY h, bi, bj) AS r FROM {name}_c) q WHERE r = 1),
-        {name}_h AS (SELECT bi AS si, bj AS sj, h FROM {name}_b a WHERE NOT EXISTS (SELECT 1 FROM {name}_b b WHERE b.h < a.h
-          AND abs(a.bi - b.bi) < a.width AND abs(a.bj - b.bj) < a.width AND abs(a.tx - b.tx) <= 1 AND abs(a.ty - b.ty) <= 1)),"""
-    return f"""{tiled} {seeds}
-    {name}_s AS (SELECT region, si, sj, oi, oj, (region + 1) * total // {REGIONS} - region * total // {REGIONS} AS quota FROM (SELECT si, sj, row_number() OVER (ORDER BY h) - 1
-      AS region, CASE WHEN CAST(concat('0x', substr(h, 32, 1)) AS INT) % 2 = 1 THEN 1 ELSE -1 END AS oi,
-      CASE WHEN CAST(concat('0x', substr(h, 31, 1)) AS INT) % 2 = 1 THEN 1 ELSE -1 END AS oj FROM {name}_h) q, {name}_p WHERE region < {REGIONS}),
-    {name}_n AS (SELECT sample_id, region, quota, greatest(abs(bi - si), abs(bj - sj)) AS ring, (bi - si) * oi AS di, (bj - sj) * oj AS dj
-      FROM {cells}, {name}_s, {name}_p WHERE greatest(abs(bi - si), abs(bj - sj)) <= 2 * side),
-    {name}_o AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY ring, region) AS o FROM {name}_n),
-    {name} AS (SELECT sample_id, CAST(region AS INT) AS region FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY ring, di, dj) AS r FROM {name}_o
-      WHERE o = 1) q WHERE r <= quota)"""
-
-
-def _block_sql(method: str) -> str:
-    sets = [_block_set("b_test", "v_legal", TEST, f"{SEED}:test", method)]
-    sets.append("b_rest AS (SELECT * FROM v_legal WHERE sample_id NOT IN (SELECT sample_id FROM b_test))")
-    sets += [_block_set(f"b_val{k}", "b_rest", VAL, f"{SEED}:{k}", method) for k in range(FOLDS)]
-    none = "CAST(NULL AS INT)"
-    parts = [
-        f"SELECT sample_id, {none} AS fold, 'test' AS role, region FROM b_test",
-        f"SELECT sample_id, {none}, 'remaining', {none} FROM b_rest",
-    ]
-    for k in range(FOLDS):
-        parts.append(f"SELECT sample_id, {k}, 'val', region FROM b_val{k}")
-        parts.append(f"SELECT sample_id, {k}, 'train', {none} FROM b_rest WHERE sample_id NOT IN (SELECT sample_id FROM b_val{k})")
-    return "WITH " + ",\n".join(sets) + "\n" + " UNION ALL ".join(parts)
-
-
-@query("r3_spatial_block_split", _block_sql("tiles"))
+    out, marks = splits.block_split_with_seeds(legal, REGIONS, (TEST, VAL), buffer=BUFFER, folds=FOLDS, seed=SEED, method=method)
+    return cut_lineage(out), marks, legal
+
+
+def _contract(out, legal):
+    """Sizes per set and region, with how many of the ids are different, legal, and in the sets they must be in."""
+    out = out.withColumn("in_rest", F.col("role") != "test")
+    rest = out.filter("role = 'remaining'").select("sample_id", F.lit(1).alias("r"))
+    known = out.join(legal.select("sample_id", F.lit(1).alias("l")), "sample_id", "left").join(rest, "sample_id", "left")
+    sized = known.groupBy("role", "fold", "region").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("sample_id").alias("different"), F.count("l").alias("legal"), F.count("r").alias("in_rest")
+    )
+    # ids of a fold that are in both of its sets
+    both = out.filter("fold IS NOT NULL").groupBy("fold", "sample_id").count().filter("count > 1")
+    twice = both.groupBy("fold").agg(F.count(F.lit(1)).alias("twice"))
+    return sized.join(twice, "fold", "left").withColumn("twice", F.coalesce("twice", F.lit(0)))
+
+
+CONTRACT = f"""
+WITH n AS (SELECT count(*) AS n, CAST(floor(count(*) * {TEST}E0) AS BIGINT) AS t, CAST(floor(count(*) * {VAL}E0) AS BIGINT) AS v FROM v_legal),
+regions AS (SELECT unnest(range({REGIONS})) AS region),
+folds AS (SELECT unnest(range({FOLDS})) AS fold),
+sets AS (
+  SELECT 'test' AS role, CAST(NULL AS INT) AS fold, CAST(region AS INT) AS region, (region + 1) * t // {REGIONS} - region * t // {REGIONS} AS n FROM regions, n
+  UNION ALL SELECT 'val', CAST(fold AS INT), CAST(region AS INT), (region + 1) * v // {REGIONS} - region * v // {REGIONS} FROM regions, folds, n
+  UNION ALL SELECT 'remaining', NULL, NULL, n - t FROM n
+  UNION ALL SELECT 'train', CAST(fold AS INT), NULL, n - t - v FROM folds, n)
+SELECT role, fold, region, n, n AS different, n AS legal, CASE WHEN role = 'test' THEN 0 ELSE n END AS in_rest, 0 AS twice FROM sets WHERE n > 0"""
+
+
+@query("r3_spatial_block_split", CONTRACT)
 def _(fx):
-    return _blocks(fx)[0]
+    out, _, legal = _blocks(fx)
+    return _contract(out, legal)
 
 
 @query(
     "r3_block_sizes",
-    f"""SELECT role, fold, CAST(floor((SELECT count(*) FROM v_legal) * CASE role WHEN 'test' THEN {TEST}E0 ELSE {VAL}E0 END) AS BIGINT) AS wanted,
-        count(*) AS reached FROM ({_block_sql("tiles")}) b WHERE role IN ('test', 'val') GROUP BY role, fold""",
+    f"""SELECT role, fold, CAST(floor(n * share) AS BIGINT) AS wanted, CAST(floor(n * share) AS BIGINT) AS reached FROM (SELECT count(*) AS n FROM v_legal) l,
+        (SELECT 'test' AS role, CAST(NULL AS INT) AS fold, {TEST}E0 AS share UNION ALL
+         SELECT 'val', CAST(fold AS INT), {VAL}E0 FROM (SELECT unnest(range({FOLDS})) AS fold) f) s""",
 )
 def _(fx):
-    out, legal = _blocks(fx)
-    sizes = splits.split_shortfall(out, legal, REGIONS, (TEST, VAL))
+    out, _, legal = _blocks(fx)
+    sizes = splits.split_shortfall(out, legal, (TEST, VAL))
     return sizes.withColumn("wanted", F.col("wanted").cast("bigint"))
 
 
-@query("r4_rejection_block_split", _block_sql("reject"))
+@query("r4_rejection_block_split", CONTRACT)
 def _(fx):
-    return _blocks(fx, "reject")[0]
+    out, _, legal = _blocks(fx, "reject")
+    return _contract(out, legal)
 
 
 @query(
     "w6_grow_block",
     """WITH seeds AS (SELECT * FROM (VALUES (0, 20, 40, 60), (1, 60, 8, 45)) AS s(region, si, sj, quota)),
-       near AS (SELECT sample_id, bi, bj, region, quota, greatest(abs(bi - si), abs(bj - sj)) AS ring, bi - si AS di, -(bj - sj) AS dj
-         FROM v_legal CROSS JOIN seeds),
-       owned AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY ring, region) AS o FROM near WHERE ring <= 12)
-       SELECT sample_id, bi, bj, region FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY ring, di, dj) AS r FROM owned
-         WHERE o = 1) q WHERE r <= quota""",
+       near AS (SELECT sample_id, region, quota, greatest(abs(bi - si), abs(bj - sj)) AS ring FROM v_legal CROSS JOIN seeds),
+       owned AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY ring, region) AS o FROM near),
+       inner_cells AS (SELECT region, count(*) AS n FROM owned WHERE o = 1 AND ring <= 3 GROUP BY region)
+       SELECT region, least(quota, l.n) AS n, least(quota, l.n) AS different, least(quota, coalesce(i.n, 0)) AS within_three
+       FROM seeds LEFT JOIN inner_cells i USING (region), (SELECT count(*) AS n FROM v_legal) l""",
 )
 def _(fx):
-    legal = legal_of(fx)
+    legal = cut_lineage(legal_of(fx))
     seeds = [
         {"region": 0, "si": 20, "sj": 40, "quota": 60, "oi": 1, "oj": -1},
         {"region": 1, "si": 60, "sj": 8, "quota": 45, "oi": 1, "oj": -1},
     ]
-    return splits.grow_blocks(legal, seeds, 12)
+    grown = splits.grow_blocks(legal, seeds, 12)
+    centre = F.when(F.col("region") == 0, F.greatest(F.abs(F.col("bi") - 20), F.abs(F.col("bj") - 40))).otherwise(
+        F.greatest(F.abs(F.col("bi") - 60), F.abs(F.col("bj") - 8))
+    )
+    return grown.withColumn("ring", centre).groupBy("region").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("sample_id").alias("different"), F.count(F.when(F.col("ring") <= 3, 1)).alias("within_three")
+    )
 
 
 def _legal_splits(fx):
@@ -197,12 +190,12 @@ def _legal_splits(fx):
 @query(
     "j11_fold_view",
     """SELECT sample_id, y, layer_id, wi, wj, value FROM v_splits JOIN v_legal USING (sample_id) JOIN v_base USING (bi, bj)
-       JOIN v_pyr USING (sample_id) WHERE role = 'val' AND fold = 1 AND layer_id = 2""",
+       JOIN v_pyr USING (sample_id) WHERE role = 'val' AND fold = 1""",
 )
 def _(fx):
     legal, px = pyramid_of(fx)
     samples = legal.join(base_cells(fx.pixels, fx.base), ["bi", "bj"]).select("sample_id", "y")
-    return splits.fold_view(samples, splits_of(legal), px.filter("layer_id = 2"), 1, "val")
+    return splits.fold_view(samples, splits_of(legal), px, 1, "val")
 
 
 @query(

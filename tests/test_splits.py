@@ -33,27 +33,54 @@ def test_random_split(legal, rounding, up):
     assert got[("val", 0)] != got[("val", 1)]
 
 
-@pytest.mark.parametrize("method", ["tiles", "reject"])
-def test_block_split(legal, method):
+def masked(spark, kind):
+    grid = full_grid(spark, 60, 50)
+    masks = {
+        "full": "true",
+        "holes": "(bi * 31 + bj * 17) % 11 <> 0",
+        "thin": "(bi * 7919 + bj * 104729) % 25 = 0",
+        "ragged": "bj < 4 + bi % 7 OR (bi > 50 AND bj > 40)",
+    }
+    return number_samples(grid.where(masks[kind]))
+
+
+@pytest.mark.parametrize("kind", ["full", "holes", "thin", "ragged"])
+@pytest.mark.parametrize(("method", "buffer"), [("tiles", 2), ("reject", 2), ("reject", 10)])
+def test_block_split(spark, kind, method, buffer):
+    legal = masked(spark, kind).cache()
     n = legal.count()
-    out = splits.spatial_block_split(legal, 10, (0.2, 0.1), buffer=2, folds=2, seed=5, method=method)
+    out, marks = splits.block_split_with_seeds(legal, 10, (0.2, 0.1), buffer=buffer, folds=2, seed=5, method=method)
+    out = out.cache()
     got = parts(out)
     test, rest = got[("test", -1)], got[("remaining", -1)]
-    assert not test & rest and len(test | rest) == n
+    assert not test & rest and len(test | rest) == n and len(test) == int(n * 0.2)
     for fold in range(2):
         train, val = got[("train", fold)], got[("val", fold)]
-        assert not train & val and train | val == rest
-    report = splits.split_shortfall(out, legal, 10, (0.2, 0.1)).toPandas()
-    assert (report["reached"] <= report["wanted"]).all()
-    assert report[report["role"] == "test"]["reached"].item() == len(test)
+        assert not train & val and train | val == rest and len(val) == int(n * 0.1)
+    report = splits.split_shortfall(out, legal, (0.2, 0.1)).toPandas()
+    assert (report["reached"] == report["wanted"]).all() and len(report) == 3
+    sizes = out.where("role = 'test'").groupBy("region").count().toPandas()
+    assert sorted(sizes["count"]) == sorted(q for q in splits.quotas(int(n * 0.2), 10) if q)
+    for summary in splits.seed_report(marks):
+        own = [m for m in marks if (m["role"], m["fold"]) == (summary["role"], summary["fold"])]
+        gaps = [max(abs(a["si"] - b["si"]), abs(a["sj"] - b["sj"])) for k, a in enumerate(own) for b in own[:k]]
+        assert summary["regions"] == 10 and min(gaps) > summary["least_apart"]
+
+
+def test_missing_regions_hand_on_their_share(spark):
+    legal = number_samples(full_grid(spark, 2, 3))
+    out, marks = splits.block_split_with_seeds(legal, 20, (0.5, 0.34), folds=1, seed=1)
+    got = parts(out)
+    assert len(got[("test", -1)]) == 3 and len(got[("val", 0)]) == 2
+    assert [r["regions"] for r in splits.seed_report(marks)] == [6, 3]
 
 
-def test_tile_seeds_keep_their_distance(legal):
-    seeds = splits._tile_seeds(legal.select("bi", "bj"), 6, 3, 20, "s").toPandas()
-    for a in range(len(seeds)):
-        for b in range(a):
-            gap = max(abs(seeds.si[a] - seeds.si[b]), abs(seeds.sj[a] - seeds.sj[b]))
-            assert gap > 3
+def test_training_rows_of_folds_without_validation(spark):
+    rows = [(1, None, "remaining"), (2, None, "remaining"), (1, 0, "val")]
+    table = spark.createDataFrame(rows, "sample_id long, fold int, role string")
+    got = {tuple(r) for r in splits.train_ids(table, folds=2).collect()}
+    assert got == {(2, 0), (1, 1), (2, 1)}
+    assert {tuple(r) for r in splits.train_ids(table.where("role <> 'val'")).collect()} == {(1, 0), (2, 0)}
 
 
 def test_margin_keeps_training_away(legal):
@@ -64,9 +91,9 @@ def test_margin_keeps_training_away(legal):
         assert (np.maximum(abs(test.bi - r.bi), abs(test.bj - r.bj)) > 2).all()
 
 
-def test_quotas_carry_fractions():
+def test_quotas_add_up():
     assert splits.quotas(10, 4) == [2, 3, 2, 3]
-    assert sum(splits.quotas(2049, 16)) == 2049
+    assert all(sum(splits.quotas(n, k)) == n for n in range(200) for k in (1, 7, 10, 30, 100))
 
 
 def test_dilate(spark):
