@@ -106,11 +106,8 @@ def literal_rows(spark: SparkSession, rows: Sequence[dict]) -> DataFrame:
 
 
 def nodata_table(layers: DataFrame) -> DataFrame:
-    """layer_id and nodata of a catalog table, small enough to be broadcast; a larger table is refused."""
-    rows = layers.select("layer_id", "nodata").limit(MAX_LAYERS + 1).collect()
-    if len(rows) > MAX_LAYERS:
-        raise ValueError(f"a catalog holds at most {MAX_LAYERS} layers")
-    return F.broadcast(literal_rows(layers.sparkSession, [row.asDict() for row in rows]))
+    """layer_id and nodata of a catalog table of any length."""
+    return layers.select("layer_id", "nodata")
 
 
 def grid_extent(pixels: DataFrame) -> DataFrame:

@@ -184,12 +184,13 @@ def _(fx):
 @query(
     "p19_log_counts",
     """SELECT bin, n, CASE WHEN n > 0 THEN round(ln(n), 9) ELSE 0 END AS log_n FROM (SELECT b AS bin, count(layer_id) AS n
-       FROM range(0, 101) AS r(b) LEFT JOIN (SELECT layer_id, CAST(value AS BIGINT) AS v FROM fx_pixels WHERE layer_id = 3)
-       AS p ON v = b GROUP BY b) AS c""",
+       FROM (SELECT unnest(range(0, CAST(max(value) AS BIGINT) + 1)) AS b FROM fx_pixels WHERE layer_id = 3) AS r
+       LEFT JOIN (SELECT layer_id, CAST(value AS BIGINT) AS v FROM fx_pixels WHERE layer_id = 3) AS p ON v = b GROUP BY b) AS c""",
 )
 def _(fx):
     classes = fx.raw_pixels.filter("layer_id = 3").groupBy(F.col("value").cast("bigint").alias("bin")).count()
-    every = fx.spark.range(101).withColumnRenamed("id", "bin").join(classes, "bin", "left")
+    codes = classes.agg(F.max("bin").alias("last")).select(F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("bin"))
+    every = codes.join(classes, "bin", "left")
     n = F.coalesce(F.col("count"), F.lit(0))
     return every.select("bin", n.alias("n"), F.round(scalars.log_counts(n), 9).alias("log_n"))
 

@@ -40,8 +40,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/terraweft-{uuid.uuid4().hex[:12]}/{name}"
+    """A fresh path below the shared folder, in a folder of this application that goes when the application ends."""
+    run = f"{shared_folder(spark)}/terraweft-{spark.sparkContext.applicationId}"
+    if run not in _RUNS:
+        _RUNS.add(run)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return f"{run}/{uuid.uuid4().hex[:12]}/{name}"
+
+
+_RUNS: set[str] = set()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from terraweft.catalog import nodata_table
 from terraweft.functions.scalars import null_nodata
+from terraweft.sources.text import write_cube_text
 
 NO_FOLD = -1
 
@@ -43,18 +45,47 @@ def write_layers(layers: DataFrame, pixels: DataFrame, path: str, block: int = 1
 
 
 def write_layer(values: DataFrame, row: DataFrame, path: str) -> None:
-    """Append one grid (ix, iy, value; NULL becomes the nodata value) and its catalog row to a raster dataset."""
-    meta = row.select("layer_id", "nodata").first()
-    stored = values.select(F.lit(meta["layer_id"]).alias("layer_id"), "ix", "iy", F.coalesce("value", F.lit(meta["nodata"])).alias("value"))
-    row.coalesce(1).write.mode("append").parquet(f"{path}/layers")
-    stored.write.mode("append").partitionBy("layer_id").parquet(f"{path}/pixels")
-
+    """Add one grid (ix, iy, value; NULL becomes the nodata value) and its catalog row to a raster dataset.
 
-def write_cubes(df: DataFrame, index: DataFrame, path: str, rows_per_file: int = 1_000_000, mode: str = "errorifexists") -> None:
-    """Cube rows, spread by sample in files of bounded size, and the sample index, which is always written."""
+    Writing a layer again replaces its pixels, so a retried job leaves one copy; a layer id with another catalog row is refused.
+    """
+    meta = row.first()
+    stored = values.select(F.lit(meta["layer_id"]).alias("layer_id"), "ix", "iy", F.coalesce("value", F.lit(meta["nodata"])).alias("value"))
+    known = _catalog_rows(row, f"{path}/layers", meta["layer_id"])
+    if any(k != meta for k in known):
+        raise ValueError(f"layer {meta['layer_id']} is already in {path} with another catalog row")
+    pixels = stored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    pixels.partitionBy("layer_id").parquet(f"{path}/pixels")
+    if not known:
+        row.coalesce(1).write.mode("append").parquet(f"{path}/layers")
+
+
+def _catalog_rows(row: DataFrame, path: str, layer_id: int) -> list:
+    """Catalog rows of a layer that a dataset holds already."""
+    try:
+        layers = row.sparkSession.read.schema(row.schema).parquet(path)
+    except AnalysisException:
+        return []
+    return layers.filter(F.col("layer_id") == layer_id).limit(2).collect()
+
+
+def write_cubes(
+    df: DataFrame,
+    index: DataFrame,
+    path: str,
+    rows_per_file: int = 1_000_000,
+    mode: str = "errorifexists",
+    also_text: str | None = None,
+) -> None:
+    """Cube rows, spread by sample in files of bounded size, and the sample index, which is always written.
+
+    ``also_text`` names a layout ("hwc" or "chw") in which the cubes (si, sj, channel, value) are written as text beside them.
+    """
     spread = df.repartition("sample_id").sortWithinPartitions("sample_id")
     spread.write.mode(mode).option("maxRecordsPerFile", rows_per_file).parquet(f"{path}/cube")
     index.write.mode(mode).parquet(f"{path}/index")
+    if also_text:
+        write_cube_text(df.select("sample_id", "si", "sj", "channel", "value"), f"{path}/text", also_text)
 
 
 def read_cubes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -112,7 +143,11 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 class Stage:
-    """One resumable step of a build whose output is a table."""
+    """One resumable step of a build whose output is a table.
+
+    Every build goes to a folder of its own below ``path``; the marker beside it names the folder that is complete and is written last.
+    A build that fails, also under ``override``, leaves the marker and the output it names as they were.
+    """
 
     def __init__(self, spark: SparkSession, path: str, override: bool = False):
         self.spark = spark
@@ -123,16 +158,22 @@ class Stage:
     def marker(self) -> str:
         return f"{self.path}.complete"
 
-    def done(self) -> bool:
-        """Whether the output was written to the end; the marker beside it is written last."""
+    def version(self) -> str | None:
+        """Folder of the complete output, if there is one."""
         try:
-            return not self.spark.read.schema("id BIGINT").parquet(self.marker).isEmpty()
+            row = self.spark.read.schema("version STRING").parquet(self.marker).first()
         except AnalysisException:
-            return False
+            return None
+        return row["version"] if row else None
+
+    def done(self) -> bool:
+        return self.version() is not None
 
     def run_or_load(self, build: Callable[[], DataFrame]) -> DataFrame:
         """Load the output if it is complete, else build and write it. ``override`` always rebuilds."""
-        if self.override or not self.done():
-            build().write.mode("overwrite").parquet(self.path)
-            self.spark.range(1).write.mode("overwrite").parquet(self.marker)
-        return self.spark.read.parquet(self.path)
+        version = None if self.override else self.version()
+        if version is None:
+            version = f"build-{uuid.uuid4().hex[:12]}"
+            build().write.parquet(f"{self.path}/{version}")
+            self.spark.range(1).select(F.lit(version).alias("version")).write.mode("overwrite").parquet(self.marker)
+        return self.spark.read.parquet(f"{self.path}/{version}")

@@ -13,7 +13,7 @@ ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 
 from terraweft.plans.fixtures import Fixtures  # noqa: E402
-from terraweft.session import CHECKPOINT_KEY, local_session  # noqa: E402
+from terraweft.session import local_session  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = (
@@ -25,8 +25,9 @@ TABLES = (
 def spark(tmp_path_factory):
     session = local_session("4", "terraweft-tests", "6g")
     session.sparkContext.setLogLevel("ERROR")
-    if not session.conf.get(CHECKPOINT_KEY, None):
-        session.conf.set(CHECKPOINT_KEY, str(tmp_path_factory.mktemp("checkpoints")))
+    # a local session without spark.checkpoint.dir takes a folder of this machine
+    if session.sparkContext.getCheckpointDir() is None:
+        session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
     yield session
     session.stop()
 

@@ -50,6 +50,40 @@ def test_stage_resumes_and_recovers(spark):
     assert datasets.Stage(spark, broken).run_or_load(build).count() == 5 and len(built) == 3
 
 
+def test_failed_override_keeps_the_old_output(spark):
+    path = scratch_path(spark, "stage")
+    datasets.Stage(spark, path).run_or_load(lambda: spark.range(5))
+
+    def fails():
+        return spark.range(3).select(F.raise_error(F.lit("broken build")))
+
+    with pytest.raises(Exception, match="broken build"):
+        datasets.Stage(spark, path, override=True).run_or_load(fails)
+    assert datasets.Stage(spark, path).run_or_load(fails).count() == 5
+
+
+def test_layer_written_twice_is_there_once(spark, fx):
+    path = scratch_path(spark, "raster")
+    datasets.write_layers(fx.layers, fx.raw_pixels, path)
+    row = fx.layers.where("layer_id = 1").selectExpr("77 AS layer_id", "'new' AS name", "role", "res_m", "ulh", "ulv", "psh", "psv", "nodata")
+    values = spark.createDataFrame([(0, 0, 1.0), (0, 1, None)], "ix int, iy int, value double")
+    for _ in range(2):
+        datasets.write_layer(values, row, path)
+    layers, pixels = datasets.read_layers(spark, path, only=[77])
+    assert layers.count() == 1 and pixels.count() == 2
+    assert datasets.read_layers(spark, path)[1].count() == fx.raw_pixels.count() + 2
+    with pytest.raises(ValueError, match="another catalog row"):
+        datasets.write_layer(values, row.withColumn("nodata", F.lit(0.5)), path)
+
+
+def test_cubes_with_text_twin(spark, fx):
+    px = fx.tiles.where("tile_id < 2").selectExpr("tile_id AS sample_id", "r AS si", "c AS sj", "0 AS channel", "value")
+    path = scratch_path(spark, "cubes")
+    datasets.write_cubes(px, px.select("sample_id").distinct(), path, also_text="hwc")
+    back = text.read_cube_text(spark, f"{path}/text", "hwc").selectExpr("bigint(sample_id) AS sample_id", "si", "sj", "channel", "value")
+    assert back.exceptAll(px).isEmpty() and back.count() == px.count() == datasets.read_cubes(spark, path)[0].count()
+
+
 def test_info_with_and_without_seed(spark, fx):
     layers = fx.layers.selectExpr("3 AS size", "role", "layer_id AS idx", "name")
     for seed in (None, 100807):
