@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraweft.functions.scalars import equal_width_bin, pearson_r
@@ -17,8 +17,13 @@ def channel_stats(cube_px: DataFrame, mode: str = "per", channel: str = "channel
     stats = [F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")]
     if mode == "per":
         return cube_px.groupBy(channel).agg(*stats)
-    total = cube_px.agg(F.struct(*stats)).scalar()
-    return cube_px.select(channel).distinct().withColumn("_t", total).select(channel, "_t.mean", "_t.std")
+    # one pass: the channels' counts, means and spreads combine to those of all values
+    per = cube_px.groupBy(channel).agg(F.count("value").alias("_n"), *stats)
+    everything = Window.partitionBy()  # one row per channel
+    n = F.sum("_n").over(everything)
+    per = per.withColumn("_m", F.sum(F.col("_n") * F.col("mean")).over(everything) / n)
+    spread = F.sum(F.col("_n") * (F.col("std") * F.col("std") + (F.col("mean") - F.col("_m")) * (F.col("mean") - F.col("_m")))).over(everything)
+    return per.select(channel, F.col("_m").alias("mean"), F.sqrt(spread / n).alias("std"))
 
 
 def layer_minmax(pyramid_px: DataFrame, splits: DataFrame, layer: str = "layer_id") -> DataFrame:
