@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +28,8 @@ class Layer:
     nodata: float | None
     nx: int | None = None
     ny: int | None = None
+    #: side of the resampled window, for layers that have a size of their own
+    sample_size: int | None = None
 
     @property
     def affine(self) -> Affine:
@@ -76,8 +78,13 @@ class Catalog(list[Layer]):
         return [layer.layer_id for layer in self]
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """The catalog as a DataFrame."""
-        return literal_rows(spark, [vars(layer) for layer in self])
+        """The catalog as a DataFrame; sample sizes are a column when any layer has one."""
+        sized = any(layer.sample_size is not None for layer in self)
+        return literal_rows(spark, [{k: v for k, v in vars(layer).items() if sized or k != "sample_size"} for layer in self])
+
+    def with_sample_sizes(self, sizes: dict[int, int]) -> Catalog:
+        """The same layers with their own window sizes, by layer_id."""
+        return Catalog(replace(layer, sample_size=sizes.get(layer.layer_id, layer.sample_size)) for layer in self)
 
 
 def _literal(value) -> str:

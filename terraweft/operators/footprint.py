@@ -37,12 +37,13 @@ class Span:
 
 @dataclass(frozen=True)
 class Footprint:
-    """Pixel rectangle of a cell in one layer; ``wstep`` is the pixel step of resampled windows."""
+    """Pixel rectangle of a cell in one layer; ``wstep`` is the pixel step of resampled windows, ``wlast`` their last index."""
 
     layer: Layer
     x: Span
     y: Span
     wstep: float = 0.0
+    wlast: int = 0
 
     @property
     def coarse(self) -> bool:
@@ -50,7 +51,7 @@ class Footprint:
         return self.x.px * self.y.px > MAX_FAN_OUT * self.x.step * self.y.step
 
     def row(self) -> dict:
-        row = {"layer_id": self.layer.layer_id, "wstep": self.wstep}
+        row = {"layer_id": self.layer.layer_id, "wstep": self.wstep, "wlast": self.wlast}
         for axis, span in (("x", self.x), ("y", self.y)):
             row |= {f"{k}_{axis}": v for k, v in vars(span).items()}
         return row

@@ -119,17 +119,23 @@ def _spread(base: Layer, layer: Layer, points: int) -> Footprint:
     for span in (window_footprint(base, layer).x, window_footprint(base, layer).y):
         c = span.step * 0.5 + span.delta + (half - 0.5) * span.px
         spans.append(replace(span, c0=c, c1=c, o1=size - size // 2))
-    return Footprint(layer, *spans, wstep=(2 * (size // 2 - half) + 1) / (points - 1))
+    return Footprint(layer, *spans, wstep=(2 * (size // 2 - half) + 1) / (points - 1), wlast=points - 1)
 
 
 def resample_windows(
-    cells: DataFrame, pixels: DataFrame, base: Layer, layers: Sequence[Layer], points: int
+    cells: DataFrame, pixels: DataFrame, base: Layer, layers: Sequence[Layer], points: int | None = None
 ) -> DataFrame:
-    """Windows of ``points`` x ``points`` values spread over the native window; one-pixel layers keep their pixel."""
-    rows = gather(cells, pixels, [_spread(base, layer, points) for layer in layers])
+    """Windows of n x n values spread over the native window; one-pixel layers keep their pixel.
+
+    n is the sample size of the layer, or ``points`` for layers without one.
+    """
+    sizes = [layer.sample_size or points for layer in layers]
+    if None in sizes:
+        raise ValueError("a layer without a sample size needs points")
+    rows = gather(cells, pixels, [_spread(base, layer, size) for layer, size in zip(layers, sizes, strict=True)])
     for at, pixel, origin in (("wi", "ix", "x0"), ("wj", "iy", "y0")):
         low = f"if(wstep = 0, 0, greatest(floor(({pixel} - {origin}) / nullif(wstep, 0)) - 1, 0))"
-        high = f"if(wstep = 0, 0, least(ceil(({pixel} - {origin} + 1) / nullif(wstep, 0)) + 1, {points - 1}))"
+        high = f"if(wstep = 0, 0, least(ceil(({pixel} - {origin} + 1) / nullif(wstep, 0)) + 1, wlast))"
         rows = rows.selectExpr("*", f"{range_sql(low, high)} AS {at}")
         rows = rows.where(f"floor({origin} + {at} * wstep) = {pixel}")
     return rows.select(*cells.columns, "layer_id", "wi", "wj", "value")

@@ -65,17 +65,6 @@ def _(fx):
     return geo.subpixel_grid(base_cells(fx.pixels, fx.base).drop("y"), 2, 1)
 
 
-@query(
-    "p5_expected_size",
-    """SELECT layer_id, CASE WHEN res_m = 70 THEN 1 ELSE CAST(floor(70.0E0 / res_m) AS INT) + 1 END AS size,
-       count(*) AS pixels FROM fx_layers JOIN fx_pixels USING (layer_id) GROUP BY layer_id, res_m""",
-)
-def _(fx):
-    sized = fx.layers.select("layer_id", geo.expected_size(70, F.col("res_m")).alias("size"))
-    counts = fx.raw_pixels.groupBy("layer_id").agg(F.count(F.lit(1)).alias("pixels"))
-    return sized.join(counts, "layer_id")
-
-
 @query(
     "p6_window_origin",
     """SELECT bi, bj, layer_id, CAST(floor((bi + 0.5E0) / psh + CASE WHEN size % 2 = 0 THEN 0.5E0 ELSE 0.0E0 END)
@@ -93,22 +82,6 @@ def _(fx):
     return cells.select("bi", "bj", "layer_id", geo.window_origin(t, F.col("size")).alias("x0"))
 
 
-@query(
-    "p7_equalize_params",
-    """WITH s AS (SELECT layer_id, role, count(*) AS pixels, CASE WHEN res_m = 70 THEN 1 ELSE CAST(floor(70.0E0 / res_m) AS INT)
-         + 1 END AS native, 16 AS sample FROM fx_layers JOIN fx_pixels USING (layer_id) GROUP BY ALL)
-       SELECT layer_id, native, sample, CAST(CASE WHEN role = 'x' THEN floor(sample * sqrt(
-         (SELECT sum(native * native) FROM s WHERE role = 'x') / (SELECT sum(sample * sample) FROM s WHERE role = 'x')))
-         ELSE sample END AS INT) AS adjusted, pixels FROM s""",
-)
-def _(fx):
-    sized = fx.layers.select(
-        "layer_id", "role", geo.expected_size(70, F.col("res_m")).alias("native"), F.lit(16).alias("sample")
-    )
-    counts = fx.raw_pixels.groupBy("layer_id").agg(F.count(F.lit(1)).alias("pixels"))
-    return geo.equalize_params(sized).drop("role").join(counts, "layer_id")
-
-
 @query(
     "p9_select_fields",
     "SELECT point_id, fhd_0 AS fhd_0, cover_z_0 AS cover_0, cover_z_1 AS cover_1 FROM fx_points",
@@ -208,16 +181,19 @@ def _(fx):
 
 @query(
     "p23_rescale_affine",
-    """SELECT layer_id, ulh, ulv, psh * (140.0E0 / res_m) AS psh, psv * (140.0E0 / res_m) AS psv, count(*) AS pixels
+    """SELECT layer_id, psh * (140.0E0 / res_m) AS psh, psv * (140.0E0 / res_m) AS psv, count(*) AS pixels,
+       count(DISTINCT struct_pack(x := floor(((ix + 0.5E0) * psh) / (psh * (140.0E0 / res_m))), y := floor(((iy + 0.5E0) * psv) / (psv * (140.0E0 / res_m))))) AS cells
        FROM fx_layers JOIN fx_pixels USING (layer_id) GROUP BY ALL""",
 )
 def _(fx):
+    """Every pixel in the cell of a 140 m grid with the corner of its layer."""
     old = Affine(*[F.col(c) for c in ("ulh", "ulv", "psh", "psv")])
     new = geo.rescale_affine(old, F.col("res_m"), 140.0)
-    counts = fx.raw_pixels.groupBy("layer_id").agg(F.count(F.lit(1)).alias("pixels"))
-    return fx.layers.join(counts, "layer_id").select(
-        "layer_id", "ulh", "ulv", new.psh.alias("psh"), new.psv.alias("psv"), "pixels"
-    )
+    centre = geo.index_to_geo(F.col("ix"), F.col("iy"), old, "ctr")
+    cx, cy = geo.geo_to_cell(*centre, new)
+    placed = fx.raw_pixels.join(fx.layers, "layer_id").select("layer_id", new.psh.alias("psh"), new.psv.alias("psv"), cx.alias("cx"), cy.alias("cy"))
+    per_cell = placed.groupBy("layer_id", "psh", "psv", "cx", "cy").agg(F.count(F.lit(1)).alias("n"))
+    return per_cell.groupBy("layer_id", "psh", "psv").agg(F.sum("n").alias("pixels"), F.count(F.lit(1)).alias("cells"))
 
 
 @query(

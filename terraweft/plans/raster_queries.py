@@ -6,6 +6,8 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from terraweft.catalog import Catalog
+from terraweft.functions import geo
 from terraweft.operators import align, cube, mosaic, resample, screen, stats
 from terraweft.operators.footprint import base_cells
 from terraweft.operators.splits import random_split
@@ -93,22 +95,57 @@ def _(fx):
     return pyramid_of(fx)[1]
 
 
-@query(
-    "j3_resample_windows",
-    """SELECT sample_id, layer_id, CAST(wi AS INT) AS wi, CAST(wj AS INT) AS wj, value FROM (
+def resampled(sizes: str) -> str:
+    """Resampled windows (sample_id, layer_id, wi, wj, value) of the x layers under a table of sizes (layer_id, n)."""
+    return f"""SELECT sample_id, layer_id, CAST(wi AS INT) AS wi, CAST(wj AS INT) AS wj, value FROM (
        SELECT sample_id, l.layer_id, a.i AS wi, b.j AS wj,
-         CAST(CASE WHEN res_m = 30 THEN floor(floor((bi + 0.5E0) / psh - 0.5E0) - 1 + a.i * 0.75E0)
+         CAST(CASE WHEN res_m = 30 AND n > 1 THEN floor(floor((bi + 0.5E0) / psh - 0.5E0) - 1 + a.i * (3.0E0 / (n - 1)))
               ELSE floor((bi + 0.5E0) / psh) END AS INT) AS ix,
-         CAST(CASE WHEN res_m = 30 THEN floor(floor((bj + 0.5E0) / psv - 0.5E0) - 1 + b.j * 0.75E0)
+         CAST(CASE WHEN res_m = 30 AND n > 1 THEN floor(floor((bj + 0.5E0) / psv - 0.5E0) - 1 + b.j * (3.0E0 / (n - 1)))
               ELSE floor((bj + 0.5E0) / psv) END AS INT) AS iy
-       FROM v_legal CROSS JOIN (SELECT * FROM fx_layers WHERE layer_id > 0) l, range(0, 5) AS a(i), range(0, 5) AS b(j)
-       WHERE res_m = 30 OR (a.i = 0 AND b.j = 0)) q JOIN v_px USING (layer_id, ix, iy)""",
-)
+       FROM v_legal CROSS JOIN (SELECT * FROM fx_layers JOIN ({sizes}) z USING (layer_id) WHERE layer_id > 0) l, range(0, 16) AS a(i), range(0, 16) AS b(j)
+       WHERE a.i < n AND b.j < n AND (res_m = 30 OR (a.i = 0 AND b.j = 0))) q JOIN v_px USING (layer_id, ix, iy)"""
+
+
+@query("j3_resample_windows", resampled("SELECT layer_id, CASE WHEN layer_id = 2 THEN 3 ELSE 5 END AS n FROM fx_layers"))
 def _(fx):
-    rows = resample.resample_windows(legal_of(fx), fx.pixels, fx.base, fx.x_layers, 5)
+    layers = Catalog(fx.x_layers).with_sample_sizes({2: 3})
+    rows = resample.resample_windows(legal_of(fx), fx.pixels, fx.base, layers, 5)
     return rows.select("sample_id", "layer_id", "wi", "wj", "value")
 
 
+EQUALIZED = """SELECT layer_id, native, 16 AS sample, CAST(floor(16 * sqrt((SELECT sum(native * native) FROM w) / (SELECT sum(256) FROM w))) AS INT) AS n FROM w"""
+NATIVE = "w AS (SELECT layer_id, CASE WHEN res_m = 70 THEN 1 ELSE CAST(floor(70.0E0 / res_m) AS INT) + 1 END AS native FROM fx_layers WHERE role = 'x')"
+
+
+@query(
+    "p7_equalize_params",
+    f"""WITH {NATIVE}, z AS ({EQUALIZED}), r AS ({resampled("SELECT layer_id, n FROM z")})
+        SELECT z.layer_id, z.native, z.sample, z.n AS adjusted, count(*) AS pixels, count(value) AS vals FROM z JOIN r USING (layer_id) GROUP BY ALL""",
+)
+def _(fx):
+    """Sample sizes that hold as many values as the native windows, and the windows built with them."""
+    sized = fx.layers.select("layer_id", "role", geo.expected_size(70, F.col("res_m")).alias("native"), F.lit(16).alias("sample"))
+    sizes = geo.equalize_params(sized).filter("role = 'x'").drop("role")
+    chosen = {r["layer_id"]: r["adjusted"] for r in sizes.collect()}  # one row per layer
+    rows = resample.resample_windows(legal_of(fx), fx.pixels, fx.base, Catalog(fx.x_layers).with_sample_sizes(chosen))
+    built = rows.groupBy("layer_id").agg(F.count(F.lit(1)).alias("pixels"), F.count("value").alias("vals"))
+    return sizes.join(built, "layer_id").select("layer_id", "native", "sample", "adjusted", "pixels", "vals")
+
+
+@query(
+    "p5_expected_size",
+    """SELECT layer_id, CASE WHEN res_m = 70 THEN 1 ELSE CAST(floor(70.0E0 / res_m) AS INT) + 1 END AS size, count(*) AS pixels,
+       count(DISTINCT sample_id) AS windows FROM fx_layers JOIN v_pyr USING (layer_id) GROUP BY layer_id, res_m""",
+)
+def _(fx):
+    """Native window sizes, and the windows of the pyramid that they give."""
+    sized = fx.layers.select("layer_id", geo.expected_size(70, F.col("res_m")).alias("size"))
+    built = pyramid_of(fx)[1].groupBy("layer_id", "sample_id").agg(F.count(F.lit(1)).alias("n"))
+    built = built.groupBy("layer_id").agg(F.sum("n").alias("pixels"), F.count(F.lit(1)).alias("windows"))
+    return sized.join(built, "layer_id")
+
+
 @query(
     "a3_layer_minmax",
     """SELECT s.fold, layer_id, min(value) AS vmin, max(value) AS vmax FROM v_pyr JOIN v_splits s USING (sample_id)
