@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraweft.llm.frames import blocks, written
+from terraweft.llm.frames import blocks, fresh, written
 from terraweft.llm.words import Spans, chained, first_seen, keyed, scramble, word_spans
 
 #: Chance that all bands miss a pair at the threshold.
@@ -265,5 +265,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that near_duplicates keeps, one document per group, all columns as they were."""
-    stay = near_duplicates(docs, doc_id, text, percent).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(stay, F.col(doc_id).eqNullSafe(F.col("_kept_id")), "left_semi")
+    name = fresh(docs, "_kept_id")
+    stay = near_duplicates(docs, doc_id, text, percent).where("kept").select(F.col("doc_id").alias(name))
+    return docs.join(stay, F.col(doc_id).eqNullSafe(F.col(name)), "left_semi")

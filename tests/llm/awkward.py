@@ -10,7 +10,7 @@ import pytest
 
 PASSAGE = "the committee met in the old hall and spoke at length about the price of bread, the weather and the roads that lead to the harbour. "
 #: Columns whose names the operators use themselves.
-CLASHES = "key size row h c n start twin cell label set_id keys bucket prefix body id points spans edges shard cluster taken copies digest window held_out score _id _digest".split()
+CLASHES = "key size row h c n start twin cell label set_id keys bucket prefix body id points spans edges shard cluster taken copies digest window held_out score _id _digest _name _kept_id".split()
 
 
 def messy_rows() -> list[tuple]:
