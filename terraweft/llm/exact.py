@@ -23,7 +23,7 @@ def directory(chains: DataFrame, capacity: int, depth: int) -> DataFrame:
     filled = chains.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"))
     levels = filled.withColumn("local_depth", F.explode(F.sequence(F.lit(0), F.lit(depth))))
     levels = levels.withColumn("bucket", F.expr(f"shiftleft(shiftright(prefix, {depth} - local_depth), {depth} - local_depth)"))
-    totals = levels.groupBy("local_depth", "bucket").agg(F.sum("n").alias("total"))
+    totals = F.broadcast(levels.groupBy("local_depth", "bucket").agg(F.sum("n").alias("total")))  # below 2^(depth + 1) rows
     fits = (F.col("total") <= capacity) | (F.col("local_depth") == depth)
     least = levels.join(totals, ["local_depth", "bucket"]).where(fits)
     return least.groupBy("prefix").agg(F.min_by("bucket", "local_depth").alias("bucket"), F.min("local_depth").alias("local_depth"))
