@@ -53,15 +53,28 @@ def _running_total(counts: DataFrame, group: Sequence[str], coarse: str) -> Data
 
 
 def bucket_rank(
-    df: DataFrame, bucket: Column, order: Sequence[Column], name: str = "rank", group: Sequence[str] = ()
+    df: DataFrame,
+    bucket: Column,
+    order: Sequence[Column],
+    name: str = "rank",
+    group: Sequence[str] = (),
+    coarser: Column | None = None,
 ) -> DataFrame:
     """1-based rank in (bucket, order) order without sorting everything in one task.
 
-    ``bucket`` must be a coarse form of the order. Only the bucket counts, a short table, see a global window.
+    ``bucket`` must be a coarse form of the order. Only the bucket counts, a short table, see a global window. Where the buckets grow with
+    the data, ``coarser``, a coarse form of the bucket, gathers them: then only its counts see a global window.
     """
     keyed = df.withColumn("_b", bucket)
-    counts = keyed.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    starts = _running_total(counts, group, "_b").drop("_n")
+    if coarser is None:
+        counts = keyed.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
+        starts = _running_total(counts, group, "_b").drop("_n")
+    else:
+        counts = keyed.groupBy(*group, coarser.alias("_s"), "_b").agg(F.count(F.lit(1)).alias("_n"))
+        tops = _running_total(counts.groupBy(*group, "_s").agg(F.sum("_n").alias("_n")), group, "_s")
+        tops = tops.select(*group, "_s", F.col("_before").alias("_top"))
+        inner = _running_total(counts, [*group, "_s"], "_b").join(tops, [*group, "_s"])
+        starts = inner.select(*group, "_b", (F.col("_before") + F.col("_top")).alias("_before"))
     inside = Window.partitionBy(*group, "_b").orderBy(*order)
     ranked = keyed.withColumn("_in", F.row_number().over(inside)).join(starts, [*group, "_b"])
     return ranked.withColumn(name, F.col("_before") + F.col("_in")).drop("_b", "_in", "_before")

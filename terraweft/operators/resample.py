@@ -21,6 +21,7 @@ from terraweft.operators.footprint import (
     sample_footprint,
     window_footprint,
 )
+from terraweft.session import cut_lineage
 
 MASK_BITS = 62
 
@@ -84,14 +85,15 @@ def legal_cells(pixels: DataFrame, base: Layer, layers: Sequence[Layer]) -> Data
 
 def number_samples(cells: DataFrame, block: int = 65_536) -> DataFrame:
     """Add sample_id, the 0-based rank in (bi, bj) order, without sorting everything in one task."""
-    rows = F.floor(F.col("bj") / block)
-    ranked = bucket_rank(cells, F.struct("bi", rows.alias("block")), [F.col("bi"), F.col("bj")], "sample_id")
+    rows, strip = F.floor(F.col("bj") / block), F.floor(F.col("bi") / 4096)
+    ranked = bucket_rank(cells, F.struct("bi", rows.alias("block")), [F.col("bi"), F.col("bj")], "sample_id", coarser=strip)
     return ranked.withColumn("sample_id", (F.col("sample_id") - 1).cast("bigint"))
 
 
 def legal_samples(pixels: DataFrame, base: Layer, layers: Sequence[Layer]) -> DataFrame:
     """Legal cells with their sample ids: sample_id, bi, bj."""
-    return number_samples(legal_cells(pixels, base, layers)).select("sample_id", "bi", "bj")
+    # numbering reads the cells twice, deciding them is the expensive part
+    return number_samples(cut_lineage(legal_cells(pixels, base, layers))).select("sample_id", "bi", "bj")
 
 
 def gather_windows(cells: DataFrame, pixels: DataFrame, base: Layer, layers: Sequence[Layer]) -> DataFrame:
@@ -159,7 +161,8 @@ def resample_blend(
         return (base.res_m / 2 + (k + 0.5 - n / 2) * res) / base.res_m
 
     rows = gather(cells, pixels, [sample_footprint(base, layer, at(0), at(n - 1), reach=1) for layer in layers])
-    rows = rows.filter(F.col("value").isNotNull())
+    # pixels are dealt to their cells before they are multiplied; the aggregation below keeps that partitioning
+    rows = rows.filter(F.col("value").isNotNull()).repartition("bi", "bj")
     for axis, cell, pixel, g, d in (("x", "bi", "ix", "gi", "dx"), ("y", "bj", "iy", "gj", "dy")):
         offset = f"({base.res_m / 2}D + ({g} + 0.5D - {n / 2}D) * {res}) / {base.res_m}"
         rows = rows.selectExpr("*", f"{range_sql('0', str(n - 1))} AS {g}")

@@ -210,7 +210,7 @@ def _claim(cells: DataFrame, seeds: Sequence[dict], reach: int) -> DataFrame:
     ring = F.greatest(F.abs(di), F.abs(dj))
     near = cells.withColumns(_tiled(width)).join(table, ["lot", "tx", "ty"]).withColumn("ring", ring).filter(F.col("ring") <= reach)
     first = F.min(F.struct("ring", "region", "quota", (di * F.col("oi")).alias("di"), (dj * F.col("oj")).alias("dj")))
-    owned = near.groupBy(*cells.columns).agg(first.alias("s")).select(*cells.columns, "s.*")
+    owned = cut_lineage(near.groupBy(*cells.columns).agg(first.alias("s")).select(*cells.columns, "s.*"))  # read three times
     order = [F.col("di"), F.col("dj")]
     taken = take_quota(owned, F.col("ring"), order, F.col("quota"), "_take", ["lot", "region"])
     return taken.filter("_take").select(*cells.columns, "region")

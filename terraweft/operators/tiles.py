@@ -58,10 +58,12 @@ def upsample_nearest(tiles: DataFrame, k: int) -> DataFrame:
 def upsample_weighted(tiles: DataFrame, k: int, rows: int, cols: int) -> DataFrame:
     """Blend of the four corner pixels; a corner weighs the squared distance to the opposite corner, edges are clamped.
 
-    Each pixel sends itself to the blocks where it is a corner, so one aggregation replaces four joins.
+    Each pixel sends itself to the blocks where it is a corner, so one aggregation replaces four joins. Tiles are dealt out whole first, so
+    what is shuffled are the pixels, not their copies.
     """
     half = F.sequence(F.lit(0), F.lit(1))
-    sent = tiles.withColumn("_cr", F.explode(half)).withColumn("_cc", F.explode(half))
+    names = [c for c in tiles.columns if c not in ("r", "c", "value")]
+    sent = (tiles.repartition(*names) if names else tiles).withColumn("_cr", F.explode(half)).withColumn("_cc", F.explode(half))
     for at, corner, size in (("r", "_cr", rows), ("c", "_cc", cols)):
         # corner 1 of block b is pixel b + 1, or the last pixel again at the edge
         own = F.col(at) - F.col(corner)

@@ -12,7 +12,7 @@ from terraweft.operators import align, cube, mosaic, resample, screen, stats
 from terraweft.operators.footprint import base_cells
 from terraweft.operators.splits import random_split
 from terraweft.plans.registry import near, query
-from terraweft.session import cut_lineage, scratch_path
+from terraweft.session import cut_lineage, scratch_path, stored
 from terraweft.sources import datasets
 
 
@@ -172,7 +172,7 @@ def flagship(fx):
 )
 def _(fx):
     legal, px = pyramid_of(fx)
-    px = cut_lineage(px)  # read twice: for the ranges and to be scaled
+    px = stored(px, "windows")  # read twice: for the ranges and to be scaled
     normed = stats.minmax_norm(px, stats.layer_minmax(px, splits_of(legal)), 1)
     return normed.withColumn("value", F.round("value", 9))
 

@@ -54,6 +54,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 _RUNS: set[str] = set()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Like ``cut_lineage`` for wide or many rows: a Parquet table below the shared folder, read by column."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and read them back, so lost executors do not repeat the work."""
     spark = df.sparkSession
