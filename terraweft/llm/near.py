@@ -113,7 +113,8 @@ def _signatures(width: int, rows: int, bands: int):
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of links (a, b): (node, label), the label being the least node; nodes without links are absent.
 
-    Large-star and small-star steps, each an aggregation and a join; every round is written to the shared folder.
+    Large-star and small-star steps, each an aggregation and a join; every round is written to the shared folder. The hubs of a large star are
+    written before they are joined: a join of two plain exchanges is one whose hot keys Spark splits over tasks.
     """
     state = None
     links = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
@@ -124,8 +125,8 @@ def components(edges: DataFrame) -> DataFrame:
             return links.select(F.col("a").alias("node"), F.col("b").alias("label"))
         state = mark
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hubs = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("hub"))
-        large = both.join(hubs, "a").where("b > a").select(F.col("b").alias("a"), F.col("hub").alias("b"))
+        hubs = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("hub")), "hubs")
+        large = written(both.join(hubs, "a").where("b > a").select(F.col("b").alias("a"), F.col("hub").alias("b")).distinct(), "stars")
         least = large.groupBy("a").agg(F.min("b").alias("hub"))
         small = large.join(least, "a").where("b <> hub").select(F.col("b").alias("a"), F.col("hub").alias("b"))
         links = small.unionByName(least.select("a", F.col("hub").alias("b"))).where("a <> b").distinct()
@@ -138,7 +139,8 @@ def cells(members: DataFrame, buckets: DataFrame, coarse: DataFrame, limit: int)
     bucket by bucket, and buckets beyond the limit in blocks of half of it, every two blocks in a cell.
     """
     placed = members.join(coarse, members.set_id == coarse.node).select("set_id", "label", "n_shingles")
-    weights = placed.groupBy("label").agg((F.sum("n_shingles") <= limit).alias("fits"))
+    # totals are written before they are joined, so that a large component is no hot key
+    weights = written(placed.groupBy("label").agg((F.sum("n_shingles") <= limit).alias("fits")), "weights")
     placed = written(placed.join(weights, "label"), "placed")
     fitting = placed.where("fits").select("set_id", F.col("label").alias("cell"))
     crowded = buckets.join(placed.where("NOT fits").select("set_id", "n_shingles"), "set_id")
@@ -244,7 +246,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     nodes = written(nodes.agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys")), "nodes")
     spread = nodes.select("set_id", F.explode("keys").alias("key"))
     hubs = spread.groupBy("key").agg(F.min("set_id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    buckets = written(spread.join(hubs, "key"), "buckets")
+    buckets = written(spread.join(written(hubs, "bucket_hubs"), "key"), "buckets")
     coarse = components(buckets.select(F.col("set_id").alias("a"), F.col("hub").alias("b")))
     # a node without a link of its own is the label of others
     coarse = written(coarse.unionByName(coarse.select(F.col("label").alias("node"), "label").distinct()), "coarse")
@@ -256,7 +258,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     compared = texts.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare(width, percent), "a binary, b binary")
     groups = components(compared)
     labels = members.join(groups, members.set_id == groups.node, "left").select("set_id", "least", F.coalesce("label", "set_id").alias("label"))
-    smallest = labels.groupBy("label").agg(F.min("least").alias("component_id"))
+    labels = written(labels, "labels")
+    smallest = written(labels.groupBy("label").agg(F.min("least").alias("component_id")), "smallest")
     named = labels.join(smallest, "label").select("set_id", "component_id")
     found = signed.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
     component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
