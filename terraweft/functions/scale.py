@@ -11,6 +11,8 @@ from terraweft.functions.scalars import hash_int, order_hash
 from terraweft.session import cut_lineage
 
 BROADCAST_ROWS = 200_000
+#: Left rows of a key beyond which a join spreads it over tasks.
+HOT_ROWS = 1_000_000
 SPLITS = 8
 
 
@@ -24,27 +26,47 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def salted_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", splits: int = SPLITS
+    left: DataFrame,
+    right: DataFrame,
+    on: Sequence[str],
+    how: str = "inner",
+    splits: int | None = None,
+    counts: DataFrame | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Equi-join whose left side may hold one key in most of its rows; the right side must be short per key.
 
-    Left rows of a key are spread over ``splits`` tasks and the right side is repeated once per split, so a hot key is
-    never one task's work. Valid for inner, left, left_semi and left_anti joins.
+    Keys with more than ``hot_rows`` left rows are spread over as many tasks as they fill, and only their right rows are repeated. The keys are
+    counted (``counts`` has them as ``_n`` if the caller knows them). ``splits`` instead spreads every key over that many tasks without a
+    count, for sides that are joined many times. Valid for inner, left, left_semi and left_anti joins.
     """
-    salt = F.pmod(F.xxhash64(*left.columns), F.lit(splits)).cast("int")
-    spread = left.withColumn("_salt", salt)
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
+    digest = F.xxhash64(*left.columns)
+    if splits is not None:
+        spread = left.withColumn("_salt", F.pmod(digest, F.lit(splits)).cast("int"))
+        copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
+        return spread.join(copies, [*on, "_salt"], how).drop("_salt")
+    if counts is None:
+        counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    parts = F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int").alias("_parts")
+    hot = cut_lineage(counts.filter(F.col("_n") > hot_rows).select(*on, parts))
+    if hot.isEmpty():
+        return left.join(right, list(on), how)
+    hot = bounded(hot)
+    own = F.coalesce(F.col("_parts"), F.lit(1))
+    spread = left.join(hot, list(on), "left").withColumn("_salt", F.pmod(digest, own).cast("int")).drop("_parts")
+    copies = right.join(hot, list(on), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), own - 1))).drop("_parts")
     return spread.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
 def lookup(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Join many rows to a table that is unique on ``on`` and possibly much larger.
 
-    The distinct keys are matched first, so the table is shuffled once and never repeated; only the matched part is
+    The distinct keys are counted and matched first, so the table is shuffled once and never repeated; only what matches hot keys is
     repeated for the salted join back.
     """
-    hits = table.join(rows.select(*on).distinct(), list(on), "left_semi")
-    return salted_join(rows, hits, on, how)
+    counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    hits = table.join(counts.select(*on), list(on), "left_semi")
+    return salted_join(rows, hits, on, how, counts=counts)
 
 
 def _running_total(counts: DataFrame, group: Sequence[str], coarse: str) -> DataFrame:

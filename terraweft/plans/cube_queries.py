@@ -339,10 +339,7 @@ def _(fx):
 
 @query(
     "c8_fit_tile",
-    """SELECT tile_id, CAST(a.i AS INT) AS r, CAST(b.i AS INT) AS c, coalesce(value, 0) AS value FROM (SELECT DISTINCT tile_id FROM fx_tiles) t
-       CROSS JOIN range(0, 10) AS a(i) CROSS JOIN range(0, 6) AS b(i) LEFT JOIN fx_tiles x USING (tile_id) WHERE FALSE
-       UNION ALL
-       SELECT g.tile_id, CAST(g.r AS INT), CAST(g.c AS INT), coalesce(x.value, 0) FROM (SELECT tile_id, a.i AS r, b.i AS c FROM
+    """SELECT g.tile_id, CAST(g.r AS INT) AS r, CAST(g.c AS INT) AS c, coalesce(x.value, 0) AS value FROM (SELECT tile_id, a.i AS r, b.i AS c FROM
          (SELECT DISTINCT tile_id FROM fx_tiles) t, range(0, 10) AS a(i), range(0, 6) AS b(i)) g
        LEFT JOIN fx_tiles x ON x.tile_id = g.tile_id AND x.r = g.r AND x.c = g.c""",
 )

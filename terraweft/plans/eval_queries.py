@@ -234,8 +234,8 @@ def _(fx):
 def _(fx):
     path = scratch_path(fx.spark, "metrics")
     overall = evaluate.regression_error(fx.preds).filter("sample_id IS NULL").drop("sample_id")
-    datasets.write_metrics(r9(overall, "mse", "mae"), path)
-    return datasets.read_metrics(fx.spark, path)
+    datasets.write_table(r9(overall, "mse", "mae"), path)
+    return datasets.read_table(fx.spark, path)
 
 
 @query("m11_select_targets", "SELECT fold, sample_id, target, y, yhat FROM fx_preds WHERE target IN ('wue', 'agb')")

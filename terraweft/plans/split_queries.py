@@ -250,15 +250,15 @@ def _(fx):
 @query("s7_stats_files", "SELECT layer_id, min(value) AS vmin, max(value) AS vmax, count(value) AS pixels FROM v_pyr GROUP BY layer_id")
 def _(fx):
     path = scratch_path(fx.spark, "stats")
-    datasets.write_stats(stats.combined_minmax(pyramid_of(fx)[1]), path)
-    return datasets.read_stats(fx.spark, path)
+    datasets.write_table(stats.combined_minmax(pyramid_of(fx)[1]), path)
+    return datasets.read_table(fx.spark, path)
 
 
 @query("s7_legal_files", "SELECT sample_id, bi, bj FROM v_legal")
 def _(fx):
     path = scratch_path(fx.spark, "legal")
-    datasets.write_legal(resample.legal_samples(fx.pixels, fx.base, fx.catalog), path)
-    return datasets.read_legal(fx.spark, path)
+    datasets.write_table(resample.legal_samples(fx.pixels, fx.base, fx.catalog), path)
+    return datasets.read_table(fx.spark, path)
 
 
 CLASSES = "SELECT file_id, array_to_string(list_slice(string_split(fname, ' '), 1, len(string_split(fname, ' ')) - 1), ' ') AS class FROM fx_files"

@@ -128,9 +128,6 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-write_stats = write_metrics = write_legal = write_table
-read_stats = read_metrics = read_legal = read_table
-
 
 def write_manifest(spark: SparkSession, path: str, mode: str = "errorifexists", **params) -> None:
     """All parameters of a run as one JSON row."""

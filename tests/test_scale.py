@@ -21,13 +21,24 @@ def rows(spark):
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_salted_join_equals_join(spark, rows, how):
     right = spark.range(0, 12).select(F.col("id").cast("int").alias("k"), (F.col("id") * 2).alias("w"))
-    a = scale.salted_join(rows, right, ["k"], how).toPandas()
     b = rows.join(right, "k", how).toPandas()
-    cols = sorted(a.columns)
-    assert cols == sorted(b.columns)
-    pd.testing.assert_frame_equal(
-        a[cols].sort_values("id").reset_index(drop=True), b[cols].sort_values("id").reset_index(drop=True)
-    )
+    # no hot key, one hot key, every key spread
+    for options in ({}, {"hot_rows": 20}, {"splits": 3}):
+        a = scale.salted_join(rows, right, ["k"], how, **options).toPandas()
+        cols = sorted(a.columns)
+        assert cols == sorted(b.columns)
+        pd.testing.assert_frame_equal(
+            a[cols].sort_values("id").reset_index(drop=True), b[cols].sort_values("id").reset_index(drop=True)
+        )
+
+
+def test_only_hot_keys_are_repeated(spark):
+    left = spark.range(100).selectExpr("id", "CASE WHEN id < 90 THEN 1 ELSE id END AS k")
+    right = spark.range(100).selectExpr("id AS k", "id * 2 AS w")
+    joined = scale.salted_join(left, right, ["k"], hot_rows=30)
+    assert joined.count() == 100
+    hot = left.groupBy("k").count().where("count > 30").collect()
+    assert [tuple(r) for r in hot] == [(1, 90)]
 
 
 def test_lookup_equals_join(spark, rows):
