@@ -49,23 +49,26 @@ class Network:
     def tables(self, width: int) -> list[np.ndarray]:
         return [self.weights["embedding"] @ k for k in self.weights[f"filter{width}"]]
 
-    def fit(self, windows: np.ndarray, targets: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.01) -> None:
-        """Adam on the cross-entropy; only the window that wins a maximum gets a gradient."""
+    def fit(self, windows: np.ndarray, targets: np.ndarray, epochs: int = 8, steps: int = 1000, batch: int = 64, rate: float = 0.01) -> None:
+        """Adam on the cross-entropy; only the window that wins a maximum gets a gradient.
+
+        Runs ``epochs`` times over the sample, more often where that makes fewer than ``steps`` steps; the rate falls to a sixtieth.
+        """
         rng = np.random.default_rng(2)
         first = {k: np.zeros_like(v) for k, v in self.weights.items()}
         second = {k: np.zeros_like(v) for k, v in self.weights.items()}
-        step = 0
-        for epoch in range(epochs):
-            order = rng.permutation(len(windows))
-            for at in range(0, len(order), batch):
-                own = order[at : at + batch]
-                step += 1
-                grads = self._gradients(windows[own], targets[own])
-                for k, g in grads.items():
-                    first[k] += 0.1 * (g - first[k])
-                    second[k] += 0.001 * (g * g - second[k])
-                    move = (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-7)
-                    self.weights[k] -= (rate * 0.6**epoch) * move
+        per_epoch = -(-len(windows) // batch)
+        total = per_epoch * max(epochs, -(-steps // per_epoch))
+        for step in range(1, total + 1):
+            if (step - 1) % per_epoch == 0:
+                order = rng.permutation(len(windows))
+            at = (step - 1) % per_epoch * batch
+            own = order[at : at + batch]
+            for k, g in self._gradients(windows[own], targets[own]).items():
+                first[k] += 0.1 * (g - first[k])
+                second[k] += 0.001 * (g * g - second[k])
+                move = (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-7)
+                self.weights[k] -= (rate * 60 ** (-step / total)) * move
 
     def _gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         best, where = [], []
