@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from awkward import duck_over, messy, nothing, unique  # noqa: F401
 from conftest import SF_DIR, same_rows
+from pyspark.sql import functions as F
 
 from terraweft.llm import credentials, exact, language, licenses, mixing, near, packing, personal, quality, repeats
 from terraweft.llm.queries import QUERIES, TWINS
@@ -280,3 +281,27 @@ def test_scorer_equals_the_plain_network():
         hidden.append(np.einsum("btkd,kdf->btf", spelled, net.weights[f"filter{w}"]).max(axis=1))
     plain = language.softmax(np.maximum(np.concatenate(hidden, axis=1), 0) @ net.weights["out"])
     assert np.allclose(net.compiled()(x), plain, atol=1e-5)
+
+
+def test_tiny_sources_reach_their_targets_beside_a_huge_one(spark, monkeypatch):
+    # fewer slots give the small table the coarse blocks of a large one
+    monkeypatch.setattr(mixing, "SLOTS", 1 << 13)
+    sizes = [("huge", 500, 2000), ("few", 10, 20), ("some", 20, 50), ("rare", 100, 60), (None, 3, 1)]
+    docs = spark.createDataFrame([(f"{s}{k}", "w " * n, s) for s, m, n in sizes for k in range(m)], "doc_id string, text string, source string")
+    full = mixing.mix(docs)
+    assert full.count() == docs.count()
+    got = {r.source: (r.size, r.target, r.taken) for r in full.groupBy("source").agg(F.sum("size").alias("size"), F.max("target").alias("target"), F.sum("taken").alias("taken")).collect()}
+    for source, documents, words in sizes:
+        size, target, taken = got[source]
+        assert size == documents * words and taken <= 3 * size
+        assert abs(taken - target) <= 0.01 * target + 3
+    kept = {r.source for r in mixing.repeat_to_mix(docs).select("source").distinct().collect()}
+    assert kept >= {"huge", "few", "some", "rare"}
+
+
+def test_a_huge_source_with_a_small_target_reaches_it(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOTS", 1 << 8)
+    sizes = [("a", 200, 100), *((f"b{k:03}", 5, 20) for k in range(400))]
+    docs = spark.createDataFrame([(f"{s}{k}", "w " * n, s) for s, m, n in sizes for k in range(m)], "doc_id string, text string, source string")
+    for r in mixing.mix(docs).groupBy("source").agg(F.max("target").alias("target"), F.sum("taken").alias("taken")).collect():
+        assert abs(r.taken - r.target) <= 0.01 * r.target + 3
