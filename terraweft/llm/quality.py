@@ -21,6 +21,8 @@ BOILERPLATE = (
     "|javascript (is|must be) (disabled|enabled)|lorem ipsum|click here|read more|sign up|log in|subscribe to|follow us on|share (this|on)"
     "|skip to (main )?content|back to top|powered by|add to cart|leave a (comment|reply)"
 )
+#: A line with phrases fails when it has at most so many words, or when the phrases make up at least one word in so many.
+SHORT_LINE, PHRASE_SHARE = 12, 5
 #: A line fails with more than one such mark in ten characters, three separators in at least a sixth of its words, or two of three words ending in "!!".
 MARKS, SEPARATORS, SHOUT = b"#*$%&<>{}~^=_\\", b"|", b"!!"
 
@@ -30,7 +32,7 @@ COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
 def clean_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most_lost: float = 0.5, with_text: bool = True) -> DataFrame:
     """Measures, verdict and cleaned text of every document.
 
-    Lines that fail a punctuation, navigation or boilerplate rule are removed. A document is rejected when its base measures fail
+    Lines that fail a punctuation, navigation or boilerplate rule are removed; a phrase in a longer line of prose is none. A document is rejected when its base measures fail
     or when the removed lines hold more than ``most_lost`` of the characters in words. Null and empty texts have no words and
     are rejected; a text is read whole whatever its length; every row gives one row, repeated ones too. Other columns are not
     read. ``clean`` holds the lines that stay (of rejected documents too).
@@ -42,7 +44,7 @@ def clean_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mos
 
 def _cleaner(most_lost: float, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spans, phrases = Spans(), re.compile(BOILERPLATE.encode(), re.IGNORECASE)
+        spans, phrases = Spans(), re.compile(rb"(?<![\w\x80-\xff])(?:" + BOILERPLATE.encode() + rb")(?![\w\x80-\xff])", re.IGNORECASE)
         for batch in batches:
             for part, data, offsets in blocks(batch, "text"):
                 found = measure(data, offsets, spans, phrases, most_lost, with_text)
@@ -90,7 +92,7 @@ def measure(data: np.ndarray, offsets: np.ndarray, spans: Spans, phrases: re.Pat
     np.cumsum(word_points, out=held[1:])
     line_chars = held[holds[1]] - held[holds[0]]
     fails = _failing(data, line_starts, line_ends, line_words, line_chars, starts, ends)
-    fails[_phrase_lines(data, offsets, line_starts, phrases)] = True
+    fails |= _phrase_lines(data, offsets, line_starts, line_words, starts, phrases)
     lost = np.bincount(line_rows, weights=line_chars * fails, minlength=rows).astype(np.int64)
     word_chars = np.bincount(row, weights=word_points, minlength=rows).astype(np.int64)
     out = {
@@ -129,9 +131,14 @@ def _failing(data, line_starts, line_ends, line_words, line_chars, starts, ends)
     return some & ((10 * marks > line_chars) | ((separators >= 3) & (6 * separators >= line_words)) | (3 * shouts >= 2 * line_words))
 
 
-def _phrase_lines(data, offsets, line_starts, phrases) -> np.ndarray:
-    """Lines with a phrase of the boilerplate list; phrases never cross lines or rows."""
+def _phrase_lines(data, offsets, line_starts, line_words, starts, phrases) -> np.ndarray:
+    """Lines that phrases of the boilerplate list make up, or short lines with one; phrases are whole words and never cross lines or rows."""
     raw, hits = data.tobytes(), []
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        hits += [m.start() for m in phrases.finditer(raw, a, b)]
-    return np.searchsorted(line_starts, np.array(hits, np.int64), side="right") - 1
+        # a row on its own: bytes of the rows beside it are no context
+        hits += [(a + m.start(), a + m.end()) for m in phrases.finditer(raw[a:b])]
+    begins, ends = np.array(hits, np.int64).reshape(-1, 2).T
+    line = np.searchsorted(line_starts, begins, side="right") - 1
+    words = np.searchsorted(starts, ends) - np.searchsorted(starts, begins, side="right") + 1
+    told = np.bincount(line, weights=words, minlength=len(line_starts))
+    return (told > 0) & ((line_words <= SHORT_LINE) | (PHRASE_SHARE * told >= line_words))

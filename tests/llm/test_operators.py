@@ -305,3 +305,19 @@ def test_a_huge_source_with_a_small_target_reaches_it(spark, monkeypatch):
     docs = spark.createDataFrame([(f"{s}{k}", "w " * n, s) for s, m, n in sizes for k in range(m)], "doc_id string, text string, source string")
     for r in mixing.mix(docs).groupBy("source").agg(F.max("target").alias("target"), F.sum("taken").alias("taken")).collect():
         assert abs(r.taken - r.target) <= 0.01 * r.target + 3
+
+
+CLEAN = "the old catalog in 1998 was a dialog in French, they spread more seeds, share onions and design up to three maps while rivers run under the stone bridge "
+
+
+@pytest.mark.parametrize("text", [CLEAN.strip(), CLEAN * 5, (CLEAN * 3).strip() + " so click here to see it, he said", "Ein Dialog in Wien über Kataloglog into und señalog in zwei Teilen bleibt heute noch lange ohne jede Antwort und ohne Ende"])
+def test_prose_with_words_like_boilerplate_loses_nothing(spark, text):
+    distinct = " ".join(f"{w}{k}" if k > 40 else w for k, w in enumerate(text.split()))
+    got = quality.clean_lines(spark.createDataFrame([(1, distinct)], "doc_id long, text string")).first()
+    assert got.lost_chars == 0 and got.clean == distinct and got.kept
+
+
+@pytest.mark.parametrize("line", ["Log in", "Subscribe to our newsletter", "All Rights Reserved.", "we use cookies, accept all cookies, see our privacy policy and terms of use, log in or sign up"])
+def test_boilerplate_lines_fail(spark, line):
+    docs = spark.createDataFrame([(1, f"é\n{line}\nlog"), (2, "in the plain text")], "doc_id long, text string").coalesce(1)
+    assert [r.clean for r in quality.clean_lines(docs).orderBy("doc_id").collect()] == ["é\nlog", "in the plain text"]
