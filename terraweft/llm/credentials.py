@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+import string
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,13 +19,19 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # shorter runs fail anyway, and a run is tak
 LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 KINDS = ("assign", "access", "hex", "guess")
 
-#: Credential contexts of the guess-cost rule: a name, then ':', '=', '=>' or 'is', then a value without spaces.
-CONTEXT = re.compile(
-    r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|credentials?|token|(?:api|access|private|auth)[_ -]?key)["']?"""
-    r"""(?:\x20*(?::=|=>|[:=])\x20*|\x20+is:?\x20+)["']?([^\s"'<>,;]{8,})""",
+#: Credential contexts of the guess-cost rule: a name, then ':', '=', '=>' or 'is', then a value without spaces. A name is a run of
+#: identifier characters with a credential word anywhere in it; ordinary words (secretary, tokenizer, passage, compass) are none.
+NAME_WORD = re.compile(
+    r"""pass(?:word|wd|phrase|code)|(?<!com)(?<!by)(?<!tres)(?<!sur)(?<!over)(?<!under)pass(?:(?![a-z])|(?-i:(?<=s)(?=[A-Z])))"""
+    r"""|pwd|secret(?!ar[iy]|ive|ion|ly\b|e[sd]?\b|ing\b)|credential|token(?!i[sz](?:e|a|ing))"""
+    r"""|(?:api|access|private|auth)[_\x20.-]?key(?!board|note|hole|pad|ring|word|stone|stroke)""",
     re.IGNORECASE | re.ASCII,
 )
-#: One of these is in every text that ASSIGN or CONTEXT can match, once lower-cased.
+#: What is left of a name; "access key" with a space is one name.
+NAME_REST = re.compile(r"[A-Za-z0-9_.-]*+(?:(?:(?<=api)|(?<=access)|(?<=private)|(?<=auth))\x20key[A-Za-z0-9_.-]*+)?+", re.IGNORECASE | re.ASCII)
+NAME_CHARS = frozenset(string.ascii_letters + string.digits + "_.-")
+VALUE = re.compile(r"""["']?(?:\x20*(?::=|=>|[:=])\x20*|\x20+is:?\x20+)["']?([^\s"'<>,;]{8,})""", re.IGNORECASE | re.ASCII)
+#: One of these is in every text that ASSIGN or a credential context can match, once lower-cased.
 HINTS = ("pass", "pwd", "secret", "credential", "token", "key")
 
 #: Common parts of passwords, most common first; the rank is the cost.
@@ -101,6 +108,25 @@ RANKS = {w: i + 1 for i, w in enumerate(dict.fromkeys(WORDS))}
 STEPS = _steps()
 
 
+def context_values(text: str, counts: Callable[[int, int], bool]) -> Iterator[tuple[int, int]]:
+    """Spans of the values in credential contexts that count. The last name in a value that does not may open a context itself.
+
+    No part of the text is read more than a few times, so long runs of names take linear time.
+    """
+    at = 0
+    while word := NAME_WORD.search(text, at):
+        at = NAME_REST.match(text, word.end()).end()
+        if value := VALUE.match(text, at):
+            first, at = value.span(1)
+            if counts(first, at):
+                yield first, at
+                continue
+            while at > first and text[at - 1] in ":=":
+                at -= 1
+            while at > first and text[at - 1] in NAME_CHARS:
+                at -= 1
+
+
 def secret_spans(text: str, least_guesses: float = 10.0) -> list[tuple[int, int, int]]:
     """(start, kind, end) of all secrets, kinds numbered as in KINDS, by start, then kind. Guess spans never overlap base spans."""
     low = text.lower()
@@ -112,10 +138,8 @@ def secret_spans(text: str, least_guesses: float = 10.0) -> list[tuple[int, int,
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if named:
         base = sorted((a, b) for a, _, b in found)
-        for m in CONTEXT.finditer(text):
-            a, b = m.span(1)
-            if not any(x < b and a < y for x, y in base) and guess_cost(m[1]) >= least_guesses:
-                found.append((a, 3, b))
+        counts = lambda a, b: not any(x < b and a < y for x, y in base) and guess_cost(text[a:b]) >= least_guesses
+        found += [(a, 3, b) for a, b in context_values(text, counts)]
     return sorted(found)
 
 

@@ -321,3 +321,27 @@ def test_prose_with_words_like_boilerplate_loses_nothing(spark, text):
 def test_boilerplate_lines_fail(spark, line):
     docs = spark.createDataFrame([(1, f"é\n{line}\nlog"), (2, "in the plain text")], "doc_id long, text string").coalesce(1)
     assert [r.clean for r in quality.clean_lines(docs).orderBy("doc_id").collect()] == ["é\nlog", "in the plain text"]
+
+
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [
+        ("export DB_PASSWORD=xK9$vQ!27#mZ", "xK9$vQ!27#mZ"),
+        ("client_secret: 8f!Qz@71LmWp", "8f!Qz@71LmWp"),
+        ("secret_key = 'pX8!zz@Lq2#Vt9'", "pX8!zz@Lq2#Vt9"),
+        ("aws_secret_access_key=abcdEFGH1234ijklMNOP5678", "abcdEFGH1234ijklMNOP5678"),
+        ('{"clientSecret": "8f!Qz@71LmWp"}', "8f!Qz@71LmWp"),
+        ("spring.datasource.password.prod=xK9$vQ!27#mZ", "xK9$vQ!27#mZ"),
+        ("MYSQL_PWD=xK9$vQ!27#mZ", "xK9$vQ!27#mZ"),
+        ("secret-access key: xK9$vQ!27#mZ", "xK9$vQ!27#mZ"),
+        ("secret_note is password: xK9$vQ!27#mZ", "xK9$vQ!27#mZ"),
+    ],
+)
+def test_compound_names_are_credential_contexts(text, value):
+    assert [text[a:b] for a, k, b in credentials.secret_spans(text) if k == 3] == [value]
+
+
+def test_ordinary_words_are_no_credential_names():
+    text = "Secretary: Constantinople tokenizer = Constantinople passage: Constantinople compass is Constantinople db_password=password"
+    assert credentials.secret_spans(text) == []
+    assert credentials.secret_spans("token" * 200_000) == []
