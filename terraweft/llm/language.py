@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from terraweft.llm.frames import blocks
 from terraweft.llm.words import per_row
@@ -155,42 +156,58 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Up to WINDOWS windows of each sampled document, evenly spaced over all of its text."""
+    """Up to WINDOWS windows of each sampled document, evenly spaced over all of its text. Copies that a task has seen give nothing."""
+    seen = set()
     for batch in batches:
-        for part, data, offsets in blocks(batch, "text"):
+        fresh = []
+        for key in zip(batch.column("lang").to_pylist(), batch.column("digest").to_pylist(), strict=True):
+            fresh.append(key not in seen)
+            seen.add(key)
+        for part, data, offsets in blocks(batch.filter(pa.array(fresh, pa.bool_())), "text"):
             windows, row, _ = cut(data, offsets)
             n = np.bincount(row, minlength=len(offsets) - 1)
             first = np.cumsum(n) - n
-            picks = [first[k] + i * n[k] // min(WINDOWS, n[k]) for k in range(len(n)) for i in range(min(WINDOWS, n[k]))]
-            own = row[picks] if picks else np.zeros(0, np.int64)
+            picks = [(first[k] + i * n[k] // min(WINDOWS, n[k]), i) for k in range(len(n)) for i in range(min(WINDOWS, n[k]))]
+            own = row[[p for p, _ in picks]] if picks else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [part.column("lang").take(pa.array(own)), part.column("digest").take(pa.array(own)), pa.array([windows[p].tobytes() for p in picks], pa.binary())],
-                names=["lang", "digest", "window"],
+                [part.column("lang").take(pa.array(own)), part.column("digest").take(pa.array(own)), pa.array([i for _, i in picks], pa.int32()), pa.array([windows[p].tobytes() for p, _ in picks], pa.binary())],
+                names=["lang", "digest", "number", "window"],
             )
 
 
+def sample(labelled: DataFrame, counts: dict[str, int], per_language: int) -> DataFrame:
+    """Windows of at most ``per_language`` documents of each language: lang, digest, number, window; one row per window.
+
+    ``counts`` are numbers of digests. The lowest digests are taken, each once however many rows have it.
+    """
+    # about 1.2 times the sample by hash, then cut to the bound
+    scale = 1 << 30
+    share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(scale, int(1.2 * scale * per_language / n) + 1))]), F.col("lang"))
+    order = F.pmod("digest", F.lit(scale))
+    chosen = labelled.where(order < share).select("text", "lang", "digest")
+    windows = chosen.mapInArrow(_samples, "lang string, digest long, number int, window binary")
+    # the same window from many tasks is one row; texts that share a digest by chance do not add rows
+    windows = windows.groupBy("lang", "digest", "number").agg(F.min("window").alias("window"))
+    place = F.dense_rank().over(Window.partitionBy("lang").orderBy(order, "digest"))
+    return windows.withColumn("place", place).where(F.col("place") <= per_language)
+
+
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Network | None:
     """Fit on at most ``per_language`` labelled documents of each language, four windows each; None without labelled text.
 
-    Documents whose crc32 of the id leaves 1 modulo 3 are never read. The choice goes by a hash of the id, so it repeats.
+    Documents whose crc32 of the id leaves 1 modulo 3 are never read. The choice goes by a hash of id and text, so it repeats, and rows that
+    share an id, or have none, are documents of their own; rows that share both count once.
     """
     rows = docs.select(
-        F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), F.coalesce(F.xxhash64(F.col(doc_id).cast("string")), F.lit(0)).alias("digest"), remainder(doc_id).alias("fold")
+        F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(doc_id).cast("string"), F.col(text).cast("string")).alias("digest"), remainder(doc_id).alias("fold")
     )
     labelled = rows.where("lang IS NOT NULL AND text IS NOT NULL AND text <> '' AND fold <> 1")
-    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    counts = {r[0]: r[1] for r in labelled.select("lang", "digest").distinct().groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages in the labels")
     if not counts:
         return None
-    # about 1.2 times the sample by hash, cut to the bound on the driver
-    scale = 1 << 30
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(scale, int(1.2 * scale * per_language / n) + 1))]), F.col("lang"))
-    chosen = labelled.where(F.pmod("digest", F.lit(scale)) < share).select("text", "lang", "digest")
-    taken = chosen.mapInArrow(_samples, "lang string, digest long, window binary").toPandas()
-    taken = taken.assign(order=taken.digest % scale).sort_values(["lang", "order", "digest", "window"])
-    rank = taken.groupby("lang").digest.transform(lambda s: (s != s.shift()).cumsum())
-    taken = taken[rank <= per_language]
+    taken = sample(labelled, counts, per_language).toPandas().sort_values(["lang", "place", "number"])
     labels = sorted(counts)
     windows = np.frombuffer(b"".join(taken.window), np.uint8).reshape(-1, WINDOW)
     net = Network(labels)

@@ -345,3 +345,15 @@ def test_ordinary_words_are_no_credential_names():
     text = "Secretary: Constantinople tokenizer = Constantinople passage: Constantinople compass is Constantinople db_password=password"
     assert credentials.secret_spans(text) == []
     assert credentials.secret_spans("token" * 200_000) == []
+
+
+def test_repeated_and_missing_ids_do_not_grow_the_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language.Network, "fit", lambda net, windows, targets: seen.append((len(windows), np.bincount(targets).tolist())))
+    words = "river stone cloud garden winter table lamp window bridge forest".split()
+    ids = [None] * 300 + ["0"] * 300 + [f"d{k}" for k in range(300)] + ["copy"] * 300
+    rows = [(i, "same text here" if i == "copy" else f"{words[k % 10]} {k} " * 30, "en" if k % 2 else "de") for k, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string").repartition(6)
+    language.train(docs, per_language=20)
+    (windows, per_label), = seen
+    assert windows == sum(per_label) and all(20 <= n <= 20 * language.WINDOWS for n in per_label)
