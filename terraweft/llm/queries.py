@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraweft.llm import credentials, exact, language, licenses, mixing, near, packing, personal, quality, repeats
+from terraweft.llm import credentials, divergence, exact, language, licenses, mixing, near, packing, personal, quality, repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,7 +55,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_mix_sources, op3_exact_dedup, op4_language_id, op5_quality_rules, op6_secret_scan, op7_license_scan, op8_personal_data, op9_repeated_passages, op10_best_fit_packing)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_mix_sources, op3_exact_dedup, op4_language_id, op5_quality_rules, op6_secret_scan, op7_license_scan, op8_personal_data, op9_repeated_passages, op10_best_fit_packing, op11_source_divergence)}
 
 TWINS: dict[str, str] = {}
 
@@ -133,3 +137,32 @@ joined AS (
 SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 2 * lost_chars <= word_chars AS kept FROM joined
 """
+
+TWINS["op11_source_divergence"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+found AS (SELECT r, lang, source, unnest(w) AS term FROM docs),
+own AS (SELECT lang, source, term, count(*) AS n FROM found GROUP BY ALL),
+kept AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS total FROM found GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+langs AS (SELECT lang, count(*) AS v, sum(total) + count(*) AS size FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+dense AS (
+  SELECT g.lang, g.source, k.term, CAST(coalesce(own.n, 0) AS HUGEINT) AS n, k.total
+  FROM groups AS g JOIN kept AS k ON g.lang = k.lang LEFT JOIN own ON own.lang = g.lang AND own.source = g.source AND own.term = k.term),
+sized AS (SELECT lang, source, sum(n) + count(*) AS size FROM dense GROUP BY ALL),
+shares AS (
+  SELECT d.lang, d.source, term, n, 1 + 1000000000 * (n + 1) // s.size AS p, 1 + 1000000000 * (total + 1) // l.size AS q
+  FROM dense AS d JOIN sized AS s ON d.lang = s.lang AND d.source = s.source JOIN langs AS l ON d.lang = l.lang),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM shares AS a JOIN shares AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM groups AS a JOIN groups AS b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM shares WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM parts)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
