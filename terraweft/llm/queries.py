@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraweft.llm import credentials, divergence, exact, language, licenses, mixing, near, packing, personal, quality, repeats
+from terraweft.llm import credentials, divergence, exact, language, licenses, mixing, near, packing, personal, quality, repeats, search, spelling
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,7 +59,15 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit_sources(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_mix_sources, op3_exact_dedup, op4_language_id, op5_quality_rules, op6_secret_scan, op7_license_scan, op8_personal_data, op9_repeated_passages, op10_best_fit_packing, op11_source_divergence)}
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_mix_sources, op3_exact_dedup, op4_language_id, op5_quality_rules, op6_secret_scan, op7_license_scan, op8_personal_data, op9_repeated_passages, op10_best_fit_packing, op11_source_divergence, op12_exact_top_k, op13_spelling_variants)}
 
 TWINS: dict[str, str] = {}
 
@@ -166,3 +174,16 @@ parts AS (
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM parts)
 SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
 """
+
+TWINS["op12_exact_top_k"] = """
+WITH vectors AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS HUGEINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.r, q.vec_id AS query_id, c.vec_id,
+         coalesce(list_sum(list_transform(range(1, least(len(q.v), len(c.v)) + 1), lambda i: q.v[i] * c.v[i])), 0) AS score
+  FROM vectors AS q JOIN vectors AS c ON q.r <> c.r WHERE q.vec_id % 50 = 0),
+ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM scored)
+SELECT * FROM ranked WHERE rank <= 5
+"""
