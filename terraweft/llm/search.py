@@ -19,6 +19,8 @@ SMALL = 4096
 #: Scores that a task holds at once.
 SCORES = 1 << 22
 SEGMENTS = 2
+#: The score below which there is none; a cutoff there leaves nothing out.
+LOWEST = -(1 << 63)
 
 
 def exact_kind(*largest: int) -> type:
@@ -72,8 +74,8 @@ def _phase(k: int, segments: int, lists: bool):
         width = int(np.diff(rows.column("vector").offsets.to_numpy()).max(initial=0))
         queries = matrix(rows.column("vector"), max(width, tile.width))[:, : tile.width]
         first = own.column("first").to_numpy()
-        unbound = rows.column("cutoff").is_null().to_numpy(zero_copy_only=False)
-        cutoffs = rows.column("cutoff").fill_null(0).to_numpy()
+        cutoffs = rows.column("cutoff").fill_null(LOWEST).to_numpy()
+        unbound = cutoffs == LOWEST
         step = max(1, SCORES // len(own))
         for at in range(0, len(queries), step):
             parts = tile.scores(queries[at : at + step])
@@ -83,7 +85,8 @@ def _phase(k: int, segments: int, lists: bool):
                 once[:, 1:] = chosen[:, 1:] != chosen[:, :-1]
                 i, j = np.nonzero(once)[0], chosen[once]
             else:
-                share = -(-cutoffs[at : at + step, None] // segments)
+                share = cutoffs[at : at + step, None]
+                share = share // segments + (share % segments > 0)
                 reached = np.repeat(unbound[at : at + step, None], len(own), axis=1)
                 for p in parts:
                     reached |= np.asarray(p >= share, bool)
@@ -92,7 +95,7 @@ def _phase(k: int, segments: int, lists: bool):
             for p in parts:
                 total += p[i, j].astype(total.dtype)
             if total.dtype == object:
-                total = np.array([min(max(t, -(1 << 63)), (1 << 63) - 1) for t in total.tolist()], np.int64)
+                total = np.array([min(max(t, LOWEST), (1 << 63) - 1) for t in total.tolist()], np.int64)
             if not lists:
                 stay = unbound[at + i] | (total >= cutoffs[at + i])
                 i, j, total = i[stay], j[stay], total[stay]

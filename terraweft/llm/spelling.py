@@ -174,7 +174,7 @@ class FmIndex:
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (side, bucket, part, asks, text): words of an index, then words to ask it. Gives (word, n_near, best)."""
+    """Rows sorted by (side, bucket, own, part, asks, text): words of an index, then words to ask it. Gives (word, n_near, best)."""
     cell, index = None, None
     counts: dict[bytes, int] = {}
     asked: list[tuple[str, bytes]] = []
@@ -199,12 +199,12 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(*c) for c in columns], names=["word", "n_near", "minus", "near"])
 
     for batch in batches:
-        columns = (batch.column(c).to_pylist() for c in ("side", "bucket", "part", "asks", "text", "n"))
-        for side, bucket, part, asks, text, n in zip(*columns, strict=True):
-            if (side, bucket, part) != cell:
+        columns = (batch.column(c).to_pylist() for c in ("side", "bucket", "own", "part", "asks", "text", "n"))
+        for side, bucket, own, part, asks, text, n in zip(*columns, strict=True):
+            if (side, bucket, own, part) != cell:
                 if asked:
                     yield answer()
-                cell, index, counts = (side, bucket, part), None, {}
+                cell, index, counts = (side, bucket, own, part), None, {}
             raw = text.encode("latin-1")
             if asks:
                 asked.append((text[::-1] if side else text, raw))
@@ -234,10 +234,11 @@ def near_words(words: DataFrame, indexed: int = INDEXED) -> DataFrame:
     hot = bounded(written(loads.where("parts > 1"), "hot_halves"))
     buckets = max(1, -(-dealt.count() // indexed))
     rows = dealt.join(hot, ["side", "half"], "left").withColumn("bucket", F.pmod(F.xxhash64("side", "half"), F.lit(buckets)).cast("int"))
-    # part 0 has the halves that fit one index
+    # part 0 has the halves that fit one index; a larger half has parts of its own, where no other half brings its words again
+    rows = rows.withColumn("own", F.when(F.col("parts").isNotNull(), F.col("half")).otherwise(F.lit("")))
     rows = rows.withColumn("part", F.explode(F.expr("CASE WHEN parts IS NULL THEN array(0) WHEN asks THEN sequence(1, parts) ELSE array(CAST(pmod(xxhash64(text), parts) AS int) + 1) END")))
-    order = ["side", "bucket", "part", "asks", "text"]
-    rows = rows.select(*order, "n").repartition("side", "bucket", "part").sortWithinPartitions(*order)
+    order = ["side", "bucket", "own", "part", "asks", "text"]
+    rows = rows.select(*order, "n").repartition("side", "bucket", "own", "part").sortWithinPartitions(*order)
     found = rows.mapInArrow(_near, "word string, n_near long, minus long, near string")
     best = F.min(F.struct("minus", "near"))
     return found.groupBy("word").agg(F.sum("n_near").alias("n_near"), best.alias("best")).select("word", "n_near", "best.*")

@@ -10,7 +10,7 @@ import pytest
 
 PASSAGE = "the committee met in the old hall and spoke at length about the price of bread, the weather and the roads that lead to the harbour. "
 #: Columns whose names the operators use themselves.
-CLASHES = "key size row h c n start twin cell label set_id keys bucket prefix body id points spans edges shard cluster taken copies digest window held_out score _id _digest _name _kept_id".split()
+CLASHES = "key size row h c n start twin cell label set_id keys bucket prefix body id points spans edges shard cluster taken copies digest window held_out score _id _digest _name _kept_id term docs total item value rank p q z sid block panel asks first vector query hits word near side part half form root".split()
 
 
 def messy_rows() -> list[tuple]:
@@ -62,7 +62,21 @@ def messy_rows() -> list[tuple]:
     return rows
 
 
-def store(spark, rows: list[tuple], folder: Path) -> str:
+def messy_vectors() -> list[tuple]:
+    rng = random.Random(8)
+    vector = lambda n=6: [rng.uniform(-1, 1) for _ in range(n)]
+    hot = vector()
+    rows = [(k, vector()) for k in range(1, 260)]
+    rows += [(0, hot), (50, hot), (50, hot), (50, vector()), *[(k, hot) for k in range(300, 340)], (None, hot), (None, vector()), (100, [v / 3 for v in hot])]
+    rows += [(400, None), (450, [0.5, None, 0.1]), (500, [float("nan")] * 6), (550, [float("inf"), 0.0]), (600, []), (601, []), (650, [0.9]), (651, vector(9)), (700, [0.0] * 6), (750, [1.0] * 6), (751, [1.0] * 6)]
+    return rows
+
+
+def store(spark, rows: list[tuple], folder: Path, vectors: list[tuple] | None = None) -> str:
+    frame = spark.createDataFrame(vectors or [], "vec_id long, embedding array<float>")
+    for name in CLASHES:
+        frame = frame.selectExpr("*", f"concat('{name}', coalesce(vec_id, -1)) AS `{name}`")
+    frame.repartition(3).write.parquet(str(folder / "embeddings.parquet"))
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     frame = spark.createDataFrame(rows, schema)
     for name in CLASHES:
@@ -74,14 +88,14 @@ def store(spark, rows: list[tuple], folder: Path) -> str:
 @pytest.fixture(scope="session")
 def messy(spark, tmp_path_factory) -> tuple[str, list[tuple]]:
     rows = messy_rows()
-    return store(spark, rows, tmp_path_factory.mktemp("messy")), rows
+    return store(spark, rows, tmp_path_factory.mktemp("messy"), messy_vectors()), rows
 
 
 @pytest.fixture(scope="session")
 def unique(spark, tmp_path_factory) -> tuple[str, list[tuple]]:
     """The same without null ids."""
     rows = [r for r in messy_rows() if r[0] is not None]
-    return store(spark, rows, tmp_path_factory.mktemp("unique")), rows
+    return store(spark, rows, tmp_path_factory.mktemp("unique"), messy_vectors()), rows
 
 
 @pytest.fixture(scope="session")
@@ -91,5 +105,6 @@ def nothing(spark, tmp_path_factory) -> str:
 
 def duck_over(folder: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    for name in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet/*.parquet'")
     return con

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -102,3 +103,32 @@ def best_dice(text: str | None, templates: dict[str, str], threshold: float) ->
                 if dice >= threshold and (best is None or (-dice, rank, i, j - i) < best[0]):
                     best = (-dice, rank, i, j - i), (name, dice, i, j - i)
     return best and best[1]
+
+
+def one_edit(a: str, b: str) -> bool:
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    short, long = sorted((a, b), key=len)
+    return len(long) == len(short) + 1 and any(long[:k] + long[k + 1 :] == short for k in range(len(long)))
+
+
+def spelling_groups(rows: list[tuple], least_length: int = 7, factor: int = 10, every: int = 31) -> list[tuple]:
+    """(word, form, root, n, n_near, form_n) over rows (doc_id, text)."""
+    n = Counter()
+    for i, text in rows:
+        for run in re.findall("[A-Za-z\u00c0-\u00ff]+", text or ""):
+            run = run.translate(UPPER)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if h % every == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            if len(run) >= least_length:
+                n[run] += 1
+    n = {w: c for w, c in n.items() if c >= 2}
+    near = {w: [x for x in n if one_edit(w, x)] for w in n}
+    best = {w: min(near[w], key=lambda x: (-n[x], x), default=None) for w in n}
+    form = {w: best[w] if best[w] and n[best[w]] >= factor * n[w] else None for w in n}
+
+    def root(w: str) -> str:
+        return w if form[w] is None else root(form[w])
+
+    return [(w, form[w], root(w), n[w], len(near[w]), n.get(form[w])) for w in n]
