@@ -14,6 +14,10 @@ BROADCAST_ROWS = 200_000
 #: Left rows of a key beyond which a join spreads it over tasks.
 HOT_ROWS = 1_000_000
 SPLITS = 8
+#: Distinct values of a quantile's bracket that one task sorts.
+SORTED_ROWS = 65_536
+#: Bins of a round that narrows such brackets.
+BINS = 1024
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -136,11 +140,12 @@ def take_random(df: DataFrame, ident: str, quota: Column | int, seed: int | str,
 
 
 def exact_quantiles(
-    df: DataFrame, group: Sequence[str], value: str, probs: Sequence[float], accuracy: int = 100_000
+    df: DataFrame, group: Sequence[str], value: str, probs: Sequence[float], accuracy: int = 100_000, sorted_rows: int = SORTED_ROWS
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per (non-empty) group: columns group..., prob, quantile.
 
-    A sketch brackets every quantile, counting places the bracket, and only the distinct values inside it are sorted.
+    A sketch brackets every quantile and counting places the bracket. Rounds of histograms narrow the brackets of all groups at once, until
+    none has more than ``sorted_rows`` distinct values; only these are sorted.
     """
     df = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(*group, F.col(value).alias("_v"))
     # the margin around a quantile covers the error of the sketch and, in small groups, a few ranks
@@ -171,12 +176,35 @@ def exact_quantiles(
     met = df.join(bounded(spot), list(group))
     cols = [*group, "prob", "_pos"]
     slim = met.filter("_v <= _hi").withColumn("_v", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")))
-    counts = slim.groupBy(*cols, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*cols).orderBy(F.col("_v").asc_nulls_first())
-    runs = counts.withColumn("_end", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    first = F.floor("_pos")
-    lo = F.min(F.when(F.col("_end") > first, F.col("_v")))
-    hi = F.min(F.when(F.col("_end") > F.ceil("_pos"), F.col("_v")))
-    out = runs.groupBy(*cols).agg(lo.alias("_lo"), hi.alias("_hi"))
+    counts = cut_lineage(slim.groupBy(*cols, "_v").agg(F.count(F.lit(1)).alias("_c")))
+    below = counts.groupBy(*cols).agg(F.coalesce(F.sum(F.when(F.col("_v").isNull(), F.col("_c"))), F.lit(0)).alias("_below"))
+    # the two values around a position, as ranks inside the bracket
+    ends = below.selectExpr(*cols, "_below", "inline(array(struct(false AS _up, floor(_pos) AS _rank), struct(true AS _up, ceil(_pos) AS _rank)))")
+    ends = bounded(ends.select(*cols, "_up", (F.col("_rank") - F.col("_below")).alias("_rank")))
+    keys = [*cols, "_up"]
+    found = _at_ranks(counts.filter("_v IS NOT NULL").join(ends, cols), keys, sorted_rows)
+    out = found.groupBy(*cols).agg(F.min(F.when(~F.col("_up"), F.col("_v"))).alias("_lo"), F.min(F.when(F.col("_up"), F.col("_v"))).alias("_hi"))
     step = F.col("_pos") - F.floor("_pos")
     return out.select(*group, "prob", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * step).alias("quantile"))
+
+
+def _at_ranks(rows: DataFrame, keys: Sequence[str], sorted_rows: int) -> DataFrame:
+    """The value at the 0-based ``_rank`` of each key, among distinct values ``_v`` that occur ``_c`` times: keys, _v.
+
+    A round counts values in equal bins between the least and the greatest and keeps the bin that the rank falls in.
+    """
+    while True:
+        sizes = cut_lineage(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
+        if sizes.filter(F.col("_n") > sorted_rows).isEmpty():
+            break
+        # halves keep the width of the bracket finite
+        share = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
+        whole = (F.col("_n") <= sorted_rows) | (F.col("_hi") / 2 == F.col("_lo") / 2)
+        binned = rows.join(bounded(sizes), list(keys)).withColumn("_bin", F.when(whole, 0).otherwise(F.floor(share * (BINS - 1))).cast("int"))
+        per_bin = binned.groupBy(*keys, "_rank", "_bin").agg(F.sum("_c").alias("_n"))
+        ahead = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+        chosen = per_bin.withColumn("_ahead", ahead).filter((F.col("_ahead") <= F.col("_rank")) & (F.col("_rank") < F.col("_ahead") + F.col("_n")))
+        kept = binned.join(bounded(chosen.select(*keys, "_bin", "_ahead")), [*keys, "_bin"])
+        rows = cut_lineage(kept.select(*keys, "_v", "_c", (F.col("_rank") - F.col("_ahead")).alias("_rank")))
+    end = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("_end", end).filter(F.col("_end") > F.col("_rank")).groupBy(*keys).agg(F.min("_v").alias("_v"))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terraweft.catalog import literal_rows
+from terraweft.operators.descent import descend, linear_stage
 from terraweft.operators.evaluate import rmse_psnr
 from terraweft.operators.tiles import block_means, stride, sub_blocks, upsample_nearest, upsample_weighted
 from terraweft.session import cut_lineage
@@ -116,6 +117,12 @@ def kernel_ridge(
     return [_mapped([f"_sign * {t}" for t in terms]), _assemble([f"_k{i}" for i in range(len(terms))]), solver]
 
 
+def fit_descent(df: DataFrame, features: Sequence[str], label: str = "y", **params) -> tuple[PipelineModel, list[float]]:
+    """Ridge by mini-batch descent (see ``descent.descend``): the model and its loss per epoch."""
+    weights, losses = descend(df, features, label, **params)
+    return PipelineModel([linear_stage(features, weights)]), losses
+
+
 MODELS: dict[str, Callable[..., list]] = {
     "linear": linear,
     "ridge": ridge,
@@ -129,6 +136,8 @@ MODELS: dict[str, Callable[..., list]] = {
 
 def fit(name: str, df: DataFrame, features: Sequence[str], label: str = "y", **params) -> PipelineModel:
     """Fit a model by name on the feature columns."""
+    if name == "sgd":
+        return fit_descent(df, features, label, **params)[0]
     data = df.withColumnRenamed(label, "y") if label != "y" else df
     if name == "kernel_ridge":
         # turning the sign of a row and its target leaves the loss as it is, but lets the solver see the constant

@@ -13,9 +13,6 @@ from terraweft.functions.scalars import hash_int
 from terraweft.functions.scale import bucket_rank, hash_rank, take_quota, take_random
 from terraweft.session import cut_lineage
 
-#: Seeds are rows on the driver.
-MOST_REGIONS = 100_000
-
 
 def shuffle(df: DataFrame, ident: str, seed: int, name: str = "position") -> DataFrame:
     """Repeatable random order as a 0-based position."""
@@ -88,12 +85,12 @@ def random_split(
     return fixed.unionByName(folded)
 
 
-def dilate(cells: DataFrame, b: int) -> DataFrame:
-    """Cells within ``b`` (square distance) of the given cells, one axis at a time."""
+def dilate(cells: DataFrame, b: int, keys: Sequence[str] = ()) -> DataFrame:
+    """Cells within ``b`` (square distance) of the given cells, one axis at a time, for every value of the keys."""
     steps = F.explode(F.sequence(F.lit(-b), F.lit(b)))
-    wide = cells.withColumn("_d", steps).select((F.col("bi") + F.col("_d")).alias("bi"), "bj").distinct()
+    wide = cells.withColumn("_d", steps).select(*keys, (F.col("bi") + F.col("_d")).alias("bi"), "bj").distinct()
     tall = wide.withColumn("_d", steps)
-    return tall.select("bi", (F.col("bj") + F.col("_d")).alias("bj")).distinct()
+    return tall.select(*keys, "bi", (F.col("bj") + F.col("_d")).alias("bj")).distinct()
 
 
 def free_cells(legal: DataFrame, taken: DataFrame, b: int) -> DataFrame:
@@ -126,32 +123,25 @@ def _around(df: DataFrame) -> DataFrame:
 
 
 def _tile_seeds(cells: DataFrame, side: int, buffer: int, names: Sequence[str]) -> DataFrame:
-    """One seed in the central square of each tile, so seeds are more than ``buffer`` apart: lot, si, sj, h."""
-    width = side + buffer
-    low = buffer // 2
+    """One seed in the central square of each tile, so seeds are half a block and ``buffer`` apart: lot, si, sj, h."""
+    width, inner_side = side + buffer, max(side // 2, 1)
+    low = (width - inner_side) // 2
     inner = cells.withColumns(_tiled(width)).withColumns(
         {"_x": F.col("bi") - F.col("tx") * width - low, "_y": F.col("bj") - F.col("ty") * width - low}
     )
-    inner = inner.filter(F.col("_x").between(0, side - 1) & F.col("_y").between(0, side - 1))
-    mid = (side - 1) / 2
+    inner = inner.filter(F.col("_x").between(0, inner_side - 1) & F.col("_y").between(0, inner_side - 1))
+    mid = (inner_side - 1) / 2
     off = F.greatest(F.abs(F.col("_x") - mid), F.abs(F.col("_y") - mid))
     best = inner.groupBy("lot", "tx", "ty").agg(F.min(F.struct(off.alias("off"), "bi", "bj")).alias("s"))
     return best.select("lot", F.col("s.bi").alias("si"), F.col("s.bj").alias("sj"), _digest(F.concat_ws("_", "tx", "ty"), names).alias("h"))
 
 
-def _distant_seeds(cells: DataFrame, standing: Sequence[dict], apart: int, names: Sequence[str]) -> DataFrame:
-    """Cells farther than ``apart`` from the standing seeds that no better-ranked such cell is near: lot, si, sj, h.
+def _distant_seeds(cells: DataFrame, apart: int, names: Sequence[str]) -> DataFrame:
+    """Cells that no better-ranked cell is within ``apart`` of: lot, si, sj, h.
 
     The best-ranked cell of a lot always stands, so a round gives a seed to every lot that has a cell left.
     """
-    width = apart + 1
-    keyed = cells.withColumns(_tiled(width)).withColumn("h", _digest(F.concat_ws("_", "bi", "bj"), names))
-    if standing:
-        rows = [(s["lot"], s["si"], s["sj"]) for s in standing]
-        near = _around(cells.sparkSession.createDataFrame(rows, "lot int, si bigint, sj bigint").withColumns(_tiled(width, "si", "sj")))
-        close = (F.abs(F.col("bi") - F.col("si")) <= apart) & (F.abs(F.col("bj") - F.col("sj")) <= apart)
-        same = [F.col(f"c.{k}") == F.col(f"n.{k}") for k in ("lot", "tx", "ty")]
-        keyed = keyed.alias("c").join(near.alias("n"), [*same, close], "left_anti")
+    keyed = cells.withColumns(_tiled(apart + 1)).withColumn("h", _digest(F.concat_ws("_", "bi", "bj"), names))
     # only the best cell of a tile can stand; others lose to it
     best = keyed.groupBy("lot", "tx", "ty").agg(F.min(F.struct("h", "bi", "bj")).alias("s"))
     best = cut_lineage(best.select("lot", "tx", "ty", "s.h", "s.bi", "s.bj"))
@@ -162,53 +152,24 @@ def _distant_seeds(cells: DataFrame, standing: Sequence[dict], apart: int, names
     return stand.select("lot", F.col("bi").alias("si"), F.col("bj").alias("sj"), "h")
 
 
-def place_seeds(cells: DataFrame, total: int, regions: int, buffer: int, names: Sequence[str], method: str) -> list[dict]:
-    """Seeds of all lots, ``regions`` each: lot, region, si, sj, quota, oi, oj, apart.
+def clearance(cells: DataFrame, seeds: DataFrame, reach: int) -> DataFrame:
+    """Distance of every seed to the nearest cell of the blocks placed before it, as far as ``reach``: lot, region, clear (NULL beyond).
 
-    Rounds go on until every region stands or a lot has no cell left. When no cell is as far from the seeds as asked, the distance is
-    halved; ``apart`` tells the distance that a seed was placed with. The share of regions that cannot stand goes to those that do.
+    ``cells`` (lot, bi, bj) and ``seeds`` (lot, region, si, sj) both have the turn of their block.
     """
-    if regions > MOST_REGIONS:
-        raise ValueError(f"at most {MOST_REGIONS} regions")
-    side = max(math.ceil(math.sqrt(total / regions)), 1)
-    apart = buffer if method == "tiles" else side + buffer - 1
-    found: list[dict] = []
-    tiles = method == "tiles"
-    while True:
-        short = {lot: regions - sum(s["lot"] == lot for s in found) for lot in range(len(names))}
-        short = {lot: n for lot, n in short.items() if n}
-        if not short:
-            break
-        open_cells = cells.filter(F.col("lot").isin(list(short)))
-        seeds = _tile_seeds(open_cells, side, buffer, names) if tiles else _distant_seeds(open_cells, found, apart, names)
-        rank = F.row_number().over(Window.partitionBy("lot").orderBy("h"))
-        ranked = seeds.withColumn("rank", rank).filter(F.col("rank") <= regions).orderBy("lot", "rank").collect()
-        new = [r for r in ranked if r["rank"] <= short[r["lot"]]]  # at most one row per region
-        found += [{"lot": r["lot"], "si": int(r["si"]), "sj": int(r["sj"]), "h": r["h"], "apart": apart} for r in new]
-        if not new and not tiles:
-            if apart == 0:
-                break
-            apart //= 2
-        tiles = False
-    out = []
-    for lot in range(len(names)):
-        own = [s for s in found if s["lot"] == lot]
-        for region, (seed, quota) in enumerate(zip(own, quotas(total, len(own)) if own else [], strict=True)):
-            h = seed.pop("h")
-            out.append({**seed, "region": region, "quota": quota, "oi": 1 if int(h[-1], 16) % 2 else -1, "oj": 1 if int(h[-2], 16) % 2 else -1})
-    return out
-
-
-def _claim(cells: DataFrame, seeds: Sequence[dict], reach: int) -> DataFrame:
+    spots = _around(seeds.select("lot", "region", "si", "sj", F.col("turn").alias("own")).withColumns(_tiled(reach + 1, "si", "sj")))
+    met = cells.select("lot", "bi", "bj", "turn").withColumns(_tiled(reach + 1)).join(spots, ["lot", "tx", "ty"]).filter("turn < own")
+    away = F.greatest(F.abs(F.col("bi") - F.col("si")), F.abs(F.col("bj") - F.col("sj")))
+    nearest = met.groupBy("lot", "region").agg(F.min(F.when(away <= reach, away)).alias("clear"))
+    return seeds.select("lot", "region").join(nearest, ["lot", "region"], "left")
+
+
+def _claim(cells: DataFrame, seeds: DataFrame, reach: int) -> DataFrame:
     """Give every cell within ``reach`` to its nearest seed and let each seed take its quota, ring by ring."""
-    width = reach + 1
-    fields = ("lot", "region", "si", "sj", "quota", "oi", "oj")
-    rows = [tuple(seed[f] for f in fields) for seed in seeds]
-    table = cells.sparkSession.createDataFrame(rows, "lot int, region int, si bigint, sj bigint, quota bigint, oi int, oj int")
-    table = _around(table.withColumns(_tiled(width, "si", "sj")))
+    table = _around(seeds.select("lot", "region", "si", "sj", "quota", "oi", "oj").withColumns(_tiled(reach + 1, "si", "sj")))
     di, dj = F.col("bi") - F.col("si"), F.col("bj") - F.col("sj")
     ring = F.greatest(F.abs(di), F.abs(dj))
-    near = cells.withColumns(_tiled(width)).join(table, ["lot", "tx", "ty"]).withColumn("ring", ring).filter(F.col("ring") <= reach)
+    near = cells.withColumns(_tiled(reach + 1)).join(table, ["lot", "tx", "ty"]).withColumn("ring", ring).filter(F.col("ring") <= reach)
     first = F.min(F.struct("ring", "region", "quota", (di * F.col("oi")).alias("di"), (dj * F.col("oj")).alias("dj")))
     owned = cut_lineage(near.groupBy(*cells.columns).agg(first.alias("s")).select(*cells.columns, "s.*"))  # read three times
     order = [F.col("di"), F.col("dj")]
@@ -216,48 +177,93 @@ def _claim(cells: DataFrame, seeds: Sequence[dict], reach: int) -> DataFrame:
     return taken.filter("_take").select(*cells.columns, "region")
 
 
-def grow_lots(cells: DataFrame, seeds: Sequence[dict], reach: int) -> DataFrame:
+def grow_lots(cells: DataFrame, seeds: DataFrame, reach: int) -> DataFrame:
     """Blocks of all lots at once: the cells that the seeds take, with their region. ``cells`` has lot, bi, bj and any other columns.
 
     Every round the free cells go to the nearest region that is still short; then the short regions look twice as far. It ends when
     all quotas are met or a lot has no free cell.
     """
-    need = {(s["lot"], s["region"]): s["quota"] for s in seeds}
-    if not any(need.values()):
-        return cells.limit(0).withColumn("region", F.lit(None).cast("int"))
-    ends = cells.agg(F.min("bi"), F.max("bi"), F.min("bj"), F.max("bj")).first()
-    extent = max(ends[1] - ends[0], ends[3] - ends[2]) if ends[0] is not None else 0
-    free, parts = cells, []
+    free, parts, extent, short = cells, [], None, seeds
     while True:
-        short = [{**s, "quota": need[s["lot"], s["region"]]} for s in seeds if need[s["lot"], s["region"]]]
         taken = cut_lineage(_claim(free, short, reach))
         parts.append(taken)
-        got = taken.groupBy("lot", "region").count().collect()  # one row per region
-        for row in got:
-            need[row["lot"], row["region"]] -= row["count"]
-        if not any(need.values()) or (not got and reach > extent):
+        got = taken.groupBy("lot", "region").agg(F.count(F.lit(1)).alias("_got"))
+        short = cut_lineage(short.join(got, ["lot", "region"], "left").withColumn("quota", F.col("quota") - F.coalesce("_got", F.lit(0))).drop("_got").filter("quota > 0"))
+        if short.isEmpty():
             break
+        if taken.isEmpty():
+            if extent is None:
+                ends = cells.agg(F.min("bi"), F.max("bi"), F.min("bj"), F.max("bj")).first()
+                extent = max(ends[1] - ends[0], ends[3] - ends[2]) if ends[0] is not None else 0
+            if reach > extent:
+                break
         free = cut_lineage(free.join(taken.select("lot", "bi", "bj"), ["lot", "bi", "bj"], "left_anti"))
         reach *= 2
     return functools.reduce(DataFrame.unionByName, parts)
 
 
-def grow_blocks(cells: DataFrame, seeds: Sequence[dict], reach: int) -> DataFrame:
+def grow_blocks(cells: DataFrame, seeds: DataFrame, reach: int) -> DataFrame:
     """Blocks around given seeds: the columns of ``cells`` plus region.
 
     ``seeds`` rows hold region, si, sj, quota and the orientation oi, oj of the row-major order inside a ring; ``reach`` is where the
     search starts, it widens until the quotas are met.
     """
     lots = cells.withColumn("lot", F.lit(0))
-    return grow_lots(lots, [{**s, "lot": 0} for s in seeds], reach).select(*cells.columns, "region")
+    return grow_lots(lots, seeds.withColumn("lot", F.lit(0)), reach).select(*cells.columns, "region")
 
 
-def _blocks(cells: DataFrame, total: int, regions: int, buffer: int, names: Sequence[str], method: str) -> tuple[DataFrame, list[dict]]:
-    """Blocks of one lot per name over the same cells, and their seeds."""
+def _blocks(cells: DataFrame, total: int, regions: int, buffer: int, names: Sequence[str], method: str) -> tuple[DataFrame, DataFrame]:
+    """Blocks of one lot per name over the same cells, and their seeds: lot, region, si, sj, quota, apart, turn, clear.
+
+    A round places seeds for the regions that lack one, on cells more than ``buffer`` away from all blocks that stand, and grows their blocks. A
+    block whose seed came within ``buffer`` of a block that precedes it in the round is given up, and its region goes to the next round.
+    Where a lot has no such cell left, the distance is halved (``apart`` has the one that a seed was placed with).
+    """
     side = max(math.ceil(math.sqrt(total / regions)), 1)
-    lots = cut_lineage(cells.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1)))))
-    seeds = place_seeds(lots, total, regions, buffer, names, method)
-    return cut_lineage(grow_lots(lots, seeds, 2 * side)), seeds
+    spark, last = cells.sparkSession, len(names) - 1
+    lots = cut_lineage(cells.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(last)))))
+    # whole cells per region that add up to the total; a region without cells is not placed
+    share = F.expr(f"(id + 1) * {total}L div {regions}L - id * {total}L div {regions}L")
+    wanted = spark.range(regions).select(F.col("id").cast("int").alias("region"), share.alias("quota")).filter("quota > 0")
+    wanted = cut_lineage(wanted.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(last)))))
+    first = Window.partitionBy("lot").orderBy("region")
+    apart, turn, tiles = buffer, 0, method == "tiles"
+    taken = placed = None
+    free = lots
+    while not wanted.isEmpty():
+        waits = wanted.withColumn("rank", F.row_number().over(first))
+        most = waits.groupBy("lot").agg(F.max("rank").alias("most"))
+        places = free if taken is None else free.join(dilate(taken.select("lot", "bi", "bj"), apart, ["lot"]), ["lot", "bi", "bj"], "left_anti")
+        places = places.join(F.broadcast(most.select("lot")), "lot", "left_semi")  # a row per lot
+        seeds = _tile_seeds(places, side, apart, names) if tiles else _distant_seeds(places, side // 2 + apart, names)
+        seeds = seeds.withColumn("rank", F.row_number().over(Window.partitionBy("lot").orderBy("h"))).join(F.broadcast(most), "lot").filter("rank <= most")
+        turned = lambda at: F.when(F.expr(f"conv(substring(h, {at}, 1), 16, 10) % 2 = 1"), 1).otherwise(-1)
+        seeds = seeds.join(waits, ["lot", "rank"]).select(
+            "lot", "region", "si", "sj", "quota", turned(32).alias("oi"), turned(31).alias("oj"), F.lit(apart).alias("apart"), (F.lit(turn).cast("long") + F.col("rank")).alias("turn")
+        )
+        seeds = cut_lineage(seeds)
+        if seeds.isEmpty():
+            if not tiles:
+                if apart == 0:
+                    break  # no free cell left
+                apart //= 2
+            tiles = False
+            continue
+        tiles, turn = False, turn + regions
+        grown = grow_lots(free, seeds, 2 * side).join(seeds.select("lot", "region", "turn"), ["lot", "region"])
+        grown = cut_lineage(grown.select(*lots.columns, "region", "turn"))
+        stand = clearance(grown, seeds, apart).filter("clear IS NULL").select("lot", "region")
+        seeds = cut_lineage(seeds.join(stand, ["lot", "region"], "left_semi"))
+        grown = grown.join(seeds.select("lot", "region"), ["lot", "region"], "left_semi")
+        taken = cut_lineage(grown if taken is None else taken.unionByName(grown))
+        placed = seeds if placed is None else placed.unionByName(seeds)
+        wanted = cut_lineage(wanted.join(seeds.select("lot", "region"), ["lot", "region"], "left_anti"))
+        free = lots.join(taken.select("lot", "bi", "bj"), ["lot", "bi", "bj"], "left_anti")
+    if placed is None:
+        empty = lots.limit(0).withColumns({"region": F.lit(0), "turn": F.lit(0).cast("long")})
+        return empty.drop("turn"), spark.createDataFrame([], "lot int, region int, si int, sj int, quota long, apart int, turn long, clear int")
+    marks = placed.drop("oi", "oj").join(clearance(taken, placed, buffer + side), ["lot", "region"])
+    return taken.drop("turn"), cut_lineage(marks)
 
 
 def spatial_block_split(
@@ -283,40 +289,38 @@ def block_split_with_seeds(
     seed: int = 0,
     method: str = "tiles",
     exclude_margin: int = 0,
-) -> tuple[DataFrame, list[dict]]:
-    """Spatial block split and the seeds of its blocks (role, fold, region, si, sj, quota, apart).
+) -> tuple[DataFrame, DataFrame]:
+    """Spatial block split and the seeds of its blocks: role, fold, region, si, sj, quota, apart, turn, clear.
 
     ``regions`` blocks grow from seeds to the test share; the rest is split again per fold for validation. The sets have exactly their
-    share of the cells. ``exclude_margin`` keeps training cells that far away from test cells. ``method`` places seeds in "tiles", more
-    than ``buffer`` apart, or by "reject", a block side and ``buffer`` apart, as far as there is room.
+    share of the cells. A seed lies more than ``buffer`` away from the cells of the blocks placed before it, where there is room; ``apart`` is
+    the distance asked of it, ``clear`` its distance to those cells (NULL where they are far). ``exclude_margin`` keeps training cells that far
+    away from test cells. ``method`` draws seeds from "tiles" first, or all by "reject", from the cells that remain.
     """
     cells = cut_lineage(legal.select("sample_id", "bi", "bj"))
     n = cells.count()
+    none = F.lit(None).cast("int")
     tested, seeds = _blocks(cells, int(n * partition[0]), regions, buffer, [f"{seed}:test"], method)
-    marks = [{**s, "role": "test", "fold": None} for s in seeds]
+    marks = seeds.withColumns({"role": F.lit("test"), "fold": none}).drop("lot")
     test = tested.drop("lot")
     rest = cut_lineage(cells.join(test.select("sample_id"), "sample_id", "left_anti"))
-    no_fold = F.lit(None).cast("int").alias("fold")
-    none = F.lit(None).cast("int").alias("region")
-    out = test.select("sample_id", no_fold, F.lit("test").alias("role"), "region")
-    out = out.unionByName(rest.select("sample_id", no_fold, F.lit("remaining").alias("role"), none))
+    out = test.select("sample_id", none.alias("fold"), F.lit("test").alias("role"), "region")
+    out = out.unionByName(rest.select("sample_id", none.alias("fold"), F.lit("remaining").alias("role"), none.alias("region")))
     if not folds:
         return out, marks
     val, seeds = _blocks(rest, int(n * partition[1]), regions, buffer, [f"{seed}:{fold}" for fold in range(folds)], method)
-    marks += [{**s, "role": "val", "fold": s["lot"]} for s in seeds]
+    marks = marks.unionByName(seeds.withColumns({"role": F.lit("val"), "fold": F.col("lot")}).drop("lot"))
     usable = free_cells(rest, test, exclude_margin) if exclude_margin else rest
     each = usable.select("sample_id", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold"))
     train = each.join(val.select("sample_id", F.col("lot").alias("fold")), ["sample_id", "fold"], "left_anti")
     out = out.unionByName(val.select("sample_id", F.col("lot").alias("fold"), F.lit("val").alias("role"), "region"))
-    return out.unionByName(train.select("sample_id", "fold", F.lit("train").alias("role"), none)), marks
+    return out.unionByName(train.select("sample_id", "fold", F.lit("train").alias("role"), none.alias("region"))), marks
 
 
-def seed_report(marks: Sequence[dict]) -> list[dict]:
-    """Per block set: regions placed and the least distance that its seeds were placed with. Goes into a run's manifest."""
-    sets: dict[tuple, list[dict]] = {}
-    for mark in marks:
-        sets.setdefault((mark["role"], mark["fold"]), []).append(mark)
-    return [{"role": r, "fold": f, "regions": len(own), "least_apart": min(m["apart"] for m in own), "wanted": sum(m["quota"] for m in own)} for (r, f), own in sets.items()]
+def seed_report(marks: DataFrame) -> DataFrame:
+    """Per block set: blocks, cells wanted, least distance asked of a seed, least distance found to blocks before it, and seeds nearer than asked."""
+    nearer = F.count(F.when(F.col("clear") <= F.col("apart"), 1)).alias("nearer")
+    return marks.groupBy("role", "fold").agg(F.count(F.lit(1)).alias("regions"), F.sum("quota").alias("wanted"), F.min("apart").alias("least_apart"), F.min("clear").alias("least_clear"), nearer)
 
 
 def split_shortfall(splits: DataFrame, legal: DataFrame, partition: tuple[float, float]) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terraweft.functions.scalars import equal_width_bin, pearson_r
+from terraweft.functions.scalars import equal_width_bin, order_hash, pearson_r
 from terraweft.functions.scale import bounded
 from terraweft.operators.align import weighted_mode
 
@@ -71,9 +72,21 @@ def unzscore(df: DataFrame, stats: DataFrame, channel: str = "channel") -> DataF
     return _with_stats(df, stats, channel, F.when(s != 0, v * s + m).otherwise(v))
 
 
-def add_noise(df: DataFrame, level: float, seed: int) -> DataFrame:
-    """Add Gaussian noise N(0, level) to every value."""
-    return df.withColumn("value", F.col("value") + F.randn(seed) * level)
+def gaussian(keys: Sequence[str], seed: int) -> Column:
+    """Standard normal number of a row, by its keys and the seed alone: Box-Muller on two 52-bit numbers of an md5 digest."""
+    digest = order_hash(F.concat_ws(":", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]), seed)
+    part = lambda at: (F.conv(F.substring(digest, at, 13), 16, 10).cast("double") + 0.5) / 2.0**52
+    return F.sqrt(-2.0 * F.log(part(1))) * F.cos(2.0 * math.pi * part(14))
+
+
+def add_noise(df: DataFrame, level: float, seed: int, keys: Sequence[str] | None = None) -> DataFrame:
+    """Add Gaussian noise N(0, level) to every value.
+
+    The noise of a row follows from its ``keys`` (all columns but value, unless given), so retries, other partitionings and
+    other clusters give the same; rows with equal keys have equal noise.
+    """
+    keys = [c for c in df.columns if c != "value"] if keys is None else keys
+    return df.withColumn("value", F.col("value") + gaussian(keys, seed) * level)
 
 
 def channel_means(cube_px: DataFrame, keys: Sequence[str], channels: Sequence[int], prefix: str = "mean") -> DataFrame:

@@ -153,17 +153,22 @@ def _(fx):
     return stats.unzscore(stats.zscore(px, per), per).withColumn("value", near("value"))
 
 
-# bounds of five standard errors, whatever the generator
-@query("p16_add_noise", "SELECT channel, count(value) AS pixels, TRUE AS centred, TRUE AS spread FROM v_cube GROUP BY channel")
+# two 52-bit numbers of the digest of a row's keys and the seed
+PARTS = ", ".join(f"(CAST(concat('0x', substr(d, {at}, 13)) AS BIGINT) + 0.5E0) / 4503599627370496.0E0 AS u{k}" for k, at in enumerate((1, 14)))
+
+
+@query(
+    "p16_add_noise",
+    f"""SELECT channel, bi, count(value) AS pixels, near(sum(0.5E0 * sqrt(-2 * ln(u0)) * cos(2 * pi() * u1))) AS noise, near(sum(-2 * ln(u0) * cos(2 * pi() * u1) * cos(2 * pi() * u1))) AS squares
+        FROM (SELECT *, {PARTS} FROM (SELECT *, md5(concat(bi, ':', bj, ':', si, ':', sj, ':', channel, ':11')) AS d FROM v_cube WHERE value IS NOT NULL) a) b GROUP BY channel, bi""",
+)
 def _(fx):
-    px = cube_of(fx)
-    noisy = stats.add_noise(px.withColumn("clean", F.col("value")), 0.5, seed=11)
+    """Noise and its square, added up over each column of cells; the table is dealt anew before it gets its noise."""
+    px = cube_of(fx).select("bi", "bj", "si", "sj", "channel", "value").filter("value IS NOT NULL").withColumn("clean", F.col("value"))
+    noisy = stats.add_noise(px.repartition(7), 0.5, 11, ["bi", "bj", "si", "sj", "channel"])
     noise = F.col("value") - F.col("clean")
-    sized = noisy.groupBy("channel").agg(F.count("value").alias("pixels"), F.avg(noise).alias("m"), F.stddev(noise).alias("s"))
-    root = F.sqrt(F.col("pixels"))
-    return sized.select(
-        "channel", "pixels", (F.abs("m") < 2.5 / root).alias("centred"), (F.abs(F.col("s") / 0.5 - 1) < 5 / (root * 2**0.5)).alias("spread")
-    )
+    sums = noisy.groupBy("channel", "bi").agg(F.count("value").alias("pixels"), F.sum(noise).alias("noise"), F.sum(noise * noise * 4).alias("squares"))
+    return sums.select("channel", "bi", "pixels", near("noise").alias("noise"), near("squares").alias("squares"))
 
 
 @query(

@@ -151,6 +151,8 @@ SELECT bi, bj, ring0, CAST(floor(sqrt(2) * (ring0 + 1) + 1) AS INT) + 1 AS rings
 }
 
 ORDERED = {**VIEWS, **SQL_VIEWS}
+#: Views that twins compute once, so that a join on computed cells is not folded into the rest of a query.
+ONCE = ("v_px", "v_cube", "v_win")
 
 
 def _needs(text: str) -> list[str]:
@@ -175,7 +177,7 @@ def twin(sql: str) -> str:
     visit(sql)
     if not order:
         return sql.strip()
-    views = ",\n".join(f"{n} AS ({re.sub(r'[{}]', '', ORDERED[n]).strip()})" for n in order)
+    views = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in ONCE else ''}({re.sub(r'[{}]', '', ORDERED[n]).strip()})" for n in order)
     body = sql.strip()
     if body.upper().startswith("WITH "):
         return f"WITH {views},\n{body[5:]}"

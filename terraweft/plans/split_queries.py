@@ -152,6 +152,37 @@ def _(fx):
     return sizes.withColumn("wanted", F.col("wanted").cast("bigint"))
 
 
+# seeds of each set: all placed, none within the buffer of a block placed before it
+SEEDS = f"""SELECT role, fold, count(*) AS regions, CAST(sum(n) AS BIGINT) AS wanted, {BUFFER} AS least_apart, 0 AS nearer, TRUE AS apart
+    FROM ({CONTRACT}) c WHERE role IN ('test', 'val') GROUP BY role, fold"""
+
+
+def _seed_facts(fx, method):
+    """The report of the seeds; ``apart`` measures the distances anew, between seeds and the cells that the split gave to regions before theirs."""
+    out, marks, legal = _blocks(fx, method)
+    marks = cut_lineage(marks)
+    key = ["role", "fold", "region"]
+    known = marks.fillna(-1, ["fold"])
+    cells = out.filter("region IS NOT NULL").fillna(-1, ["fold"]).join(legal.select("sample_id", "bi", "bj"), "sample_id")
+    cells = cells.join(known.select(*key, F.col("turn").alias("before")), key).select("role", "fold", "bi", "bj", "before")
+    step = F.explode(F.sequence(F.lit(-BUFFER), F.lit(BUFFER)))
+    spots = known.select("role", "fold", "si", "sj", "turn").withColumn("di", step).withColumn("dj", step)
+    spots = spots.select("role", "fold", "turn", (F.col("si") + F.col("di")).alias("bi"), (F.col("sj") + F.col("dj")).alias("bj"))
+    met = spots.join(cells, ["role", "fold", "bi", "bj"]).filter("before < turn").groupBy("role", "fold").agg(F.count(F.lit(1)).alias("met"))
+    report = splits.seed_report(known).drop("least_clear").join(met, ["role", "fold"], "left")
+    return report.withColumn("apart", F.col("met").isNull()).drop("met").withColumn("fold", F.when(F.col("fold") >= 0, F.col("fold")))
+
+
+@query("r3_seed_report", SEEDS)
+def _(fx):
+    return _seed_facts(fx, "tiles")
+
+
+@query("r4_seed_report", SEEDS)
+def _(fx):
+    return _seed_facts(fx, "reject")
+
+
 @query("r4_rejection_block_split", CONTRACT)
 def _(fx):
     out, _, legal = _blocks(fx, "reject")
@@ -169,10 +200,7 @@ def _(fx):
 )
 def _(fx):
     legal = cut_lineage(legal_of(fx))
-    seeds = [
-        {"region": 0, "si": 20, "sj": 40, "quota": 60, "oi": 1, "oj": -1},
-        {"region": 1, "si": 60, "sj": 8, "quota": 45, "oi": 1, "oj": -1},
-    ]
+    seeds = fx.spark.createDataFrame([(0, 20, 40, 60, 1, -1), (1, 60, 8, 45, 1, -1)], "region int, si int, sj int, quota long, oi int, oj int")
     grown = splits.grow_blocks(legal, seeds, 12)
     centre = F.when(F.col("region") == 0, F.greatest(F.abs(F.col("bi") - 20), F.abs(F.col("bj") - 40))).otherwise(
         F.greatest(F.abs(F.col("bi") - 60), F.abs(F.col("bj") - 8))

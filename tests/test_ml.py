@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from terraweft.operators import ml, splits
+from terraweft.operators import descent, ml, splits, training
 from terraweft.session import scratch_path
 
 
@@ -81,3 +81,69 @@ def test_cross_validate_predicts_only_val(data):
     want = table.where("role = 'val'").select("sample_id", "fold")
     assert preds.select("sample_id", "fold").exceptAll(want).isEmpty() and preds.count() == want.count()
     assert times.count() == 2
+
+
+def test_descent_reaches_the_closed_form(data):
+    noisy = data.selectExpr("sample_id", "a * 5 + 100 AS a", "b", "y + 0.3 * sin(sample_id) AS y").cache()
+    pdf = noisy.toPandas()
+    x, y, alpha = pdf[["a", "b"]].to_numpy(), pdf["y"].to_numpy(), 0.01
+    xc, yc = x - x.mean(0), y - y.mean()
+    want = np.linalg.solve(xc.T @ xc / len(y) + alpha * np.eye(2), xc.T @ yc / len(y))
+    weights, losses = descent.descend(noisy, ["a", "b"], alpha=alpha, epochs=100, batches=8, seed=1)
+    np.testing.assert_allclose(weights[1:], want, atol=1e-3)
+    np.testing.assert_allclose(weights[0], y.mean() - want @ x.mean(0), atol=0.1)
+    assert len(losses) == 100 and losses[-1] < losses[0]
+    again, _ = descent.descend(noisy.repartition(5), ["a", "b"], alpha=alpha, epochs=100, batches=8, seed=1)
+    np.testing.assert_allclose(weights, again, rtol=1e-9)
+
+
+class Stop(RuntimeError):
+    pass
+
+
+def folds(data):
+    return splits.random_split(data, folds=3, seed=2)
+
+
+@pytest.mark.parametrize("name,params", [("linear", {}), ("gbt", {"rounds": 3}), ("sgd", {"epochs": 20, "batches": 4})])
+def test_stopped_training_goes_on(data, spark, name, params):
+    table, path = folds(data).cache(), scratch_path(spark, "run")
+
+    def stop(fold):
+        if fold == 1:
+            raise Stop
+
+    with pytest.raises(Stop):
+        training.train_folds(data, table, name, ["a", "b"], [0, 1, 2], path, after=stop, **params)
+    preds, ledger = training.train_folds(data, table, name, ["a", "b"], [0, 1, 2], path, **params)
+    whole, _ = training.train_folds(data, table, name, ["a", "b"], [0, 1, 2], scratch_path(spark, "run"), **params)
+    rows = {r.fold: r for r in ledger.collect()}
+    assert [rows[k].origin for k in range(3)] == ["loaded", "loaded", "fitted"]
+    assert all(len(rows[k].log) > 0 and rows[k].samples > 0 for k in range(3))
+    a, b = (p.toPandas().sort_values(["fold", "sample_id"]) for p in (preds, whole))
+    np.testing.assert_allclose(a.yhat, b.yhat, rtol=1e-9)
+    with pytest.raises(ValueError, match="another setup"):
+        training.train_folds(data, table, name, ["a"], [0], path, **params)
+    _, anew = training.train_folds(data, table, name, ["a"], [0], path, override=True, **params)
+    assert anew.first()["origin"] == "fitted"
+
+
+def test_stopped_descent_goes_on_inside_a_fold(data, spark, monkeypatch):
+    table, path, kept = folds(data).cache(), scratch_path(spark, "run"), training.Ledger.save_round
+
+    def stop(self, fold, state):
+        kept(self, fold, state)
+        if state.epoch == 20:
+            raise Stop
+
+    monkeypatch.setattr(training.Ledger, "save_round", stop)
+    with pytest.raises(Stop):
+        training.train_folds(data, table, "sgd", ["a", "b"], [0], path, epochs=40)
+    asked, moments = [], descent.batch_moments
+    monkeypatch.setattr(training.Ledger, "save_round", kept)
+    monkeypatch.setattr(descent, "batch_moments", lambda d, c, epochs, *rest: asked.extend(epochs) or moments(d, c, epochs, *rest))
+    preds, ledger = training.train_folds(data, table, "sgd", ["a", "b"], [0], path, epochs=40)
+    assert asked == list(range(20, 40)) and len(ledger.first()["log"]) == 40
+    whole, _ = training.train_folds(data, table, "sgd", ["a", "b"], [0], scratch_path(spark, "run"), epochs=40)
+    a, b = (p.toPandas().sort_values("sample_id") for p in (preds, whole))
+    np.testing.assert_allclose(a.yhat, b.yhat, rtol=1e-9)

@@ -61,18 +61,32 @@ def test_block_split(spark, kind, method, buffer):
     assert (report["reached"] == report["wanted"]).all() and len(report) == 3
     sizes = out.where("role = 'test'").groupBy("region").count().toPandas()
     assert sorted(sizes["count"]) == sorted(q for q in splits.quotas(int(n * 0.2), 10) if q)
-    for summary in splits.seed_report(marks):
-        own = [m for m in marks if (m["role"], m["fold"]) == (summary["role"], summary["fold"])]
-        gaps = [max(abs(a["si"] - b["si"]), abs(a["sj"] - b["sj"])) for k, a in enumerate(own) for b in own[:k]]
-        assert summary["regions"] == 10 and min(gaps) > summary["least_apart"]
-
-
-def test_missing_regions_hand_on_their_share(spark):
+    report = splits.seed_report(marks).toPandas()
+    assert (report["regions"] == 10).all() and (report["nearer"] == 0).all()
+    # every seed is as far from the cells of the blocks before it as was asked of it
+    seeds, blocks = marks.toPandas().fillna({"fold": -1}), out.join(legal, "sample_id").where("region IS NOT NULL").toPandas().fillna({"fold": -1})
+    blocks = blocks.merge(seeds[["role", "fold", "region", "turn"]], on=["role", "fold", "region"])
+    for s in seeds.itertuples():
+        before = blocks[(blocks.role == s.role) & (blocks.fold == s.fold) & (blocks.turn < s.turn)]
+        away = np.maximum(abs(before.bi - s.si), abs(before.bj - s.sj))
+        assert not len(away) or away.min() > s.apart
+        assert np.isnan(s.clear) or s.clear == away.min()
+    if kind == "full" and buffer == 2:
+        assert (seeds["apart"] == 2).all()
+
+
+def test_regions_without_cells_are_not_placed(spark):
     legal = number_samples(full_grid(spark, 2, 3))
     out, marks = splits.block_split_with_seeds(legal, 20, (0.5, 0.34), folds=1, seed=1)
     got = parts(out)
     assert len(got[("test", -1)]) == 3 and len(got[("val", 0)]) == 2
-    assert [r["regions"] for r in splits.seed_report(marks)] == [6, 3]
+    assert {r.role: r.regions for r in splits.seed_report(marks).collect()} == {"test": 3, "val": 2}
+
+
+def test_no_cells_give_no_blocks(spark):
+    legal = number_samples(full_grid(spark, 2, 3)).where("false")
+    out, marks = splits.block_split_with_seeds(legal, 4, (0.5, 0.3), folds=2, seed=1)
+    assert out.count() == 0 and marks.count() == 0
 
 
 def test_training_rows_of_folds_without_validation(spark):

@@ -87,6 +87,18 @@ def test_layouts(spark):
 
 
 def test_noise_is_repeatable(px):
-    a = stats.add_noise(px, 0.1, 3).agg(F.sum("value")).first()[0]
-    b = stats.add_noise(px, 0.1, 3).agg(F.sum("value")).first()[0]
-    assert a == b
+    numbered = px.withColumn("row", F.monotonically_increasing_id()).cache()
+    a = stats.add_noise(numbered, 0.1, 3, ["row"]).toPandas().sort_values("row")
+    b = stats.add_noise(numbered.repartition(7).sortWithinPartitions("value"), 0.1, 3, ["row"]).toPandas().sort_values("row")
+    assert (a.value.to_numpy() == b.value.to_numpy()).all()
+    other = stats.add_noise(numbered, 0.1, 4, ["row"]).toPandas().sort_values("row")
+    assert (other.value.to_numpy() != a.value.to_numpy()).all()
+
+
+def test_noise_is_gaussian(spark):
+    clean = spark.range(20_000).select("id", F.lit(0.0).alias("value"))
+    noise = np.sort(stats.add_noise(clean, 2.0, 5).toPandas().value.to_numpy()) / 2
+    assert abs(noise.mean()) < 0.03 and abs(noise.std() - 1) < 0.03
+    # share of values below some quantiles of the normal distribution
+    for at, share in ((-1.959964, 0.025), (-0.674490, 0.25), (0.0, 0.5), (1.281552, 0.9), (2.575829, 0.995)):
+        assert abs(np.searchsorted(noise, at) / len(noise) - share) < 5 * (share * (1 - share) / len(noise)) ** 0.5
