@@ -188,9 +188,10 @@ def grow_lots(cells: DataFrame, seeds: DataFrame, reach: int) -> DataFrame:
         taken = cut_lineage(_claim(free, short, reach))
         parts.append(taken)
         got = taken.groupBy("lot", "region").agg(F.count(F.lit(1)).alias("_got"))
-        short = cut_lineage(short.join(got, ["lot", "region"], "left").withColumn("quota", F.col("quota") - F.coalesce("_got", F.lit(0))).drop("_got").filter("quota > 0"))
+        short = short.join(got, ["lot", "region"], "left").withColumn("quota", F.col("quota") - F.coalesce("_got", F.lit(0))).drop("_got").filter("quota > 0")
         if short.isEmpty():
             break
+        short = cut_lineage(short)
         if taken.isEmpty():
             if extent is None:
                 ends = cells.agg(F.min("bi"), F.max("bi"), F.min("bj"), F.max("bj")).first()
@@ -221,16 +222,17 @@ def _blocks(cells: DataFrame, total: int, regions: int, buffer: int, names: Sequ
     """
     side = max(math.ceil(math.sqrt(total / regions)), 1)
     spark, last = cells.sparkSession, len(names) - 1
-    lots = cut_lineage(cells.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(last)))))
+    lots = cells.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(last))))
     # whole cells per region that add up to the total; a region without cells is not placed
     share = F.expr(f"(id + 1) * {total}L div {regions}L - id * {total}L div {regions}L")
     wanted = spark.range(regions).select(F.col("id").cast("int").alias("region"), share.alias("quota")).filter("quota > 0")
-    wanted = cut_lineage(wanted.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(last)))))
+    wanted = wanted.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    open_regions = wanted.count()
     first = Window.partitionBy("lot").orderBy("region")
     apart, turn, tiles = buffer, 0, method == "tiles"
     taken = placed = None
     free = lots
-    while not wanted.isEmpty():
+    while open_regions:
         waits = wanted.withColumn("rank", F.row_number().over(first))
         most = waits.groupBy("lot").agg(F.max("rank").alias("most"))
         places = free if taken is None else free.join(dilate(taken.select("lot", "bi", "bj"), apart, ["lot"]), ["lot", "bi", "bj"], "left_anti")
@@ -242,7 +244,8 @@ def _blocks(cells: DataFrame, total: int, regions: int, buffer: int, names: Sequ
             "lot", "region", "si", "sj", "quota", turned(32).alias("oi"), turned(31).alias("oj"), F.lit(apart).alias("apart"), (F.lit(turn).cast("long") + F.col("rank")).alias("turn")
         )
         seeds = cut_lineage(seeds)
-        if seeds.isEmpty():
+        found = seeds.count()
+        if not found:
             if not tiles:
                 if apart == 0:
                     break  # no free cell left
@@ -251,19 +254,24 @@ def _blocks(cells: DataFrame, total: int, regions: int, buffer: int, names: Sequ
             continue
         tiles, turn = False, turn + regions
         grown = grow_lots(free, seeds, 2 * side).join(seeds.select("lot", "region", "turn"), ["lot", "region"])
-        grown = cut_lineage(grown.select(*lots.columns, "region", "turn"))
-        stand = clearance(grown, seeds, apart).filter("clear IS NULL").select("lot", "region")
-        seeds = cut_lineage(seeds.join(stand, ["lot", "region"], "left_semi"))
-        grown = grown.join(seeds.select("lot", "region"), ["lot", "region"], "left_semi")
-        taken = cut_lineage(grown if taken is None else taken.unionByName(grown))
+        grown = grown.select(*lots.columns, "region", "turn")
+        close = cut_lineage(clearance(grown, seeds, apart).filter("clear IS NOT NULL").select("lot", "region"))
+        given_up = close.count()
+        if given_up:
+            seeds = seeds.join(close, ["lot", "region"], "left_anti")
+            grown = grown.join(close, ["lot", "region"], "left_anti")
+        taken = grown if taken is None else taken.unionByName(grown)
         placed = seeds if placed is None else placed.unionByName(seeds)
-        wanted = cut_lineage(wanted.join(seeds.select("lot", "region"), ["lot", "region"], "left_anti"))
-        free = lots.join(taken.select("lot", "bi", "bj"), ["lot", "bi", "bj"], "left_anti")
+        open_regions -= found - given_up
+        if open_regions:
+            taken, placed = cut_lineage(taken), cut_lineage(placed)
+            wanted = cut_lineage(wanted.join(placed.select("lot", "region"), ["lot", "region"], "left_anti"))
+            free = lots.join(taken.select("lot", "bi", "bj"), ["lot", "bi", "bj"], "left_anti")
     if placed is None:
         empty = lots.limit(0).withColumns({"region": F.lit(0), "turn": F.lit(0).cast("long")})
         return empty.drop("turn"), spark.createDataFrame([], "lot int, region int, si int, sj int, quota long, apart int, turn long, clear int")
     marks = placed.drop("oi", "oj").join(clearance(taken, placed, buffer + side), ["lot", "region"])
-    return taken.drop("turn"), cut_lineage(marks)
+    return taken.drop("turn"), marks
 
 
 def spatial_block_split(
