@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 import string
-from collections.abc import Callable, Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,8 +52,24 @@ CLASSES = ((10, str.isdigit), (26, str.islower), (26, str.isupper))
 PER_SPAN = math.log10(2)
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses for the cheapest way to cut the value into words, dates, repeats, walks and brute-force characters."""
+class Covered:
+    """Tells whether a span overlaps any of the given ones, in logarithmic time."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        ordered = sorted(spans)
+        self.starts = [a for a, _ in ordered]
+        self.reach = list(itertools.accumulate((b for _, b in ordered), max))
+
+    def meets(self, start: int, end: int) -> bool:
+        before = bisect_left(self.starts, end)
+        return before > 0 and self.reach[before - 1] > start
+
+
+def guess_cost(value: str, enough: float = math.inf) -> float:
+    """log10 of the guesses for the cheapest way to cut the value into words, dates, repeats, walks and brute-force characters.
+
+    A value whose every way costs ``enough`` or more already before its end is not read further; the result is then ``enough`` or more.
+    """
     n, ranks = len(value), RANKS
     low = value.lower()
     plain = low.translate(SWAPS)
@@ -82,6 +100,9 @@ def guess_cost(value: str) -> float:
             if k in (4, 6, 8) and (dates := _dates(value[j : i + 1])):
                 best = min(best, cost[j] + math.log10(dates) + PER_SPAN)
         cost[i + 1] = best
+        # every way on has a cut among the last positions, unless a run or a walk spans them all
+        if i >= LONGEST and best >= enough and max(run, walk) < LONGEST and (least := min(cost[i + 2 - LONGEST : i + 2])) >= enough:
+            return least
     return cost[n]
 
 
@@ -137,8 +158,8 @@ def secret_spans(text: str, least_guesses: float = 10.0) -> list[tuple[int, int,
     found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if named:
-        base = sorted((a, b) for a, _, b in found)
-        counts = lambda a, b: not any(x < b and a < y for x, y in base) and guess_cost(text[a:b]) >= least_guesses
+        base = Covered((a, b) for a, _, b in found)
+        counts = lambda a, b: not base.meets(a, b) and guess_cost(text[a:b], least_guesses) >= least_guesses
         found += [(a, 3, b) for a, b in context_values(text, counts)]
     return sorted(found)
 

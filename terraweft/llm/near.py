@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,9 +81,9 @@ def bands_for(percent: int, rows: int) -> int:
     return math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** rows))
 
 
-def _signatures(width: int, rows: int, bands: int):
+def _signatures(width: int, rows: int, bands: int, key: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spans = Spans()
+        spans = Spans(key)
         for batch in batches:
             for part, data, offsets in blocks(batch, "text"):
                 values, counts = shingle_sets(data, offsets, spans, width)
@@ -152,14 +153,14 @@ def cells(members: DataFrame, buckets: DataFrame, coarse: DataFrame, limit: int)
     return fitting.unionByName(crowded.select("set_id", F.unhex(name).alias("cell")))
 
 
-def _compare(width: int, percent: int):
+def _compare(width: int, percent: int, key: int):
     """Rows sorted by cell to links (a, b) that span the components inside each cell.
 
     A row whose text has another set than its name says (ids may repeat), or a set that is there already, is passed over.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spans, cell, names, sets, known = Spans(), None, [], [], set()
+        spans, cell, names, sets, known = Spans(key), None, [], [], set()
 
         def links() -> pa.RecordBatch:
             label = linked(sets, percent)
@@ -204,29 +205,34 @@ def linked(sets: list[np.ndarray], percent: int) -> list[int]:
             break
         live = enough
     tokens, owner = tokens[usable], owner[usable]
-    posted = owner[np.argsort(tokens, kind="stable")]
-    df = np.bincount(tokens, minlength=len(df))
-    first = np.cumsum(df) - df
     bounds = np.searchsorted(owner, np.arange(n + 1))
-    label = list(range(n))
-
-    def root(i: int) -> int:
-        while label[i] != i:
-            label[i] = label[label[i]]
-            i = label[i]
-        return i
-
-    for i in np.flatnonzero(live).tolist():
-        own = tokens[bounds[i] : bounds[i + 1]]
-        lengths = df[own]
-        total = int(lengths.sum())
-        at = np.repeat(first[own] - (np.cumsum(lengths) - lengths), lengths) + np.arange(total)
-        shared = np.bincount(posted[at], minlength=n)
-        for k in np.flatnonzero(100 * shared >= percent * (sizes[i] + sizes - shared)).tolist():
-            a, b = root(i), root(k)
-            if a != b:
-                label[max(a, b)] = min(a, b)
-    return [root(i) for i in range(n)]
+    label, free, left = np.arange(n), live.copy(), int(live.sum())
+    posted, held = _postings(tokens, owner, len(df)), left
+    # from each set that has no component yet, on to all that links reach; sets that have one need not be found again
+    for seed in np.flatnonzero(live).tolist():
+        if not free[seed]:
+            continue
+        free[seed], left, reached = False, left - 1, [seed]
+        while reached and left:
+            if 2 * left < held:
+                open_ = free[owner]
+                posted, held = _postings(tokens[open_], owner[open_], len(df)), left
+            i = reached.pop()
+            own = tokens[bounds[i] : bounds[i + 1]]
+            begin, lengths = posted[1][own], posted[2][own]
+            at = np.repeat(begin - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+            met = posted[0][at]
+            others, shared = np.unique(met[free[met]], return_counts=True)
+            new = others[100 * shared >= percent * (sizes[i] + sizes[others] - shared)]
+            free[new], label[new], left = False, seed, left - len(new)
+            reached += new.tolist()
+    return label.tolist()
+
+
+def _postings(tokens: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owners by token, and the first and the number of each token's owners."""
+    lengths = np.bincount(tokens, minlength=size)
+    return owner[np.argsort(tokens, kind="stable")], np.cumsum(lengths) - lengths, lengths
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80, width: int = 5, rows: int = 5, cell: int = CELL) -> DataFrame:
@@ -238,10 +244,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     that share an id count as documents with that id, and null ids lose against others (a group of nulls has a null id and is kept). An empty table
     gives no rows. Texts are read whole; other columns are not read.
     """
-    bands = bands_for(percent, rows)
+    bands, key = bands_for(percent, rows), secrets.randbits(64)
     kind = docs.schema[doc_id].dataType.simpleString()
     read = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    signed = written(read.mapInArrow(_signatures(width, rows, bands), f"doc_id {kind}, n_shingles long, set_id binary, keys array<long>"), "signatures")
+    signed = written(read.mapInArrow(_signatures(width, rows, bands, key), f"doc_id {kind}, n_shingles long, set_id binary, keys array<long>"), "signatures")
     nodes = signed.where("set_id IS NOT NULL").groupBy("set_id")
     nodes = written(nodes.agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys")), "nodes")
     spread = nodes.select("set_id", F.explode("keys").alias("key"))
@@ -255,7 +261,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # one document brings the text of its set
     bearers = members.select("set_id", "least").join(meet, "set_id")
     texts = read.join(bearers, read.doc_id.eqNullSafe(bearers.least)).select("cell", "set_id", "text")
-    compared = texts.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare(width, percent), "a binary, b binary")
+    compared = texts.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare(width, percent, key), "a binary, b binary")
     groups = components(compared)
     labels = members.join(groups, members.set_id == groups.node, "left").select("set_id", "least", F.coalesce("label", "set_id").alias("label"))
     labels = written(labels, "labels")

@@ -9,7 +9,7 @@ from array import array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraweft.llm.credentials import _scanner
+from terraweft.llm.credentials import Covered, _scanner
 
 #: The contract's base patterns. A digit run that fails from its start fails from any later digit too, hence the look-behind.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -61,7 +61,8 @@ NUMBER = "|".join(NUMBERS)
 GAP = r"[\x20,.-]{1,3}"
 SPELLED = re.compile(rf"\b(?:plus{GAP})?(?:{NUMBER}|[0-9])(?:{GAP}(?:{NUMBER}|[0-9]))*\b", re.IGNORECASE | re.ASCII)
 NUMBER_WORD = re.compile(rf"\b(?:{NUMBER})\b", re.IGNORECASE | re.ASCII)
-BRACKETED = re.compile(r"\x20*[\[({<]\x20*(at|@|dot|\.)\x20*[\])}>]\x20*", re.IGNORECASE | re.ASCII)
+#: The spaces before it belong to it as well, but a search that began with them would take the square of their number.
+BRACKETED = re.compile(r"[\[({<]\x20*(at|@|dot|\.)\x20*[\])}>]\x20*", re.IGNORECASE | re.ASCII)
 #: A bare "at" counts only before a domain with a spoken dot: "look at example.com" is prose.
 SPOKEN = re.compile(r"(?<=[A-Za-z0-9_+%-])\x20+at\x20+(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,4}\x20+dot\x20+[A-Za-z]{2})", re.IGNORECASE | re.ASCII)
 DOTTED = re.compile(r"(?<=[A-Za-z0-9-])\x20+dot\x20+(?=[A-Za-z0-9])", re.IGNORECASE | re.ASCII)
@@ -73,14 +74,17 @@ class Tape:
     def __init__(self, text: str):
         self.text, self.begin, self.end = text, array("q", range(len(text))), array("q", range(1, len(text) + 1))
 
-    def rewrite(self, pattern: re.Pattern, say) -> None:
-        """Replace each match by say(match), or leave it when that is None; new characters stand for the whole match."""
+    def rewrite(self, pattern: re.Pattern, say, spaces: bool = False) -> None:
+        """Replace each match by say(match), or leave it when that is None; new characters stand for the whole match, with ``spaces`` also for
+        the spaces before it."""
         text, begin, end, done = [], array("q"), array("q"), 0
         for m in pattern.finditer(self.text):
             new = say(m)
             if new is None or m.end() == m.start():
                 continue
             a, b = m.span()
+            while spaces and a > done and self.text[a - 1] == " ":
+                a -= 1
             text += [self.text[done:a], new]
             begin += self.begin[done:a] + array("q", [self.begin[a]]) * len(new)
             end += self.end[done:a] + array("q", [self.end[b - 1]]) * len(new)
@@ -120,7 +124,7 @@ def deobfuscated(text: str) -> Tape | None:
     tape = Tape(text)
     if odd:
         tape.rewrite(DISGUISED, _plain)
-    tape.rewrite(BRACKETED, lambda m: "@" if m[1].lower() in ("at", "@") else ".")
+    tape.rewrite(BRACKETED, lambda m: "@" if m[1].lower() in ("at", "@") else ".", spaces=True)
     tape.rewrite(SPOKEN, lambda m: "@")
     # a spoken dot counts where an at sign or a digit stands on its line, so prose about dots stays as it is
     if "@" in tape.text or DIGIT.search(tape.text) or spelled:
@@ -134,10 +138,10 @@ def personal_spans(text: str) -> list[tuple[int, int, int]]:
     found = identifiers(text)
     tape = deobfuscated(text)
     if tape is not None:
-        base = sorted((a, b) for a, _, b in found)
+        base = Covered((a, b) for a, _, b in found)
         for a, kind, b in identifiers(tape.text):
             start, end = tape.begin[a], tape.end[b - 1]
-            if text[start:end] != tape.text[a:b] and not any(x < end and start < y for x, y in base):
+            if text[start:end] != tape.text[a:b] and not base.meets(start, end):
                 found.append((start, kind + 4, end))
     return sorted(found)
 

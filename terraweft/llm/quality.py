@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,12 +40,12 @@ def clean_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mos
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     read = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return read.mapInArrow(_cleaner(most_lost, with_text), f"doc_id {kind}, {COLUMNS}" + ", clean string" * with_text)
+    return read.mapInArrow(_cleaner(most_lost, with_text, secrets.randbits(64)), f"doc_id {kind}, {COLUMNS}" + ", clean string" * with_text)
 
 
-def _cleaner(most_lost: float, with_text: bool):
+def _cleaner(most_lost: float, with_text: bool, key: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spans, phrases = Spans(), re.compile(rb"(?<![\w\x80-\xff])(?:" + BOILERPLATE.encode() + rb")(?![\w\x80-\xff])", re.IGNORECASE)
+        spans, phrases = Spans(key), re.compile(rb"(?<![\w\x80-\xff])(?:" + BOILERPLATE.encode() + rb")(?![\w\x80-\xff])", re.IGNORECASE)
         for batch in batches:
             for part, data, offsets in blocks(batch, "text"):
                 found = measure(data, offsets, spans, phrases, most_lost, with_text)

@@ -9,6 +9,7 @@ bucket numbers of later offsets, doubling the compared length with the numbers o
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terraweft.llm.frames import blocks, flat, written
-from terraweft.llm.words import Spans, first_seen, per_row, scramble
+from terraweft.llm.words import Rolling, Spans, first_seen, per_row, scramble
 
 LENGTH, QGRAM = 100, 24
 #: Bytes searched at once, longer texts in overlapping parts; and the bits that hold a position within them.
@@ -29,6 +30,8 @@ BYTES_AT_ONCE = 1 << 20
 #: Runs of one bucket beyond which its windows are dealt out by their content instead.
 HOT_BUCKET = 20_000
 FULL, EDGE = 0, 1
+#: Choose anchors and name buckets; what shares a bucket by chance is told apart in it.
+ANCHORS = Rolling(QGRAM, 5)
 
 
 def runs_of(data: np.ndarray, offsets: np.ndarray, spans: Spans, length: int) -> dict[str, np.ndarray]:
@@ -58,8 +61,7 @@ def _runs(data: np.ndarray, offsets: np.ndarray, spans: Spans, length: int) -> d
     none = {"row": np.zeros(0, np.int64), "start": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "h": np.zeros(0, np.uint64), "c": np.zeros(0, np.uint64)}
     if n < length:
         return none
-    prefix = spans.prefix(data)
-    hashes = scramble((prefix[QGRAM:] - prefix[: n - QGRAM + 1]) * spans.down[: n - QGRAM + 1])
+    hashes = ANCHORS.hashes(data)
     place = np.uint64((1 << PLACE_BITS) - 1)
     least = (hashes & ~place) | np.arange(len(hashes), dtype=np.uint64)
     width = 1
@@ -85,15 +87,15 @@ def _runs(data: np.ndarray, offsets: np.ndarray, spans: Spans, length: int) -> d
         "start": begin - offsets[row[heads]],
         "n": n_windows,
         "h": hashes[anchor[heads]],
-        "c": spans.hashes(prefix, begin, begin + n_windows + length - 1),
+        "c": spans.hashes(spans.prefix(data), begin, begin + n_windows + length - 1),
     }
 
 
-def _find(length: int):
+def _find(length: int, key: int):
     """Documents to runs. A run that an equal one precedes in the same text is known to be removed; such neighbours are joined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spans = Spans(5)
+        spans = Spans(key)
         for batch in batches:
             for part, data, offsets in blocks(batch, "text"):
                 got = runs_of(data, offsets, spans, length)
@@ -274,7 +276,7 @@ def told_apart(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def removed_windows(docs: DataFrame, kind: str, length: int, hot: int) -> DataFrame:
     """Runs of windows that also start earlier: doc_id, twin, start, n. ``docs`` comes from told_apart."""
     position = f"doc_id {kind}, twin long"
-    runs = docs.mapInArrow(_find(length), f"{position}, h long, c long, start long, n int, kind byte")
+    runs = docs.mapInArrow(_find(length, secrets.randbits(64)), f"{position}, h long, c long, start long, n int, kind byte")
     told = written(classified(runs), "told")
     edges = told.where("NOT removed").drop("removed")
     crowds = edges.groupBy("h").count().where(F.col("count") > hot).select("h", F.lit(True).alias("hot"))

@@ -23,14 +23,57 @@ def numbers(n: int, seed: int) -> np.ndarray:
 
 
 class Spans:
-    """64-bit hashes of any spans of a byte array, equal for equal bytes, from one pass of prefix sums."""
+    """Keyed 64-bit hashes of any spans of a byte array, equal for equal bytes.
 
-    def __init__(self, seed: int = 1):
-        self.table = numbers(256, seed)
-        self.base = np.uint64(int(numbers(1, seed + 7)[0]) & ~7 | 5)
-        self.seed, self.up, self.down = seed, np.ones(1, np.uint64), np.ones(1, np.uint64)
+    A span is read in chunks of 8 bytes; each is scrambled under a key for its place, and the sum is scrambled with the length. Spans of
+    one chunk never collide; for longer ones a collision takes knowledge of the key, which callers draw anew for every run.
+    """
+
+    def __init__(self, key: int = 1):
+        self.key = np.array([key & (1 << 64) - 1], np.uint64)
+        self.places = scramble(self.key)
 
     def prefix(self, data: np.ndarray) -> np.ndarray:
+        """The 8 bytes from each position on, zeros after the end."""
+        padded = np.zeros(len(data) + 8, np.uint8)
+        padded[: len(data)] = data
+        return np.ndarray(len(data) + 1, np.dtype("<u8"), padded, strides=(1,))
+
+    def hashes(self, chunks: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        size = ends - starts
+        out = scramble(chunks[starts] & _low_bytes(size) ^ self.places[0])
+        long = np.flatnonzero(size > 8)
+        if len(long):
+            n = (size[long] - 1) >> 3  # further chunks
+            most = int(n.max()) + 1
+            if len(self.places) < most:
+                room = np.arange(2 * most, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                self.places = scramble(room + self.key)
+            own = np.repeat(long, n)
+            first = np.cumsum(n) - n
+            place = np.arange(len(own)) - np.repeat(first, n) + 1
+            chunk = chunks[starts[own] + 8 * place] & _low_bytes(size[own] - 8 * place)
+            out[long] += np.add.reduceat(scramble(chunk ^ self.places[place]), first)
+        return scramble(out ^ (size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + self.key))
+
+
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _low_bytes(size: np.ndarray) -> np.ndarray:
+    """Masks of the bytes of a chunk that lie in a span of so many bytes."""
+    return _MASKS[np.minimum(size, 8)]
+
+
+class Rolling:
+    """64-bit polynomial hashes of all windows of one width; equal for equal bytes, and at times for others."""
+
+    def __init__(self, width: int, seed: int = 1):
+        self.width, self.table = width, numbers(256, seed)
+        self.base = np.uint64(int(numbers(1, seed + 7)[0]) & ~7 | 5)
+        self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def hashes(self, data: np.ndarray) -> np.ndarray:
         n = len(data)
         if len(self.up) <= n:
             room = max(n + 1, 2 * len(self.up))
@@ -39,13 +82,9 @@ class Spans:
             self.up = np.cumprod(steps)
             steps[1:] = np.uint64(pow(int(self.base), -1, 1 << 64))
             self.down = np.cumprod(steps)
-        out = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.table[data] * self.up[:n], out=out[1:])
-        return out
-
-    def hashes(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        raw = (prefix[ends] - prefix[starts]) * self.down[starts]
-        return scramble(raw ^ ((ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.table[data] * self.up[:n], out=total[1:])
+        return scramble((total[self.width :] - total[: n - self.width + 1]) * self.down[: n - self.width + 1])
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, spaces: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
