@@ -78,8 +78,14 @@ def stack_cube(
     names: Sequence[str],
     keys: Sequence[str] = ("bi", "bj", "si", "sj"),
     nearest: DataFrame | None = None,
+    flag: Column | None = None,
 ) -> DataFrame:
-    """One row per sub-pixel with a column per channel, and the nearest point with its fields if given."""
+    """One row per sub-pixel with a column per channel, and the nearest point with its fields if given.
+
+    ``flag`` is a condition on the rows of ``cube_px``; a column of its name tells whether any channel of the sub-pixel meets it.
+    """
     cols = [F.max(F.when(F.col("channel") == c, F.col("value"))).alias(n) for c, n in zip(channels, names, strict=True)]
+    if flag is not None:
+        cols.append(F.max(F.coalesce(flag, F.lit(False))).alias("flag"))
     wide = cube_px.groupBy(*keys).agg(*cols)
     return wide if nearest is None else nearest.join(wide, list(keys), "left")

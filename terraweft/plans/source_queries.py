@@ -67,8 +67,7 @@ def _text_cube(fx, layout: str):
     cube = fx.tiles.select("tile_id", F.col("r").alias("si"), F.col("c").alias("sj"), both.alias("_e"))
     cube = cube.select("tile_id", "si", "sj", "_e.channel", "_e.value")
     text.write_cube_text(cube, path, layout, key="tile_id")
-    read = text.read_cube_text(fx.spark, path, layout)
-    return read.select(F.col("tile_id").cast("bigint").alias("tile_id"), "si", "sj", "channel", "value")
+    return text.read_cube_text(fx.spark, path, layout, key="tile_id").drop("file")
 
 
 @query("s5_read_cube_text_hwc", CUBE)

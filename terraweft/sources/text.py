@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terraweft.sources.cube_files import read_files, write_files
+
 
 def _numbers(line: Column) -> Column:
     return F.transform(F.split(line, ","), lambda s: F.trim(s).try_cast("double"))
@@ -57,23 +59,23 @@ def write_index_text(df: DataFrame, path: str, names: Sequence[str] = ("sample_i
     df.select(line.alias("value")).write.mode(mode).text(path)
 
 
-def read_cube_text(spark: SparkSession, path: str, layout: str = "hwc") -> DataFrame:
-    """Text cubes, one file per sample: file, any partition column, si, sj, channel, value.
+def read_cube_text(spark: SparkSession, path: str, layout: str = "hwc", key: str = "sample_id") -> DataFrame:
+    """Text cubes, one file per sample in one folder: key (the number at the end of the file's name, if any), file, si, sj, channel, value.
 
     ``hwc`` files hold one line per pixel with a column per channel, ``chw`` files one line per channel with a column per
     pixel. The side of the (square) image follows from the number of pixels.
     """
-    read = spark.read.text(path, wholetext=True)
-    keys = ["file", *[c for c in read.columns if c != "value"]]
-    files = read.selectExpr("_metadata.file_name AS file", "*")
-    lines = files.selectExpr(*keys, "filter(split(value, '\n'), s -> trim(s) <> '') AS _lines")
-    rows = lines.selectExpr(*keys, "size(_lines) AS _n", "posexplode(_lines) AS (_line, _text)")
-    rows = rows.selectExpr(*keys, "_n", "_line", "split(_text, ',') AS _v")
-    cells = rows.selectExpr(*keys, "_n", "_line", "size(_v) AS _m", "posexplode(_v) AS (_col, _t)")
+    ident = F.regexp_extract("file", r"(^-[0-9]+|[0-9]+)(\.[A-Za-z]+)?$", 1).try_cast("bigint").alias(key)
+    files = read_files(spark, path).select(ident, "file", "value")
+    lines = files.selectExpr(key, "file", "filter(split(value, '\n'), s -> trim(s) <> '') AS _lines")
+    rows = lines.selectExpr(key, "file", "size(_lines) AS _n", "posexplode(_lines) AS (_line, _text)")
+    rows = rows.selectExpr(key, "file", "_n", "_line", "split(_text, ',') AS _v")
+    cells = rows.selectExpr(key, "file", "_n", "_line", "size(_v) AS _m", "posexplode(_v) AS (_col, _t)")
     pixel, channel, total = ("_line", "_col", "_n") if layout == "hwc" else ("_col", "_line", "_m")
     side = f"int(round(sqrt({total})))"
     return cells.selectExpr(
-        *keys,
+        key,
+        "file",
         f"int({pixel} div {side}) AS si",
         f"{pixel} % {side} AS sj",
         f"{channel} AS channel",
@@ -82,13 +84,13 @@ def read_cube_text(spark: SparkSession, path: str, layout: str = "hwc") -> DataF
 
 
 def write_cube_text(df: DataFrame, path: str, layout: str = "hwc", key: str = "sample_id", mode: str = "errorifexists") -> None:
-    """Text twin of a cube: one folder per sample holding one file, in the layout ``read_cube_text`` takes."""
+    """Text twin of a cube: one file per sample, named after it, in one folder and in the layout ``read_cube_text`` takes."""
     line, col = (("si", "sj"), ("channel",)) if layout == "hwc" else (("channel",), ("si", "sj"))
     cells = F.array_sort(F.collect_list(F.struct(*col, F.col("value").cast("string").alias("_v"))))
     rows = df.groupBy(key, *line).agg(F.array_join(F.transform(cells, lambda e: e["_v"]), ",").alias("_t"))
     lines = F.array_sort(F.collect_list(F.struct(*line, "_t")))
     text = rows.groupBy(key).agg(F.array_join(F.transform(lines, lambda e: e["_t"]), "\n").alias("value"))
-    text.repartition(key).write.mode(mode).partitionBy(key).option("maxRecordsPerFile", 1).text(path)
+    write_files(text.select(F.concat(F.col(key).cast("string"), F.lit(".csv")).alias("file"), "value"), path, mode)
 
 
 def parse_info(spark: SparkSession, path: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import io
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -80,7 +81,7 @@ def test_cubes_with_text_twin(spark, fx):
     px = fx.tiles.where("tile_id < 2").selectExpr("tile_id AS sample_id", "r AS si", "c AS sj", "0 AS channel", "value")
     path = scratch_path(spark, "cubes")
     datasets.write_cubes(px, px.select("sample_id").distinct(), path, also_text="hwc")
-    back = text.read_cube_text(spark, f"{path}/text", "hwc").selectExpr("bigint(sample_id) AS sample_id", "si", "sj", "channel", "value")
+    back = text.read_cube_text(spark, f"{path}/text", "hwc").drop("file")
     assert back.exceptAll(px).isEmpty() and back.count() == px.count() == datasets.read_cubes(spark, path)[0].count()
 
 
@@ -121,5 +122,29 @@ def test_twin_text_cubes(spark, fx):
     for layout in ("hwc", "chw"):
         path = scratch_path(spark, "cube")
         text.write_cube_text(px, path, layout)
-        back = text.read_cube_text(spark, path, layout).selectExpr("bigint(sample_id) AS sample_id", "si", "sj", "channel", "value")
+        back = text.read_cube_text(spark, path, layout).drop("file")
         assert back.exceptAll(px).isEmpty() and back.count() == px.count()
+
+
+def test_many_text_cubes_in_one_folder(spark):
+    px = spark.range(6000).selectExpr("id - 5 AS sample_id", "explode(sequence(0, 3)) AS p").selectExpr("sample_id", "int(p div 2) AS si", "p % 2 AS sj", "0 AS channel", "sample_id / 7 + p AS value")
+    path = scratch_path(spark, "cube")
+    text.write_cube_text(px, path)
+    names = [f for f in os.listdir(path.removeprefix("file:")) if not f.startswith((".", "_"))]
+    assert len(names) == 6000 and "-5.csv" in names
+    back = text.read_cube_text(spark, path)
+    assert back.rdd.getNumPartitions() == 6
+    assert back.drop("file").exceptAll(px).isEmpty() and back.count() == 24000
+    with pytest.raises(FileExistsError):
+        text.write_cube_text(px, path)
+    text.write_cube_text(px.where("sample_id < 0"), path, mode="overwrite")
+    assert text.read_cube_text(spark, path).select("sample_id").distinct().count() == 5
+
+
+def test_text_cubes_named_by_others(spark, tmp_path):
+    (tmp_path / "x_12.csv").write_text("1,2\n3,4\n5,6\n7,8\n")
+    (tmp_path / "plain.txt").write_text("9\n")
+    got = text.read_cube_text(spark, str(tmp_path)).orderBy("file", "si", "sj", "channel").collect()
+    assert [tuple(r) for r in got[:2]] == [(None, "plain.txt", 0, 0, 0, 9.0), (12, "x_12.csv", 0, 0, 0, 1.0)] and len(got) == 9
+    (tmp_path / "empty").mkdir()
+    assert text.read_cube_text(spark, str(tmp_path / "empty")).count() == 0
