@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections import Counter
 
 import brute
@@ -112,6 +114,28 @@ def test_targets_share_the_excess(spark):
     assert got["b"] == pytest.approx(2 * got[None])
 
 
+@pytest.mark.parametrize("capacity,key", [(20_000, None), (1, None), (1, lambda body: F.lit(0).cast("long")), (3, lambda body: F.shiftleft(F.length(body).cast("long"), 50))])
+def test_index_gives_the_groups_whatever_the_keys(spark, messy, capacity, key):
+    """Also where every bucket is overfull, and where all texts share one key or a few, so that chains and bytes decide."""
+    folder, rows = messy
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    got = exact.exact_dedup(docs, capacity=capacity, depth=6, hot_rows=2, **({"key": key} if key else {}))
+    bodies = [re.sub(r"[\x20\x09-\x0D]", "", r[1] or "") for r in rows]
+    keep = {b: min((-len(r[1] or ""), r[0] is None, r[0] or 0, r[0]) for r, own in zip(rows, bodies, strict=True) if own == b)[3] for b in set(bodies)}
+    sizes = Counter(bodies)
+    want = Counter((r[0], keep[b], sizes[b], hashlib.sha256(b.encode()).hexdigest()) for r, b in zip(rows, bodies, strict=True))
+    assert rows_of(got, "doc_id", "keep_id", "group_size", "text_sha256") == want
+    assert all(r.kept == (r.doc_id == r.keep_id) for r in got.collect())
+
+
+def test_chains_hold_the_texts_that_share_a_key(spark):
+    docs = spark.createDataFrame([(k, f"text {k % 5}") for k in range(40)], "doc_id long, text string")
+    buckets, index = exact.hash_index(docs, key=lambda body: F.lit(7).cast("long"))
+    chains = index.collect()
+    assert len(chains) == 1 and sorted((e.keep_id, e.group_size) for e in chains[0].chain) == [(k, 8) for k in range(5)]
+    assert buckets.count() == 1
+
+
 def test_directory_splits_overfull_buckets(spark):
     chains = spark.range(1000).selectExpr("CAST(CASE WHEN id < 900 THEN 5 ELSE id % 16 END AS int) AS prefix")
     got = {r.prefix: (r.bucket, r.local_depth) for r in exact.directory(chains, 50, 4).collect()}
