@@ -22,9 +22,9 @@ class State:
 
 
 def batch_moments(data: DataFrame, columns: Sequence[str], epochs: Sequence[int], batches: int, seed: int) -> dict[tuple[int, int], np.ndarray]:
-    """Sums of products of the columns for every batch of every epoch. Each epoch deals the rows anew, by a hash of all their values."""
+    """Sums of products of the columns for every batch of every epoch. Each epoch deals the rows anew, by their ``_h``."""
     dealt = data.withColumn("epoch", F.explode(F.array(*[F.lit(e) for e in epochs])))
-    dealt = dealt.withColumn("batch", F.pmod(F.xxhash64(*data.columns, F.col("epoch"), F.lit(seed)), F.lit(batches)))
+    dealt = dealt.withColumn("batch", F.pmod(F.xxhash64("_h", "epoch", F.lit(seed)), F.lit(batches)))
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
     sums = [F.sum(F.col(columns[i]) * F.col(columns[j])).alias(f"s{i}_{j}") for i, j in pairs]
     out = {}
@@ -55,13 +55,14 @@ def descend(
     each pass, and a descent that is given one goes on from there, to the same result.
     """
     names = list(features)
-    used = df.select(*names, F.col(label).alias("_y")).dropna()
+    # rows are dealt by the values they come with, which no order of sums can change
+    used = df.select(*names, F.col(label).alias("_y")).dropna().withColumn("_h", F.xxhash64(*names, "_y"))
     aggregates = [f(c).alias(f"{k}{i}") for i, c in enumerate([*names, "_y"]) for k, f in (("m", F.avg), ("s", F.stddev_pop))]
     scale = used.agg(*aggregates).first()
     centre = np.array([scale[f"m{i}"] or 0.0 for i in range(len(names) + 1)])
     spread = np.array([scale[f"s{i}"] or 1.0 for i in range(len(names) + 1)])
     columns = ["_one", *[f"_z{i}" for i in range(len(names) + 1)]]
-    scaled = used.select(F.lit(1.0).alias("_one"), *[((F.col(c) - F.lit(float(centre[i]))) / F.lit(float(spread[i]))).alias(f"_z{i}") for i, c in enumerate([*names, "_y"])])
+    scaled = used.select("_h", F.lit(1.0).alias("_one"), *[((F.col(c) - F.lit(float(centre[i]))) / F.lit(float(spread[i]))).alias(f"_z{i}") for i, c in enumerate([*names, "_y"])])
     k = len(names) + 1
     # the penalty is on the weights of the columns as given
     penalty = np.concatenate([[0.0], alpha / spread[:-1] ** 2])

@@ -7,17 +7,17 @@ import math
 import time
 from collections.abc import Callable, Sequence
 
-import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import PCA, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraweft.catalog import literal_rows
 from terraweft.operators.descent import descend, linear_stage
 from terraweft.operators.evaluate import rmse_psnr
+from terraweft.operators.kernel import RbfModel, fit_rbf
 from terraweft.operators.tiles import block_means, stride, sub_blocks, upsample_nearest, upsample_weighted
 from terraweft.session import cut_lineage
 
@@ -73,32 +73,17 @@ def polynomial_terms(cols: Sequence[str], degree: int, gamma: float, coef0: floa
     return terms
 
 
-def fourier_terms(cols: Sequence[str], gamma: float, size: int, seed: int) -> list[str]:
-    """Seeded random Fourier features of the rbf kernel exp(-gamma |x - z|^2); approximate by construction."""
-    rng = np.random.default_rng(seed)
-    freq = rng.normal(0.0, math.sqrt(2 * gamma), (size, len(cols)))
-    phase = rng.uniform(0.0, 2 * math.pi, size)
-    scale = math.sqrt(2.0 / size)
-    out = []
-    for w, b in zip(freq, phase, strict=True):
-        dot = " + ".join(f"{float(v)!r}D * `{c}`" for v, c in zip(w, cols, strict=True))
-        out.append(f"{scale!r}D * cos({dot} + {float(b)!r}D)")
-    return out
-
-
 def kernel_ridge(
     cols: Sequence[str],
-    kernel: str = "rbf",
+    kernel: str = "linear",
     alpha: float = 1.0,
     rows: int = 1,
     spread: float = 1.0,
     degree: int = 3,
     gamma: float | None = None,
     coef0: float = 1.0,
-    size: int = 64,
-    seed: int = 0,
 ) -> list:
-    """Kernel ridge as ridge on explicit features: |y - Xw|^2 + alpha |w|^2 without intercept.
+    """Kernel ridge as ridge on explicit features: |y - Xw|^2 + alpha |w|^2 without intercept. The rbf kernel has none; see ``kernel.fit_rbf``.
 
     ``rows`` and ``spread`` are the number of training rows and the standard deviation of their target.
     """
@@ -107,8 +92,6 @@ def kernel_ridge(
         terms = [f"`{c}`" for c in cols]
     elif kernel == "polynomial":
         terms = polynomial_terms(cols, degree, gamma, coef0)
-    elif kernel == "rbf":
-        terms = fourier_terms(cols, gamma, size, seed)
     else:
         raise ValueError(f"unknown kernel {kernel}")
     solver = LinearRegression(
@@ -134,8 +117,10 @@ MODELS: dict[str, Callable[..., list]] = {
 }
 
 
-def fit(name: str, df: DataFrame, features: Sequence[str], label: str = "y", **params) -> PipelineModel:
-    """Fit a model by name on the feature columns."""
+def fit(name: str, df: DataFrame, features: Sequence[str], label: str = "y", **params) -> PipelineModel | RbfModel:
+    """Fit a model by name on the feature columns. ``kernel_ridge`` has the rbf kernel unless another is named."""
+    if name == "kernel_ridge" and params.get("kernel", "rbf") == "rbf":
+        return fit_rbf(df, features, label, **{k: v for k, v in params.items() if k != "kernel"})
     if name == "sgd":
         return fit_descent(df, features, label, **params)[0]
     data = df.withColumnRenamed(label, "y") if label != "y" else df
@@ -152,18 +137,26 @@ def fit(name: str, df: DataFrame, features: Sequence[str], label: str = "y", **p
     return Pipeline(stages=MODELS[name](features, **params)).fit(data)
 
 
-def predict(model: PipelineModel, df: DataFrame, keys: Sequence[str] = ("sample_id",)) -> DataFrame:
+def predict(model: PipelineModel | RbfModel, df: DataFrame, keys: Sequence[str] = ("sample_id",)) -> DataFrame:
     """Predictions as a table: keys, y, yhat."""
     return model.transform(df.withColumn("_sign", F.lit(1.0))).select(*keys, "y", "yhat")
 
 
-def save_model(model: PipelineModel, path: str, override: bool = False) -> None:
+def save_model(model: PipelineModel | RbfModel, path: str, override: bool = False) -> None:
+    if isinstance(model, RbfModel):
+        model.save(SparkSession.active(), path, override)
+        return
     writer = model.write().overwrite() if override else model.write()
     writer.save(path)
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str) -> PipelineModel | RbfModel:
+    """A saved model; a pipeline has a folder of metadata, a kernel model is a table."""
+    spark = SparkSession.active()
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/metadata")
+    if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return PipelineModel.load(path)
+    return RbfModel.load(spark, path)
 
 
 def select_targets(df: DataFrame, targets: Sequence[str]) -> DataFrame:

@@ -17,6 +17,7 @@ from terraweft.functions.scalars import pearson_r
 from terraweft.operators import ml
 from terraweft.operators.descent import State
 from terraweft.operators.evaluate import errors
+from terraweft.operators.kernel import RbfModel
 from terraweft.session import cut_lineage
 
 FOLD = "model string, fold int, setup string, version string, samples bigint, mse double, mae double, r double, train_seconds double, log array<double>"
@@ -54,7 +55,7 @@ class Ledger:
         rows = [] if self.override else self._rows(f"{self.path}/fold-{fold}/entry", FOLD)
         return rows[0] if rows else None
 
-    def finish(self, fold: int, model: PipelineModel, scores: Row, seconds: float, log: Sequence[float]) -> Row:
+    def finish(self, fold: int, model: PipelineModel | RbfModel, scores: Row, seconds: float, log: Sequence[float]) -> Row:
         version = f"{self.path}/fold-{fold}/model-{uuid.uuid4().hex[:12]}"
         ml.save_model(model, version)
         row = (self.model, fold, self.setup, version, scores["samples"], scores["mse"], scores["mae"], scores["r"], seconds, [float(x) for x in log])
@@ -72,8 +73,10 @@ class Ledger:
         self._put(f"{self.path}/fold-{fold}/rounds/after-{state.epoch}", ROUND, row)
 
 
-def fit_log(model: PipelineModel, train: DataFrame) -> list[float]:
+def fit_log(model: PipelineModel | RbfModel, train: DataFrame) -> list[float]:
     """Loss by iteration, of models that learn in iterations."""
+    if not isinstance(model, PipelineModel):
+        return []
     last = model.stages[-1]
     if isinstance(last, GBTRegressionModel):
         for stage in model.stages[:-1]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terraweft.operators import cube, resample, screen, stats, tables, tiles
@@ -60,14 +63,15 @@ def _(fx):
 
 @query(
     "p21_return_format",
-    """SELECT bi, bj, round(avg(value) FILTER (WHERE channel = 1), 6) AS mean_1, round(avg(value) FILTER (WHERE channel = 3), 6) AS mean_3, y
+    f"""SELECT bi, bj, {", ".join(f"round(avg(value) FILTER (WHERE channel = {c}), 6) AS mean_{c}" for c in range(1, 5))}, y
        FROM v_base JOIN v_cube USING (bi, bj) GROUP BY bi, bj, y""",
 )
 def _(fx):
-    means = stats.channel_means(cube_of(fx), KEYS, [1, 3])
+    names = [f"mean_{c}" for c in fx.x_layers.ids()]
+    means = stats.channel_means(cube_of(fx), KEYS, fx.x_layers.ids())
     joined = means.join(_targets(fx), KEYS)
-    rounded = [F.round(c, 6).alias(c) for c in ("mean_1", "mean_3")]
-    return tables.as_xy(joined, ["mean_1", "mean_3"], "y", keys=KEYS).select(*KEYS, *rounded, "y")
+    rounded = [F.round(c, 6).alias(c) for c in names]
+    return tables.as_xy(joined, names, "y", keys=KEYS).select(*KEYS, *rounded, "y")
 
 
 def _targets(fx):
@@ -80,11 +84,11 @@ def _targets(fx):
     "p22_to_layout",
     """SELECT bi, bj, CAST(row_number() OVER (PARTITION BY bi, bj ORDER BY si, sj, channel) - 1 AS INT) AS hwc,
        CAST(row_number() OVER (PARTITION BY bi, bj ORDER BY channel, si, sj) - 1 AS INT) AS chw, value
-       FROM v_cube WHERE channel IN (1, 3)""",
+       FROM v_cube""",
 )
 def _(fx):
-    px = tables.select_channels(cube_of(fx), keep=[1, 3])
-    # cells on the edge of layer 1 hold fewer values, so positions are taken from the arrays themselves
+    px = cube_of(fx)
+    # cells on the edge of a layer hold fewer values, so positions are taken from the arrays themselves
     tagged = px.withColumn("value", F.struct("value", "si", "sj", "channel"))
     hwc = tables.to_layout(tagged, "hwc", KEYS).select(*KEYS, F.posexplode("cube").alias("hwc", "v"))
     chw = tables.to_layout(tagged, "chw", KEYS).select(*KEYS, F.posexplode("cube").alias("chw", "v"))
@@ -95,10 +99,10 @@ def _(fx):
     return both.select(*KEYS, "hwc", "chw", "value")
 
 
-@query("c12_arrays_round_trip", "SELECT sample_id, layer_id, wi, wj, value FROM v_pyr WHERE layer_id = 2")
+@query("c12_arrays_round_trip", "SELECT sample_id, layer_id, wi, wj, value FROM v_pyr")
 def _(fx):
     legal = cut_lineage(resample.legal_samples(fx.pixels, fx.base, fx.catalog))
-    px = resample.gather_windows(legal, fx.pixels, fx.base, fx.catalog.only([2]))
+    px = resample.gather_windows(legal, fx.pixels, fx.base, fx.x_layers)
     packed = tables.to_arrays(px.withColumn("value", F.struct("wi", "wj", "value")), ["sample_id", "layer_id"], ["wi", "wj"])
     long = tables.to_long(packed, 3)
     return long.select("sample_id", "layer_id", "value.wi", "value.wj", "value.value")
@@ -221,10 +225,12 @@ def _(fx):
 
 @query(
     "a35_channel_target_pairs",
-    """SELECT bi, bj, near(avg(value)) AS x, y FROM v_cube JOIN v_base USING (bi, bj) WHERE channel = 2 GROUP BY bi, bj, y""",
+    """SELECT CAST(channel AS INT) AS channel, bi, bj, near(avg(value)) AS x, y FROM v_cube JOIN v_base USING (bi, bj) GROUP BY channel, bi, bj, y""",
 )
 def _(fx):
-    return stats.channel_target_pairs(cube_of(fx), _targets(fx), KEYS, 2).withColumn("x", near("x"))
+    px, targets = cut_lineage(cube_of(fx)), cut_lineage(_targets(fx))
+    pairs = [stats.channel_target_pairs(px, targets, KEYS, c).withColumns({"channel": F.lit(c), "x": near("x")}) for c in fx.x_layers.ids()]
+    return functools.reduce(DataFrame.unionByName, pairs)
 
 
 @query(

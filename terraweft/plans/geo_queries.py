@@ -90,15 +90,22 @@ def _(fx):
     return tables.select_fields(fx.points, ["fhd", "cover"], keep=["point_id"])
 
 
+# what each channel of a cube can draw on: known pixels of a layer, points that have a field, all points for the nearest one
 @query(
     "p10_channel_names",
-    """SELECT CAST(channel AS INT) AS channel, name, (SELECT count(*) FROM fx_points) AS points FROM (VALUES (0,'fine'),(1,'sparse'),
-       (2,'class'),(3,'coarse'),(4,'cover_0'),(5,'cover_1'),(6,'nearest_id'),(7,'nearest_d2')) AS t(channel, name)""",
-)
-def _(fx):
-    fields = tables.select_fields(fx.points, ["cover"]).columns
-    total = fx.points.agg(F.count(F.lit(1))).scalar()
-    return channel_names(fx.x_layers, fields, fx.spark).withColumn("points", total)
+    """SELECT CAST(row_number() OVER (ORDER BY o, k) - 1 AS INT) AS channel, name, n FROM (
+         SELECT 0 AS o, l.layer_id AS k, l.name, count(p.value) AS n FROM fx_layers l JOIN v_px p USING (layer_id) WHERE l.layer_id > 0 GROUP BY ALL
+         UNION ALL SELECT 1, 0, 'cover_0', count(cover_z_0) FROM fx_points UNION ALL SELECT 1, 1, 'cover_1', count(cover_z_1) FROM fx_points
+         UNION ALL SELECT 2, 0, 'nearest_id', count(*) FROM fx_points UNION ALL SELECT 2, 1, 'nearest_d2', count(*) FROM fx_points) c""",
+)
+def _(fx):
+    chosen = tables.select_fields(fx.points, ["cover"])
+    names = channel_names(fx.x_layers, chosen.columns, fx.spark)
+    known = fx.pixels.groupBy("layer_id").agg(F.count("value").alias("n")).join(fx.layers.select("layer_id", "name"), "layer_id").select("name", "n")
+    held = [*chosen.columns, "nearest_id", "nearest_d2"]
+    totals = chosen.agg(*[F.count(c).alias(c) for c in chosen.columns], *[F.count(F.lit(1)).alias(c) for c in held[-2:]])
+    points = totals.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("n")) for c in held])))
+    return names.join(known.unionByName(points), "name", "left").select("channel", "name", "n")
 
 
 @query(

@@ -206,7 +206,7 @@ def _(fx):
 
 @query("m7_kernel_ridge_rbf", _beats("kernel_ridge"))
 def _(fx):
-    return beats_mean(fx, "kernel_ridge", kernel="rbf", alpha=0.2, size=32)
+    return beats_mean(fx, "kernel_ridge", kernel="rbf", alpha=0.2, landmarks=512)
 
 
 @query("m8_cross_validate", "SELECT *, TRUE AS timed FROM (" + _twin("linear", _least_squares()) + ") t")

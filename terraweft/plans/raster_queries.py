@@ -64,11 +64,11 @@ def _(fx):
 @query(
     "u4_layer_intersection",
     """SELECT bi, bj FROM (SELECT w.bi, w.bj, layer_id, count(p.ix) AS n, count(p.ix) - count(p.value) AS bad
-       FROM v_win w LEFT JOIN v_px p USING (layer_id, ix, iy) WHERE layer_id IN (1, 2) GROUP BY ALL) c
+       FROM v_win w LEFT JOIN v_px p USING (layer_id, ix, iy) GROUP BY ALL) c
        GROUP BY bi, bj HAVING bool_and(n > 0 AND bad = 0)""",
 )
 def _(fx):
-    return resample.legal_cells(fx.pixels, fx.base, fx.catalog.only([1, 2]))
+    return resample.legal_cells(fx.pixels, fx.base, fx.x_layers)
 
 
 @query("j1_resample_nearest", "SELECT bi, bj, si, sj, channel, value FROM v_cube")

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from terraweft.operators import descent, ml, splits, training
+from terraweft.operators import descent, kernel, ml, splits, training
 from terraweft.session import scratch_path
 
 
@@ -147,3 +147,49 @@ def test_stopped_descent_goes_on_inside_a_fold(data, spark, monkeypatch):
     whole, _ = training.train_folds(data, table, "sgd", ["a", "b"], [0], scratch_path(spark, "run"), epochs=40)
     a, b = (p.toPandas().sort_values("sample_id") for p in (preds, whole))
     np.testing.assert_allclose(a.yhat, b.yhat, rtol=1e-9)
+
+
+def dense(x, y, z, alpha, gamma):
+    """Kernel ridge by a solve over all rows."""
+    return kernel.rbf(z, x, gamma) @ np.linalg.solve(kernel.rbf(x, x, gamma) + alpha * np.eye(len(x)), y)
+
+
+@pytest.fixture(scope="module")
+def wavy(spark):
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame(rng.normal(size=(2000, 3)), columns=["a", "b", "c"])
+    pdf["sample_id"] = np.arange(2000)
+    pdf["y"] = np.sin(pdf.a) + pdf.b * pdf.c + 0.1 * rng.normal(size=2000)
+    return spark.createDataFrame(pdf).repartition(5).cache()
+
+
+def test_rbf_on_all_rows_is_the_dense_solve(wavy, spark):
+    pdf = wavy.toPandas().sort_values("sample_id")
+    x, y = pdf[["a", "b", "c"]].to_numpy(), pdf["y"].to_numpy()
+    model = ml.fit("kernel_ridge", wavy, ["a", "b", "c"], alpha=0.5, landmarks=2048)
+    got = ml.predict(model, wavy).toPandas().sort_values("sample_id")
+    np.testing.assert_allclose(got.yhat, dense(x, y, x, 0.5, 1 / 3), atol=1e-6)
+    assert model.rows == 2000 and model.residual_max < 1e-9
+    path = scratch_path(spark, "rbf")
+    ml.save_model(model, path)
+    again = ml.predict(ml.load_model(path), wavy).toPandas().sort_values("sample_id")
+    np.testing.assert_allclose(again.yhat, got.yhat, rtol=1e-12)
+
+
+def test_rbf_on_landmarks_tells_its_distance(wavy):
+    pdf = wavy.toPandas().sort_values("sample_id")
+    x, y = pdf[["a", "b", "c"]].to_numpy(), pdf["y"].to_numpy()
+    model = ml.fit("kernel_ridge", wavy, ["a", "b", "c"], alpha=0.5, landmarks=300)
+    got = ml.predict(model, wavy).toPandas().sort_values("sample_id").yhat.to_numpy()
+    z = model.landmarks
+    k = kernel.rbf(x, z, 1 / 3)
+    own = k @ np.linalg.pinv(kernel.rbf(z, z, 1 / 3), rcond=kernel.SMALLEST) @ k.T
+    assert model.residual_mean == pytest.approx(1 - np.diag(own).mean(), abs=1e-5) and 0 < model.residual_mean < 0.1
+    want = own @ np.linalg.solve(own + 0.5 * np.eye(len(x)), y)
+    np.testing.assert_allclose(got, want, atol=1e-4)
+    assert np.mean((got - dense(x, y, x, 0.5, 1 / 3)) ** 2) < 0.02 * y.var()
+
+
+def test_rbf_without_rows(wavy):
+    model = ml.fit("kernel_ridge", wavy.where("a IS NULL"), ["a", "b", "c"])
+    assert model.rows == 0 and ml.predict(model, wavy).agg({"yhat": "max"}).first()[0] == 0.0
