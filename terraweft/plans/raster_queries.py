@@ -31,6 +31,16 @@ def splits_of(legal):
     return random_split(legal, folds=3, test_frac=0.3, val_frac=0.2, seed=7)
 
 
+@query("s1_read_region", "SELECT bi, bj, si, sj, channel, value FROM v_cube WHERE bi BETWEEN 20 AND 29 AND bj BETWEEN 4 AND 9")
+def _(fx):
+    """The sub-grid of the cells of a region, from the blocks that they need."""
+    path = scratch_path(fx.spark, "raster")
+    datasets.write_layers(fx.layers, fx.raw_pixels, path, block=64)
+    cells = base_cells(fx.pixels, fx.base).filter("bi BETWEEN 20 AND 29 AND bj BETWEEN 4 AND 9").select("bi", "bj")
+    _, pixels = datasets.read_layers(fx.spark, path, cells=cells, base=fx.base)
+    return resample.resample_nearest(cells, pixels, fx.base, fx.x_layers, 2)
+
+
 @query("s1_read_layers", "SELECT layer_id, ix, iy, value FROM v_px")
 def _(fx):
     path = scratch_path(fx.spark, "raster")

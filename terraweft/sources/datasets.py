@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import functools
 import json
+import operator
 import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraweft.catalog import nodata_table
-from terraweft.functions.scalars import null_nodata
+from terraweft.catalog import Layer, literal_array, nodata_table
+from terraweft.functions.scalars import null_nodata, range_sql
+from terraweft.session import cut_lineage
 from terraweft.sources.text import write_cube_text
 
 NO_FOLD = -1
+#: Side of a block of pixels, in pixels; and of a tile of cells that blocks are looked up for, in cells.
+BLOCK, TILE = 1024, 64
+#: Blocks that a read names one by one.
+MOST_BLOCKS = 20_000
 
 
 def clean_pixels(pixels: DataFrame, layers: DataFrame) -> DataFrame:
@@ -24,24 +31,74 @@ def clean_pixels(pixels: DataFrame, layers: DataFrame) -> DataFrame:
 
 
 def read_layers(
-    spark: SparkSession, path: str, only: Sequence[int] | None = None, exclude: Sequence[int] | None = None
+    spark: SparkSession,
+    path: str,
+    only: Sequence[int] | None = None,
+    exclude: Sequence[int] | None = None,
+    cells: DataFrame | None = None,
+    base: Layer | None = None,
+    halo: int = 1,
 ) -> tuple[DataFrame, DataFrame]:
-    """(catalog, pixels) of a raster dataset; unwanted layers are pruned by partition."""
+    """(catalog, pixels) of a raster dataset; unwanted layers are pruned by partition.
+
+    With ``cells`` (bi, bj of ``base``) only the blocks are read that windows around these cells, ``halo`` cells wide on each side, can touch.
+    """
     layers = spark.read.parquet(f"{path}/layers")
     pixels = spark.read.parquet(f"{path}/pixels")
     if only is not None:
         layers, pixels = (t.filter(F.col("layer_id").isin(list(only))) for t in (layers, pixels))
     if exclude is not None:
         layers, pixels = (t.filter(~F.col("layer_id").isin(list(exclude))) for t in (layers, pixels))
+    if cells is not None:
+        pixels = pixels.filter(_touched(cells, base, layers, halo))
+    layers = layers.drop("block")
     return layers, clean_pixels(pixels, layers)
 
 
-def write_layers(layers: DataFrame, pixels: DataFrame, path: str, block: int = 1024, mode: str = "errorifexists") -> None:
-    """Raster dataset: a catalog and a pixel table partitioned by layer and clustered by block."""
-    layers.coalesce(1).write.mode(mode).parquet(f"{path}/layers")
-    bx, by = F.floor(F.col("ix") / block), F.floor(F.col("iy") / block)
-    clustered = pixels.repartitionByRange("layer_id", bx, by).sortWithinPartitions("layer_id", "ix", "iy")
-    clustered.write.mode(mode).partitionBy("layer_id").parquet(f"{path}/pixels")
+def needed_blocks(cells: DataFrame, base: Layer, layers: DataFrame, halo: int = 1) -> DataFrame:
+    """Blocks of every layer (with its ``block`` side) that windows around the cells can touch: layer_id, bx, by.
+
+    Cells are gathered in tiles first; a tile stands for its box, so a few blocks too many may be named, never one too few.
+    """
+    tiles = cells.groupBy(F.floor(F.col("bi") / TILE).alias("_ti"), F.floor(F.col("bj") / TILE).alias("_tj")).agg(
+        F.min("bi").alias("x0"), F.max("bi").alias("x1"), F.min("bj").alias("y0"), F.max("bj").alias("y1")
+    )
+    table = layers.select("layer_id", "res_m", "ulh", "ulv", "psh", "psv", "block").collect()  # a row per layer
+    # side of a native window, in pixels
+    side = f"(if(res_m = {base.res_m}, 1, {base.res_m} div res_m + 1) + 1)"
+
+    def span(axis: str, origin: str, size: float, px: str) -> str:
+        low = f"floor(({origin} + ({axis}0 - {halo}) * {size!r}D) / {px}) - {side}"
+        high = f"floor(({origin} + ({axis}1 + 1 + {halo}) * {size!r}D) / {px}) + {side}"
+        return range_sql(f"floor(({low}) / block)", f"floor(({high}) / block)")
+
+    met = tiles.withColumn("_l", F.explode(literal_array([row.asDict() for row in table]))).select("x0", "x1", "y0", "y1", "_l.*")
+    met = met.selectExpr("*", f"{span('x', f'({base.ulh!r}D - ulh)', base.psh, 'psh')} AS bx")
+    met = met.selectExpr("*", f"{span('y', f'(ulv - {base.ulv!r}D)', base.psv, 'psv')} AS `by`")
+    return met.select("layer_id", "bx", "by").distinct()
+
+
+def _touched(cells: DataFrame, base: Layer, layers: DataFrame, halo: int) -> Column:
+    """Condition on the partition columns: the blocks by name, or a box per layer where there are too many to name."""
+    needed = cut_lineage(needed_blocks(cells, base, layers, halo))
+    rows = needed.limit(MOST_BLOCKS + 1).collect()
+    if len(rows) <= MOST_BLOCKS:
+        return F.concat_ws("_", "layer_id", "bx", "by").isin([f"{r['layer_id']}_{r['bx']}_{r['by']}" for r in rows])
+    boxes = needed.groupBy("layer_id").agg(F.min("bx").alias("a"), F.max("bx").alias("b"), F.min("by").alias("c"), F.max("by").alias("d")).collect()
+    inside = [(F.col("layer_id") == r["layer_id"]) & F.col("bx").between(r["a"], r["b"]) & F.col("by").between(r["c"], r["d"]) for r in boxes]
+    return functools.reduce(operator.or_, inside)
+
+
+def write_layers(layers: DataFrame, pixels: DataFrame, path: str, block: int = BLOCK, mode: str = "errorifexists") -> None:
+    """Raster dataset: a catalog and a pixel table partitioned by layer and by blocks of ``block`` x ``block`` pixels."""
+    layers.withColumn("block", F.lit(block)).coalesce(1).write.mode(mode).parquet(f"{path}/layers")
+    _blocked(pixels, block).write.mode(mode).partitionBy("layer_id", "bx", "by").parquet(f"{path}/pixels")
+
+
+def _blocked(pixels: DataFrame, block: int) -> DataFrame:
+    spots = {"bx": F.floor(F.col("ix") / block).cast("int"), "by": F.floor(F.col("iy") / block).cast("int")}
+    blocked = pixels.withColumns(spots)
+    return blocked.repartitionByRange("layer_id", "bx", "by").sortWithinPartitions("layer_id", "bx", "by", "ix", "iy")
 
 
 def write_layer(values: DataFrame, row: DataFrame, path: str) -> None:
@@ -49,15 +106,22 @@ def write_layer(values: DataFrame, row: DataFrame, path: str) -> None:
 
     Writing a layer again replaces its pixels, so a retried job leaves one copy; a layer id with another catalog row is refused.
     """
-    meta = row.first()
+    spark, meta = row.sparkSession, row.first()
     stored = values.select(F.lit(meta["layer_id"]).alias("layer_id"), "ix", "iy", F.coalesce("value", F.lit(meta["nodata"])).alias("value"))
     known = _catalog_rows(row, f"{path}/layers", meta["layer_id"])
     if any(k != meta for k in known):
         raise ValueError(f"layer {meta['layer_id']} is already in {path} with another catalog row")
-    pixels = stored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    pixels.partitionBy("layer_id").parquet(f"{path}/pixels")
+    try:
+        found = spark.read.parquet(f"{path}/layers").select("block").first()
+    except AnalysisException:
+        found = None
+    block = found["block"] if found else BLOCK
+    # blocks that the layer had before and has no more go with the folder
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/pixels/layer_id={meta['layer_id']}")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    _blocked(stored, block).write.mode("append").partitionBy("layer_id", "bx", "by").parquet(f"{path}/pixels")
     if not known:
-        row.coalesce(1).write.mode("append").parquet(f"{path}/layers")
+        row.withColumn("block", F.lit(block)).coalesce(1).write.mode("append").parquet(f"{path}/layers")
 
 
 def _catalog_rows(row: DataFrame, path: str, layer_id: int) -> list:

@@ -31,6 +31,27 @@ def test_layer_choice_prunes_partitions(spark, fx):
     assert pixels.select("layer_id").distinct().collect()[0][0] == 1
 
 
+@pytest.mark.parametrize("named", [True, False])
+def test_only_blocks_that_cells_need_are_read(spark, fx, monkeypatch, named):
+    if not named:
+        monkeypatch.setattr(datasets, "MOST_BLOCKS", 3)
+    path = scratch_path(spark, "raster")
+    datasets.write_layers(fx.layers, fx.raw_pixels, path, block=8)
+    all_cells = base_cells(fx.pixels, fx.base)
+    cells = all_cells.where("bi BETWEEN 10 AND 12 AND bj BETWEEN 3 AND 5").select("bi", "bj").cache()
+    _, pixels = datasets.read_layers(spark, path, cells=cells, base=fx.base)
+    assert "PartitionFilters" in plan(pixels.select("value"))
+    every = len(datasets.read_layers(spark, path)[1].inputFiles())
+    scan = spark.read.parquet(f"{path}/pixels").where(datasets._touched(cells, fx.base, spark.read.parquet(f"{path}/layers"), 1))
+    files = {r[0] for r in scan.select(F.input_file_name()).distinct().collect()}
+    assert 0 < len(files) < every / 4
+    for build in (
+        lambda px: resample.resample_nearest(cells, px, fx.base, fx.x_layers, 2, pad=1),
+        lambda px: resample.gather_windows(cells.selectExpr("*", "bi * 1000L + bj AS sample_id"), px, fx.base, fx.x_layers),
+    ):
+        assert sorted(map(tuple, build(pixels).collect())) == sorted(map(tuple, build(fx.pixels).collect()))
+
+
 def test_stage_resumes_and_recovers(spark):
     path = scratch_path(spark, "stage")
     built = []
