@@ -8,6 +8,7 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from awkward import duck_over, messy, nothing, unique  # noqa: F401
 from conftest import SF_DIR, same_rows
@@ -261,6 +262,25 @@ def test_packing_keeps_words_and_conflicts(spark, messy):
         assert (got.bin_offset == bins.n_tokens.cumsum() - got.n_tokens).all()
 
 
+def test_shards_need_hardly_more_bins_than_one_packing():
+    """Bins of shards against one global packing of all rows, over the 10,000 documents of the largest test table."""
+    table = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "source", "text"]).to_pandas()
+    sizes = table.text.fillna("").str.count(brute.WORD.pattern)
+    rows = table.assign(size=sizes, cluster=table.text.map(hash), row=range(len(table)))[sizes > 0]
+    whole = packing.pack_shard(rows.assign(shard=0), packing.CAPACITY).bin_id.nunique()
+    parts = rows.assign(shard=np.random.default_rng(1).integers(0, 3, len(rows)))
+    dealt = sum(packing.pack_shard(part, packing.CAPACITY).bin_id.nunique() for _, part in parts.groupby("shard"))
+    assert whole <= dealt <= 1.01 * whole
+
+
+def test_an_id_with_most_rows_fills_no_shard(spark):
+    docs = spark.createDataFrame([(7 if k % 3 else k, f"w{k} " * 5, f"s{k % 40}") for k in range(600)], "doc_id long, text string, source string")
+    got = packing.pack(docs, capacity=64, shard_rows=50)
+    shards = got.selectExpr("bin_id >> 32 AS shard", "doc_id").groupBy("shard").count().collect()
+    assert len(shards) == 12 and max(r["count"] for r in shards) < 120
+    assert got.count() == 600
+
+
 def test_bins_choose_the_tightest_compatible():
     rng = np.random.default_rng(7)
     bins, plain = packing.Bins(100), []
