@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import json
 import math
+import os
 import re
 import string
 from bisect import bisect_left
@@ -47,6 +49,12 @@ WORDS = (
 ).split()
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
 SWAPS = str.maketrans("013457$@", "oieastsa")
+DIRECTIONS = (1, -1, 2, -2)
+SEPARATORS = "-./_"
+SEPARATED = re.compile(rf"([0-9]{{2}}|[0-9]{{4}})([{SEPARATORS}])([0-9]{{2}})\2([0-9]{{2}}|[0-9]{{4}})")
+DATE_LENGTHS = (4, 6, 8, 10)
+#: Vocabulary of the public tokenizers that ranks further words.
+VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 LONGEST = 24  # of a dictionary word, date or walk; longer spans are chains of these
 CLASSES = ((10, str.isdigit), (26, str.islower), (26, str.isupper))
 PER_SPAN = math.log10(2)
@@ -65,12 +73,12 @@ class Covered:
         return before > 0 and self.reach[before - 1] > start
 
 
-def guess_cost(value: str, enough: float = math.inf) -> float:
+def guess_cost(value: str, enough: float = math.inf, ranks: dict[str, int] | None = None) -> float:
     """log10 of the guesses for the cheapest way to cut the value into words, dates, repeats, walks and brute-force characters.
 
     A value whose every way costs ``enough`` or more already before its end is not read further; the result is then ``enough`` or more.
     """
-    n, ranks = len(value), RANKS
+    n, ranks = len(value), RANKS if ranks is None else ranks
     low = value.lower()
     plain = low.translate(SWAPS)
     cost = [0.0] + [math.inf] * n
@@ -87,7 +95,7 @@ def guess_cost(value: str, enough: float = math.inf) -> float:
         step = STEPS.get((low[i - 1], low[i]), 0) if i else 0
         walk, turn = (walk + 1, turn) if step and step == turn else (1 if step else 0, step)
         if walk >= 2:
-            best = min(best, min(cost[i - k] + math.log10(47 * 2 * (k + 1)) for k in {2, walk}) + PER_SPAN)
+            best = min(best, min(cost[i - k] + math.log10(47 * len(DIRECTIONS) * (k + 1)) for k in {2, walk}) + PER_SPAN)
         for k in range(3, min(LONGEST, i + 1) + 1):
             j = i + 1 - k
             rank = ranks.get(low[j : i + 1])
@@ -97,7 +105,7 @@ def guess_cost(value: str, enough: float = math.inf) -> float:
             if rank is not None:
                 case = 0 if value[j : i + 1] == low[j : i + 1] else 1 if value[j].isupper() and value[j + 1 : i + 1] == low[j + 1 : i + 1] else 2
                 best = min(best, cost[j] + math.log10(rank) + PER_SPAN * (1 + case + 2 * swapped))
-            if k in (4, 6, 8) and (dates := _dates(value[j : i + 1])):
+            if k in DATE_LENGTHS and (dates := _dates(value[j : i + 1])):
                 best = min(best, cost[j] + math.log10(dates) + PER_SPAN)
         cost[i + 1] = best
         # every way on has a cut among the last positions, unless a run or a walk spans them all
@@ -107,25 +115,48 @@ def guess_cost(value: str, enough: float = math.inf) -> float:
 
 
 def _dates(span: str) -> int:
-    """Number of dates written like this one, 0 if it is none."""
-    if not (span.isascii() and span.isdigit()):
+    """Number of dates written like this one, 0 if it is none. Separated dates cost the choice of the separator as well."""
+    if m := SEPARATED.fullmatch(span):
+        a, b, c = m[1], m[3], m[4]
+        if len(a) == 4 == len(c):
+            return 0
+        forms, long, separators = ((a, b, c),) if len(a) == 4 else ((c, a, b), (c, b, a)) if len(c) == 4 else ((None, a, b), (None, b, a), (None, b, c)), len(span) == 10, len(SEPARATORS)
+    elif len(span) > 8 or not (span.isascii() and span.isdigit()):
         return 0
-    if len(span) == 4:
+    elif len(span) == 4:
         return 150 if "1900" <= span < "2050" else 0
-    forms = ((span[:4], span[4:6], span[6:]), (span[4:], span[:2], span[2:4]), (span[4:], span[2:4], span[:2])) if len(span) == 8 else ((None, span[:2], span[2:4]), (None, span[2:4], span[:2]), (None, span[2:4], span[4:]))
+    else:
+        forms = ((span[:4], span[4:6], span[6:]), (span[4:], span[:2], span[2:4]), (span[4:], span[2:4], span[:2])) if len(span) == 8 else ((None, span[:2], span[2:4]), (None, span[2:4], span[:2]), (None, span[2:4], span[4:]))
+        long, separators = len(span) == 8, 1
     fits = any((y is None or "1900" <= y < "2050") and "01" <= m <= "12" and "01" <= d <= "31" for y, m, d in forms)
-    return (150 if len(span) == 8 else 100) * 365 if fits else 0
+    return (150 if long else 100) * 365 * separators if fits else 0
 
 
 def _steps() -> dict[tuple[str, str], int]:
+    """Direction of each step between neighbours: along a row or the alphabet, and down or up a slanted column of the keyboard."""
     out = {}
-    for row in ROWS:
-        for a, b in zip(row, row[1:], strict=False):
-            out[a, b], out[b, a] = 1, -1
+    for lines, (ahead, back) in ((ROWS, DIRECTIONS[:2]), (zip(*ROWS[:4], strict=False), DIRECTIONS[2:])):
+        for line in lines:
+            for a, b in zip(line, line[1:], strict=False):
+                out[a, b], out[b, a] = ahead, back
     return out
 
 
-RANKS = {w: i + 1 for i, w in enumerate(dict.fromkeys(WORDS))}
+def word_ranks(vocabulary: str | None = None) -> dict[str, int]:
+    """Ranks of common words: the list above, then the whole words of a tokenizer's vocabulary, whose numbers follow from how common they are.
+
+    ``vocabulary`` is the path of a JSON file with lower-case word ends ("</w>"); without one, or where it is missing, the list is all there is.
+    """
+    words = list(WORDS)
+    if vocabulary and os.path.exists(vocabulary):
+        with open(vocabulary, encoding="utf-8") as file:
+            numbers = json.load(file)["model"]["vocab"]
+        whole = sorted((number, token[:-4]) for token, number in numbers.items() if token.endswith("</w>"))
+        words += [word for _, word in whole if len(word) >= 3 and word.isascii() and word.isalpha()]
+    return {word: rank for rank, word in enumerate(dict.fromkeys(words), 1)}
+
+
+RANKS = word_ranks()
 STEPS = _steps()
 
 
@@ -148,7 +179,7 @@ def context_values(text: str, counts: Callable[[int, int], bool]) -> Iterator[tu
                 at -= 1
 
 
-def secret_spans(text: str, least_guesses: float = 10.0) -> list[tuple[int, int, int]]:
+def secret_spans(text: str, least_guesses: float = 10.0, ranks: dict[str, int] | None = None) -> list[tuple[int, int, int]]:
     """(start, kind, end) of all secrets, kinds numbered as in KINDS, by start, then kind. Guess spans never overlap base spans."""
     low = text.lower()
     found = []
@@ -159,21 +190,23 @@ def secret_spans(text: str, least_guesses: float = 10.0) -> list[tuple[int, int,
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if named:
         base = Covered((a, b) for a, _, b in found)
-        counts = lambda a, b: not base.meets(a, b) and guess_cost(text[a:b], least_guesses) >= least_guesses
+        counts = lambda a, b: not base.meets(a, b) and guess_cost(text[a:b], least_guesses, ranks) >= least_guesses
         found += [(a, 3, b) for a, b in context_values(text, counts)]
     return sorted(found)
 
 
-def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_guesses: float = 10.0) -> DataFrame:
+def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_guesses: float = 10.0, vocabulary: str | None = VOCABULARY) -> DataFrame:
     """Secrets of every document: doc_id, n_assign, n_access, n_hex, n_guess, base_sha256, spans (kind:start:end in code points).
 
-    A value in a credential context counts when the cheapest segmentation costs 10^least_guesses guesses or more. Null is empty; an
+    A value in a credential context counts when the cheapest segmentation costs 10^least_guesses guesses or more; words are ranked by ``word_ranks``
+    of the vocabulary file, which the driver reads (some 25,000 words). Null is empty; an
     empty text has no spans and the digest of nothing. Texts are read whole, each row gives one row, other columns are not read.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     read = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    ranks = word_ranks(vocabulary)
     columns = "n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string"
-    return read.mapInArrow(_scanner(lambda t: secret_spans(t, least_guesses), KINDS, 3), f"doc_id {kind}, {columns}")
+    return read.mapInArrow(_scanner(lambda t: secret_spans(t, least_guesses, ranks), KINDS, 3), f"doc_id {kind}, {columns}")
 
 
 def _scanner(find, kinds: tuple[str, ...], base: int):

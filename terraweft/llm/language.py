@@ -17,7 +17,8 @@ WINDOW, WIDTHS, FILTERS, DEPTH = 256, (2, 3, 4), 12, 8
 UNKNOWN = "und"
 #: The training sample: so many documents per language at most, with so many windows each.
 PER_LANGUAGE, WINDOWS = 500, 4
-MOST_LANGUAGES = 1000
+#: Labels that are learned, the most frequent ones; and documents of the whole sample.
+MOST_LANGUAGES, MOST_DOCUMENTS = 1000, 50_000
 CHUNK = 128  # windows convolved at once
 
 
@@ -195,6 +196,8 @@ def sample(labelled: DataFrame, counts: dict[str, int], per_language: int) -> Da
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Network | None:
     """Fit on at most ``per_language`` labelled documents of each language, four windows each; None without labelled text.
 
+    Of more than MOST_LANGUAGES labels the most frequent are learned (ties: first by name); the sample holds MOST_DOCUMENTS documents at most, so
+    beyond a hundred labels each has a smaller share of it.
     Documents whose crc32 of the id leaves 1 modulo 3 are never read. The choice goes by a hash of id and text, so it repeats, and rows that
     share an id, or have none, are documents of their own; rows that share both count once.
     """
@@ -202,11 +205,11 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
         F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(doc_id).cast("string"), F.col(text).cast("string")).alias("digest"), remainder(doc_id).alias("fold")
     )
     labelled = rows.where("lang IS NOT NULL AND text IS NOT NULL AND text <> '' AND fold <> 1")
-    counts = {r[0]: r[1] for r in labelled.select("lang", "digest").distinct().groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages in the labels")
+    found = labelled.select("lang", "digest").distinct().groupBy("lang").count().orderBy(F.col("count").desc(), "lang")
+    counts = {r[0]: r[1] for r in found.limit(MOST_LANGUAGES).collect()}
     if not counts:
         return None
+    per_language = max(1, min(per_language, MOST_DOCUMENTS // len(counts)))
     taken = sample(labelled, counts, per_language).toPandas().sort_values(["lang", "place", "number"])
     labels = sorted(counts)
     windows = np.frombuffer(b"".join(taken.window), np.uint8).reshape(-1, WINDOW)

@@ -123,7 +123,7 @@ def segment_costs(value: str) -> dict[tuple[int, int], float]:
                 if 3 <= j - i <= credentials.LONGEST and text in credentials.RANKS and not (swapped and low[i:j] in credentials.RANKS):
                     case = 0 if span == low[i:j] else 1 if span[0].isupper() and span[1:] == low[i + 1 : j] else 2
                     out[i, j] = min(out[i, j], math.log10(credentials.RANKS[text]) + credentials.PER_SPAN * (1 + case + 2 * swapped))
-            if j - i in (4, 6, 8) and credentials._dates(span):
+            if j - i in credentials.DATE_LENGTHS and credentials._dates(span):
                 out[i, j] = min(out[i, j], math.log10(credentials._dates(span)) + credentials.PER_SPAN)
     return out
 
@@ -131,7 +131,7 @@ def segment_costs(value: str) -> dict[tuple[int, int], float]:
 def test_guess_cost_is_the_cheapest_of_all_segmentations():
     """Against an enumeration of all cuts, for values without keyboard walks."""
     rng = random.Random(12)
-    pieces = ["love", "Pass", "p4ss", "aaa", "7777", "1999", "x", "#", "Q", "0412", "19991231"]
+    pieces = ["love", "Pass", "p4ss", "aaa", "7777", "1999", "x", "#", "Q", "0412", "19991231", "24.12.99", "2024-01-15"]
     for _ in range(300):
         value = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 4)))[:11]
         if any((a, b) in credentials.STEPS for a, b in zip(value.lower(), value.lower()[1:], strict=False)):
@@ -150,3 +150,16 @@ def test_long_values_are_costly_before_their_end():
     value = "".join(rng.choice("abQZ19#$kv") for _ in range(500))
     assert credentials.guess_cost(value, 10.0) >= 10.0 and credentials.guess_cost(value) >= credentials.guess_cost(value, 10.0)
     assert credentials.guess_cost("a" * 5000, 10.0) == credentials.guess_cost("a" * 5000) < 10
+
+
+def test_common_passwords_are_cheap():
+    """Words of a real vocabulary, columns of the keyboard and separated dates."""
+    ranks = credentials.word_ranks(credentials.VOCABULARY)
+    if len(ranks) < 1000:
+        pytest.skip("no vocabulary file")
+    for value in ("butterfly-elephant", "1qaz2wsx3edc", "zaq12wsx", "2024-01-15", "15.01.2024", "Butterfly2024", "abcdefghijkl", "welcome-back"):
+        assert credentials.guess_cost(value, ranks=ranks) < 10, value
+    for value in ("xK9$vQ!27#mZ", "8f!Qz@71LmWp", "pX8!zz@Lq2#Vt9"):
+        assert credentials.guess_cost(value, ranks=ranks) > 10, value
+    assert credentials.word_ranks("/nowhere") == credentials.RANKS and credentials.RANKS["password"] == ranks["password"] == 1
+    assert credentials._dates("2024-01.15") == credentials._dates("2024-13-15") == credentials._dates("20-24-0115") == 0

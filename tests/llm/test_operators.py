@@ -401,3 +401,15 @@ def test_repeated_and_missing_ids_do_not_grow_the_sample(spark, monkeypatch):
     language.train(docs, per_language=20)
     (windows, per_label), = seen
     assert windows == sum(per_label) and all(20 <= n <= 20 * language.WINDOWS for n in per_label)
+
+
+def test_more_labels_than_are_learned(spark, monkeypatch):
+    """A dirty label column: the most frequent labels are learned, within the bound of the sample."""
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 3)
+    monkeypatch.setattr(language, "MOST_DOCUMENTS", 30)
+    rows = [(k, f"the house {k} and the garden" if k % 2 else f"das haus {k} und der garten", ("en" if k % 2 else "de") if k % 5 else f"junk{k}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = language.train(docs)
+    assert len(net.labels) == 3 and {"de", "en"} < set(net.labels)
+    got = language.identify(docs).collect()
+    assert len(got) == 300 and {r.lang_pred for r in got} <= set(net.labels)
