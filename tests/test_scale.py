@@ -94,3 +94,26 @@ def test_bounded_refuses_large_sides(spark):
 
     assert hinted(scale.bounded(spark.range(10), 10))
     assert not hinted(scale.bounded(spark.range(11), 10))
+
+
+@pytest.mark.parametrize("accuracy,sorted_rows", [(20, 50), (20, 65_536)])
+def test_quantiles_by_rounds_of_histograms(spark, monkeypatch, accuracy, sorted_rows):
+    """Coarse sketches leave wide brackets, which rounds narrow: also of clusters far apart, of extreme and of repeated values."""
+    monkeypatch.setattr(scale, "BINS", 64)
+    rng = np.random.default_rng(11)
+    values = {
+        "normal": rng.normal(size=3000),
+        "clusters": np.concatenate([rng.normal(size=1000) * 1e-9, 1e9 + rng.normal(size=1001)]),
+        "powers": 2.0 ** rng.integers(-30, 30, 800),
+        "ends": np.concatenate([rng.normal(size=500), [-1.7e308, 1.7e308, 0.0, -0.0]]),
+        "same": np.full(900, 3.5),
+        "few": rng.integers(0, 5, 2000).astype(float),
+    }
+    pdf = pd.concat([pd.DataFrame({"g": g, "v": v}) for g, v in values.items()])
+    probs = [0.0, 0.1, 0.25, 0.5, 0.5005, 0.99, 1.0]
+    got = scale.exact_quantiles(spark.createDataFrame(pdf).repartition(6), ["g"], "v", probs, accuracy, sorted_rows).toPandas()
+    for g, v in values.items():
+        mine = got[got["g"] == g].sort_values("prob")["quantile"].to_numpy()
+        low, high = (np.quantile(v, probs, method=m) for m in ("lower", "higher"))
+        at = np.array(probs) * (len(v) - 1)
+        np.testing.assert_allclose(mine, low + (high - low) * (at - np.floor(at)), rtol=1e-9)
