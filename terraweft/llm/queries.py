@@ -134,11 +134,11 @@ split_lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs)
 lines AS (
   SELECT r, line, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') AS lw, length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g')) AS chars,
          length(line) - length(regexp_replace(line, '[#*$%&<>{{}}~^=_\\x5C]', '', 'g')) AS marks, length(line) - length(replace(line, '|', '')) AS seps,
-         list_sum(list_transform(regexp_extract_all('  ' || regexp_replace(line, '({NO_WORD})', '\\1\\1', 'g') || '  ', '{PHRASES}', 1), lambda x: (length(x) - length(replace(x, ' ', ''))) // 2 + 1)) AS told
+         CASE WHEN regexp_matches(line, '(?i){quality.BOILERPLATE}') THEN list_sum(list_transform(regexp_extract_all('  ' || regexp_replace(line, '({NO_WORD})', '\\1\\1', 'g') || '  ', '{PHRASES}', 1), lambda x: (length(x) - length(replace(x, ' ', ''))) // 2 + 1)) END AS told
   FROM split_lines),
 judged AS (
   SELECT r, line, len(lw) AS n, chars, len(lw) > 0 AND (10 * marks > chars OR (seps >= 3 AND 6 * seps >= len(lw))
-    OR 3 * len(list_filter(lw, lambda x: ends_with(x, '!!'))) >= 2 * len(lw) OR (told > 0 AND (len(lw) <= {quality.SHORT_LINE} OR {quality.PHRASE_SHARE} * told >= len(lw)))) AS fails FROM lines),
+    OR 3 * len(list_filter(lw, lambda x: ends_with(x, '!!'))) >= 2 * len(lw) OR (coalesce(told, 0) > 0 AND (len(lw) <= {quality.SHORT_LINE} OR {quality.PHRASE_SHARE} * told >= len(lw)))) AS fails FROM lines),
 summed AS (
   SELECT r, CAST(sum(chars) AS BIGINT) AS word_chars, CAST(sum(CASE WHEN fails THEN chars ELSE 0 END) AS BIGINT) AS lost_chars,
          count(*) FILTER (WHERE n > 0) - count(DISTINCT line) FILTER (WHERE n > 0) AS n_dup_lines FROM judged GROUP BY 1),
