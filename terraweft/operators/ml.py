@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 import time
 from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import PCA, SQLTransformer, VectorAssembler
@@ -13,6 +15,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from terraweft.catalog import literal_rows
 from terraweft.operators.descent import descend, linear_stage
@@ -165,25 +168,30 @@ def select_targets(df: DataFrame, targets: Sequence[str]) -> DataFrame:
 
 
 def cross_validate(
-    df: DataFrame, splits: DataFrame, name: str, features: Sequence[str], folds: Sequence[int], **params
+    df: DataFrame, splits: DataFrame, name: str, features: Sequence[str], folds: Sequence[int], parallelism: int = 4, **params
 ) -> tuple[DataFrame, DataFrame]:
     """Fit on train and predict on val for every fold: (predictions, fit times).
 
-    Predictions: model, fold, sample_id, y, yhat. Times: model, fold, train_seconds (wall clock).
+    Predictions: model, fold, sample_id, y, yhat. Times: model, fold, train_seconds (wall clock). Up to ``parallelism`` folds are fitted at once.
     """
+    spark = df.sparkSession
     data = cut_lineage(df.select("sample_id", "y", *features).dropna())
     used = cut_lineage(splits.filter("role IN ('train', 'val')").select("sample_id", "fold", "role"))
-    preds, times = None, []
-    for fold in folds:
+
+    def one(fold: int) -> tuple[DataFrame, dict]:
         own = used.filter(F.col("fold") == fold)
         train = data.join(own.filter("role = 'train'"), "sample_id", "left_semi")
         val = data.join(own.filter("role = 'val'"), "sample_id", "left_semi")
         begin = time.perf_counter()
         model = fit(name, train, features, **params)
-        times.append({"model": name, "fold": fold, "train_seconds": time.perf_counter() - begin})
+        seconds = time.perf_counter() - begin
         out = predict(model, val).select(F.lit(name).alias("model"), F.lit(fold).alias("fold"), "sample_id", "y", "yhat")
-        preds = out if preds is None else preds.unionByName(out)
-    return preds, literal_rows(df.sparkSession, times)
+        return out, {"model": name, "fold": fold, "train_seconds": seconds}
+
+    tasks = [inheritable_thread_target(spark)(functools.partial(one, fold)) for fold in folds]
+    with ThreadPool(max(1, min(parallelism, len(tasks)))) as pool:
+        done = pool.map(lambda task: task(), tasks)
+    return functools.reduce(DataFrame.unionByName, [out for out, _ in done]), literal_rows(spark, [times for _, times in done])
 
 
 def reconstruction_study(tiles: DataFrame, k: int, m: int, side: int, trees: int = 20, depth: int = 8, seed: int = 0) -> DataFrame:
