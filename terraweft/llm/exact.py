@@ -11,7 +11,7 @@ from terraweft.functions.scale import HOT_ROWS, salted_join
 from terraweft.llm.frames import SPACE, fresh, written
 
 #: Keys of a bucket, beyond which it splits; bits of the largest directory.
-CAPACITY, DEPTH = 20_000, 16
+CAPACITY, DEPTH = 4_000, 16
 #: Entries that a text brings to its owner at most.
 SALTS = 4
 
