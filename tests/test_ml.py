@@ -169,7 +169,7 @@ def test_rbf_on_all_rows_is_the_dense_solve(wavy, spark):
     model = ml.fit("kernel_ridge", wavy, ["a", "b", "c"], alpha=0.5, landmarks=2048)
     got = ml.predict(model, wavy).toPandas().sort_values("sample_id")
     np.testing.assert_allclose(got.yhat, dense(x, y, x, 0.5, 1 / 3), atol=1e-6)
-    assert model.rows == 2000 and model.residual_max < 1e-9
+    assert model.rows == 2000 and model.residual_max < 1e-7
     path = scratch_path(spark, "rbf")
     ml.save_model(model, path)
     again = ml.predict(ml.load_model(path), wavy).toPandas().sort_values("sample_id")
